@@ -208,8 +208,9 @@ def permutation_test(ledger: DataFrame, dense: DataFrame, targets: DataFrame,
             .filter(F.col("w") != 0)
             .join(dense.filter(F.datediff("end", "dense_start") >= 9), "series_id")
             .withColumn("_n", n_days))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(permutations - 1).cast("long"))
     coef = permutation_coefficients(permutations, seed)
-    drawn = (slim.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).cast("long"))
+    drawn = (slim.withColumn("perm", F.explode(every))
              .join(F.broadcast(coef), "perm")       # ``permutations`` rows, a parameter
              .groupBy("series_id", "perm", "dense_start", "end", "_ax", "horizon",
                       draw_index(F.col("_k"), F.col("_n")).alias("_at"))
@@ -223,7 +224,7 @@ def permutation_test(ledger: DataFrame, dense: DataFrame, targets: DataFrame,
     in_dense = (targets.join(dense, "series_id")
                 .filter(F.col("day").between(F.col("dense_start"), F.col("end")))
                 .select("series_id", "axis", "day", "change")
-                .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).cast("long")))
+                .withColumn("perm", F.explode(every)))
     null_r = (in_dense.join(spread, ["series_id", "perm", "axis", "day"], "left")
               .withColumn("p", F.coalesce("p", F.lit(0.0)))
               .groupBy("series_id", "axis", "perm").agg(M.pearson("p", "change").alias("null_r"))
