@@ -107,6 +107,18 @@ class Views:
                 .otherwise("").alias("raw_scope"),
             ))
 
+    def places(self):
+        """Place dictionary: nations with an ``N<key>`` alias, regions of five."""
+        from pulsetrail.operators.scope import Places
+        n, r = self.table("nation"), self.table("region")
+        countries = n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("ord"),
+                             F.array(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")))
+                             .alias("aliases"))
+        regions = (n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+                   .groupBy(F.col("r_name").alias("region"), F.col("r_regionkey").alias("ord"))
+                   .agg(F.array_sort(F.collect_list("n_name")).alias("members")))
+        return Places.from_frames(countries, regions, all_words=("WW", "WORLDWIDE"), all_name=ALL)
+
     # ---- T -----------------------------------------------------------------
     def sales(self) -> DataFrame:
         """Unaggregated series points: (series_id, day, cents, arrival, nation)."""
@@ -301,6 +313,22 @@ activity AS (
   user_id % 10 > 1 AND value >= 5 AS kw_pass, user_id % 10 > 1 AND value >= 20 AS kept
  FROM events)"""
 
+DICT = """
+dict AS (SELECT upper(n_name) AS alias, 1 AS kind, n_nationkey AS ord, n_name AS name FROM nation
+ UNION ALL SELECT 'N' || n_nationkey, 1, n_nationkey, n_name FROM nation
+ UNION ALL SELECT upper(r_name), 2, r_regionkey, r_name FROM region
+ UNION ALL SELECT unnest(['WW', 'WORLDWIDE', 'ALL']), 0, 0, 'ALL')"""
+
+
+def normalised_sql(src: str, key: str, col: str, out: str) -> str:
+    """CTE ``out``(key, scope) with the canonical ``;``-joined names of ``src.col``."""
+    return f"""
+{out}_t AS (SELECT {key}, upper(trim(trim(unnest(string_split(coalesce({col}, ''), ';'))), '.,\''"[]')) AS tok FROM {src}),
+{out}_d AS (SELECT DISTINCT {key}, kind, ord, name FROM {out}_t LEFT JOIN dict ON alias = tok),
+{out} AS (SELECT {key}, CASE WHEN min(kind) IS NULL OR min(kind) = 0 THEN 'ALL'
+  ELSE string_agg(name, ';' ORDER BY kind, ord) FILTER (kind IS NOT NULL) END AS scope FROM {out}_d GROUP BY 1)""".replace("\\''", "''")
+
+
 STORIES = """
 stories AS (
  SELECT doc_id AS arrival, source AS label, lang, text,

@@ -10,8 +10,8 @@ from pulsetrail.functions.text import strip
 
 def parse_strict(c: Column) -> Column:
     """Calendar-valid ``Y-M-D`` text to DATE, otherwise null."""
-    t = strip(c)
-    return F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(t, "yyyy-M-d"))
+    shaped = F.regexp_extract(strip(c), r"^\d{4}-\d{1,2}-\d{1,2}$", 0)
+    return F.try_to_date(shaped, "yyyy-M-d")
 
 
 def iso(c: Column) -> Column:
@@ -39,11 +39,9 @@ def from_url(url: Column) -> Column:
     """Publication date embedded in an address; first pattern that is valid."""
     tries = []
     for pattern in vocab.URL_DATE_PATTERNS:
-        day = (F.regexp_extract(url, pattern, 3) if pattern.count("(\\d") == 2
-               else F.lit("1"))
-        tries.append(parse_strict(F.concat_ws(
-            "-", F.regexp_extract(url, pattern, 1),
-            F.regexp_extract(url, pattern, 2), day)))
+        parts = "$1-$2-$3" if pattern.count("(\\d") == 2 else "$1-$2-1"
+        tries.append(parse_strict(F.regexp_replace(
+            F.regexp_extract(url, pattern, 0), pattern, parts)))
     return F.coalesce(*tries)
 
 
@@ -57,20 +55,20 @@ def infer_source(day: Column, published: Column, captured: Column,
             .otherwise("llm"))
 
 
-def repair(day: Column, captured: Column, url_day: Column, is_collected: Column,
-           threshold: int = vocab.MAX_BACKDATE_DAYS,
-           plausible: int = vocab.URL_PLAUSIBLE_DAYS) -> Column:
-    """STRUCT(outcome, date) for one stored row; outcome is the counter name."""
-    gap = F.datediff(captured, url_day)
-    url_ok = F.coalesce((gap >= 0) & (gap <= plausible), F.lit(False))
+def repair_outcome(day: Column, captured: Column, url_day: Column, is_collected: Column,
+                   threshold: int = vocab.MAX_BACKDATE_DAYS,
+                   plausible: int = vocab.URL_PLAUSIBLE_DAYS) -> Column:
+    """Counter name of what repairing one stored row does.
+
+    A date in the address shortly before capture wins; otherwise a missing,
+    far too old or future date becomes the capture day.
+    """
+    url_ok = F.coalesce(F.datediff(captured, url_day).between(0, plausible), F.lit(False))
     bad = day.isNull() | (F.datediff(captured, day) > threshold) | (day > captured)
-    outcome = (F.when(~is_collected, "seed_skipped")
-               .when(captured.isNull(), "unfixable")
-               .when(url_ok, F.when(url_day.eqNullSafe(day), "ok").otherwise("from_url"))
-               .when(bad, "from_capture").otherwise("ok"))
-    fixed = (F.when(outcome == "from_url", url_day)
-             .when(outcome == "from_capture", captured).otherwise(day))
-    return F.struct(outcome.alias("outcome"), fixed.alias("date"))
+    return (F.when(~is_collected, "seed_skipped")
+            .when(captured.isNull(), "unfixable")
+            .when(url_ok, F.when(url_day.eqNullSafe(day), "ok").otherwise("from_url"))
+            .when(bad, "from_capture").otherwise("ok"))
 
 
 def feed_stamp(c: Column) -> Column:

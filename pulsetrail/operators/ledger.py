@@ -59,18 +59,21 @@ def untranslated_report(rows: DataFrame, text: str = "description", raw: str = "
 
 def date_repair(ledger: DataFrame) -> DataFrame:
     """Each row with its repaired date, provenance and outcome."""
-    url_day = D.from_url(F.col("raw_url"))
     collected = F.substring("event_id", 1, 1).isin("A", "F")
-    fix = D.repair(F.col("date"), F.col("captured_date"), url_day, collected)
-    source = (F.when(F.col("_fix.outcome") == "from_url", "url")
-              .when(F.col("_fix.outcome") == "from_capture", "capture")
-              .when(F.col("date_source").isNull() & (F.col("_fix.outcome") != "seed_skipped"),
-                    D.infer_source(F.col("date"), D.parse_strict(F.col("raw_date")),
-                                   F.col("captured_date"), url_day))
-              .otherwise(F.col("date_source")))
-    return (ledger.withColumn("_fix", fix).withColumn("new_source", source)
-            .withColumn("outcome", F.col("_fix.outcome")).withColumn("new_date", F.col("_fix.date"))
-            .drop("_fix"))
+    day, captured, url_day = F.col("date"), F.col("captured_date"), F.col("_url_day")
+    # separate steps, so that each parsed value is computed once per row
+    rows = (ledger.withColumn("_url_day", D.from_url(F.col("raw_url")))
+            .withColumn("_raw_day", D.parse_strict(F.col("raw_date")))
+            .withColumn("outcome", D.repair_outcome(day, captured, url_day, collected)))
+    done = F.col("outcome")
+    return (rows.withColumn("new_date", F.when(done == "from_url", url_day)
+                            .when(done == "from_capture", captured).otherwise(day))
+            .withColumn("new_source", F.when(done == "from_url", "url")
+                        .when(done == "from_capture", "capture")
+                        .when(F.col("date_source").isNull() & (done != "seed_skipped"),
+                              D.infer_source(day, F.col("_raw_day"), captured, url_day))
+                        .otherwise(F.col("date_source")))
+            .drop("_url_day", "_raw_day"))
 
 
 def first_per_key(rows: DataFrame, keys, order: str = "arrival") -> DataFrame:
