@@ -43,12 +43,18 @@ def title_words(norm: Column) -> Column:
     return F.when(F.length(flat) >= vocab.MIN_TITLE_CHARS, words)
 
 
+def gram_codes(grams: Column) -> Column:
+    """3-grams as LONGs: three code points of 21 bits each, so no collisions."""
+    code = lambda g, i: F.ascii(F.substring(g, i, 1)).cast("long")
+    return F.transform(grams, lambda g: (F.shiftleft(code(g, 1), 42) + F.shiftleft(code(g, 2), 21)
+                                         + code(g, 3)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two duplicate-free arrays; 0 if either is empty."""
-    shared = F.size(F.array_intersect(a, b))
-    return (F.when((F.size(a) > 0) & (F.size(b) > 0),
-                   shared / (F.size(a) + F.size(b) - shared))
-            .otherwise(F.lit(0.0)))
+    shared = F.transform(F.array(F.size(F.array_intersect(a, b))),
+                         lambda s: s / (F.size(a) + F.size(b) - s))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared[0]).otherwise(F.lit(0.0))
 
 
 def normalise_url(c: Column) -> Column:

@@ -43,7 +43,7 @@ def read_traffic(spark: SparkSession, path: str) -> DataFrame:
     The header test needs each file's first non-blank line, so files are read
     whole per task (an upload is one small file) and split there.
     """
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     rows = files.select(F.posexplode(F.filter(
         F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n"),
         lambda s: strip(s) != "")).alias("pos", "value"))
