@@ -31,7 +31,8 @@ def _read(spark, path, row_tag, schema):
 def read_feed_items(spark: SparkSession, path: str) -> DataFrame:
     """(file, title, link, summary, published) of all RSS items and Atom entries.
 
-    Rows are cut at the item tag, so one large feed is read by many tasks.
+    A feed file is one document and read by one task; many files spread over
+    the cluster.
     """
     file = F.col("_metadata.file_path").alias("file")
     rss = _read(spark, path, "item", _RSS).select(
