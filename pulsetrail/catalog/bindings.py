@@ -23,12 +23,20 @@ AS_OF = "2001-03-15"
 class Views:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self._tables[name]
 
     # ---- L -----------------------------------------------------------------
     def ledger(self) -> DataFrame:
+        if "ledger()" not in self._tables:
+            self._tables["ledger()"] = self._ledger()
+        return self._tables["ledger()"]
+
+    def _ledger(self) -> DataFrame:
         k = F.col("arrival")
         o = self.table("orders").select(
             F.col("o_orderkey").alias("arrival"), "o_custkey", "o_orderstatus",

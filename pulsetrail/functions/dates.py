@@ -37,12 +37,8 @@ def validate(value: Column, published: Column, today: Column,
 
 def from_url(url: Column) -> Column:
     """Publication date embedded in an address; first pattern that is valid."""
-    tries = []
-    for pattern in vocab.URL_DATE_PATTERNS:
-        parts = "$1-$2-$3" if pattern.count("(\\d") == 2 else "$1-$2-1"
-        tries.append(parse_strict(F.regexp_replace(
-            F.regexp_extract(url, pattern, 0), pattern, parts)))
-    return F.coalesce(*tries)
+    return F.coalesce(*[F.try_to_date(F.regexp_extract(url, pattern, 1), fmt)
+                        for pattern, fmt in vocab.URL_DATE_PATTERNS])
 
 
 def infer_source(day: Column, published: Column, captured: Column,

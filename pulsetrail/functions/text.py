@@ -6,12 +6,14 @@ from pyspark.sql import Column, functions as F
 
 from pulsetrail import vocab
 
-_EDGE_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+# whitespace of any kind, for trimming both ends
+_SPACES = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+           + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing whitespace of any kind (null -> '')."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), _EDGE_SPACE, "")
+    return F.btrim(F.coalesce(c, F.lit("")), F.lit(_SPACES))
 
 
 def one_of(c: Column, mapping: dict, default=None) -> Column:
@@ -31,9 +33,9 @@ def normalise_title(c: Column) -> Column:
 def title_grams(norm: Column) -> Column:
     """Distinct character 3-grams of a normalised title; null when too short."""
     flat = F.replace(norm, F.lit(" "), F.lit(""))
-    grams = F.transform(F.sequence(F.lit(1), F.length(flat) - 2),
-                        lambda i: F.substring(flat, i, F.lit(3)))
-    return F.when(F.length(flat) >= vocab.MIN_TITLE_CHARS, F.array_distinct(grams))
+    # a look-ahead match per position: one pass over the text
+    grams = F.array_distinct(F.regexp_extract_all(flat, F.lit("(?=(...))"), 1))
+    return F.when(F.length(flat) >= vocab.MIN_TITLE_CHARS, grams)
 
 
 def title_words(norm: Column) -> Column:

@@ -17,6 +17,7 @@ def local_session(cores: int = 8, **conf) -> SparkSession:
                .config("spark.sql.shuffle.partitions", str(cores))
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", "12g")
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true"))

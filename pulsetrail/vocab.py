@@ -62,10 +62,11 @@ SUPPLY_WORDS = ("인덱싱", "크롤링", "indexing", "crawling", "다운타임"
                 "장애", "outage", "core web vitals", "사이트 속도", "robots.txt",
                 "sitemap")
 
-# publication dates embedded in article addresses, most specific first
-URL_DATE_PATTERNS = (r"/(20\d{2})/(\d{1,2})/(\d{1,2})(?:/|[-_.])",
-                     r"[-_](20\d{2})(\d{2})(\d{2})[-_.]",
-                     r"/(20\d{2})/(\d{1,2})/")
+# publication dates embedded in article addresses and how to read them, most
+# specific first; a month alone means its first day
+URL_DATE_PATTERNS = ((r"/(20\d{2}/\d{1,2}/\d{1,2})(?:/|[-_.])", "yyyy/M/d"),
+                     (r"[-_](20\d{2}\d{2}\d{2})[-_.]", "yyyyMMdd"),
+                     (r"/(20\d{2}/\d{1,2})/", "yyyy/M"))
 
 TRAFFIC_HEADER_WORDS = ("date", "날짜", "country", "국가", "traffic")
 DROP_MARKER = "---DROP---"
