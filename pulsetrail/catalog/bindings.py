@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsetrail import vocab
+from pulsetrail.session import shared_dir
 
 SUBJECT = "BUILDING"
 ALL = "ALL"
@@ -147,6 +148,14 @@ class Views:
         return (self.sales().groupBy("series_id", "day")
                 .agg(F.sum("cents").cast("double").alias("value")))
 
+    def stored_series(self) -> DataFrame:
+        """The daily series kept in the shared folder: they are small next to
+        the rows they sum, and a report reads them many times."""
+        if "series()" not in self._tables:
+            shared_dir(self.spark)
+            self._tables["series()"] = self.series().checkpoint()
+        return self._tables["series()"]
+
     def series_divisions(self) -> DataFrame:
         """(series_id, division): which competitors belong to which division."""
         seg = self.table("customer").select(F.col("c_mktsegment").alias("series_id")).distinct()

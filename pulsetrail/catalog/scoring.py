@@ -44,7 +44,7 @@ def _(v):
 
 
 def _spans(v):
-    own = v.series().filter(F.col("series_id") == SUBJECT)
+    own = v.stored_series().filter(F.col("series_id") == SUBJECT)
     return S.overlap_span(v.scored_ledger(), own)
 
 
@@ -203,7 +203,7 @@ alloc AS (SELECT *, CASE WHEN drove THEN abs(g) / sum(CASE WHEN drove THEN abs(g
 
 
 def _attribution(v):
-    return A.log_attribution(v.series(), v.series(), v.rivals(), periods(v), v.vitals())
+    return A.log_attribution(v.stored_series(), v.stored_series(), v.rivals(), periods(v), v.vitals())
 
 
 @query("log_attribution", with_(f"""
@@ -231,8 +231,8 @@ FROM med JOIN mad USING (series_id) JOIN (SELECT series_id, ln(c1 / c0) AS gt FR
                                   SERIES, SEASON))
 def _(v):
     p = P.fixed_periods(v.series_ids(), WCUR, WCMP)
-    base = A.seasonal_baseline(v.series(), p)
-    moves = A.log_attribution(v.series(), v.series(), v.rivals(), p)
+    base = A.seasonal_baseline(v.stored_series(), p)
+    moves = A.log_attribution(v.stored_series(), v.stored_series(), v.rivals(), p)
     return A.seasonal_residual(moves, base).select(
         "series_id", c4("expected_log"), c4("sigma"), "replays", c4("expected_pct"),
         c4("residual_pct"), c4("z"), "unusual")
@@ -252,7 +252,7 @@ inp AS (SELECT *, impact_direction = move AS explains FROM mv WHERE date BETWEEN
 
 
 def _moved(v):
-    own = P.period_verdict(v.series(), P.fixed_periods(
+    own = P.period_verdict(v.stored_series(), P.fixed_periods(
         v.series_ids().filter(F.col("series_id") == SUBJECT), CUR, CMP))
     return A.with_move(v.scored_ledger(), own)
 
