@@ -125,14 +125,14 @@ def corr_sql(x, y):
 
 
 @query("pearson_r", with_(f"""
-SELECT a.series_id AS left_id, b.series_id AS right_id, {r4(corr_sql('a.value', 'b.value'))} AS r, count(*) AS n
-FROM series a JOIN series b ON a.day = b.day AND a.series_id < b.series_id GROUP BY ALL""", SERIES))
+SELECT b.series_id, {r4(corr_sql('a.value', 'b.value'))} AS r, count(*) AS n
+FROM series a JOIN series b ON a.day = b.day AND a.series_id = '{SUBJECT}' AND b.series_id <> '{SUBJECT}' GROUP BY ALL""", SERIES))
 def _(v):
-    s = v.series()
-    a = s.select(F.col("series_id").alias("left_id"), "day", F.col("value").alias("x"))
-    b = s.select(F.col("series_id").alias("right_id"), "day", F.col("value").alias("y"))
-    return (a.join(b, "day").filter(F.col("left_id") < F.col("right_id"))
-            .groupBy("left_id", "right_id")
+    """The subject against every other series on shared days."""
+    s = v.stored_series()
+    own = s.filter(F.col("series_id") == SUBJECT).select("day", F.col("value").alias("x"))
+    others = s.filter(F.col("series_id") != SUBJECT).select("series_id", "day", F.col("value").alias("y"))
+    return (others.join(own, "day").groupBy("series_id")
             .agg(M.half_up(M.pearson("x", "y"), 4).alias("r"), F.count("*").alias("n")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsetrail import vocab
 from pulsetrail.functions import dates as D, measures as M, text as X
-from pulsetrail.operators.ranking import global_rank
+from pulsetrail.operators.ranking import global_rank_by_range
 from pulsetrail.operators.scope import Places, normalise_scope, normalise_tokens
 
 
@@ -94,8 +94,11 @@ def dedup_date_title(rows: DataFrame, title_chars: int | None = None) -> DataFra
 
 
 def number_curated(rows: DataFrame, first: int = 101) -> DataFrame:
-    """Ids ``E101``... in (date, title) order over the whole frame."""
-    ranked = global_rank(rows, [F.col("date"), F.coalesce("title", F.lit(""))])
+    """Ids ``E101``... in (date, title) order over the whole frame.
+
+    Runs an action (see ``global_rank_by_range``).
+    """
+    ranked = global_rank_by_range(rows, ["date", "title"])
     return (ranked.withColumn("event_id", F.concat(F.lit("E"), (F.col("rank") + (first - 1)).cast("string")))
             .drop("rank"))
 

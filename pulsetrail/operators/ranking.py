@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulsetrail import vocab
 from pulsetrail.functions import measures as M
 from pulsetrail.functions.text import one_of
+from pulsetrail.session import shared_dir
 
 
 def rivals_of_divisions(membership: DataFrame, subject: str, divisions) -> DataFrame:
@@ -33,7 +34,8 @@ def global_rank(df: DataFrame, keys: list[Column], tie: str = "arrival",
     Rows are counted per (keys, block of ``tie``); a running sum over those
     counts gives each block its offset and rows are numbered inside blocks
     only.  ``tie`` is a unique integer, so a block has at most ``width`` rows
-    however many rows share the same keys.
+    however many rows share the same keys.  Meant for keys with few distinct
+    values; see ``global_rank_by_range`` for any others.
     """
     cols = [f"_k{i}" for i in range(len(keys))]
     keyed = df.select("*", *[k.alias(c) for k, c in zip(keys, cols)],
@@ -56,6 +58,28 @@ def global_rank(df: DataFrame, keys: list[Column], tie: str = "arrival",
             .drop(*part, "_off"))
 
 
+def global_rank_by_range(df: DataFrame, columns: list[str], tie: str = "arrival",
+                         name: str = "rank") -> DataFrame:
+    """Row number over the whole frame for keys of any cardinality.
+
+    Rows are range-partitioned and sorted, and that arrangement is stored by a
+    checkpoint (an action), so that the position inside a partition and the
+    partition offsets are read from the same rows even when an executor is
+    lost.  ``tie`` is unique, so equal keys spread over partitions.
+    """
+    shared_dir(df.sparkSession)
+    order = [*columns, tie]
+    stored = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+              .withColumn("_at", F.monotonically_increasing_id()).checkpoint())
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    # one row per partition
+    sizes = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (stored.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .withColumn(name, F.col("_off") + inside + 1).drop("_part", "_off", "_at"))
+
+
 def rank_events(moved: DataFrame) -> DataFrame:
     """Events with their display rank for the move on the row."""
     return global_rank(moved, rank_keys(F.col("move")))

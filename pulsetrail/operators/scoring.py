@@ -82,18 +82,24 @@ def dense_window(ledger: DataFrame, spans: DataFrame,
 
 def event_windows(ledger: DataFrame, series: DataFrame,
                   baseline_days: int = vocab.BASELINE_DAYS) -> DataFrame:
-    """Mean level before each event and over its horizon window after it."""
-    win = one_of(M.horizon(F.col("impact_horizon")), vocab.WINDOW_DAYS)
+    """Mean level before each event and over its horizon window after it.
+
+    The answer depends only on (series, date, window), so it is worked out once
+    per such combination, a number bounded by the calendar, and joined to the
+    events a single time.
+    """
+    keys = ["series_id", "date", "window_days"]
+    events = (ledger.filter(F.col("date").isNotNull())
+              .withColumn("window_days", one_of(M.horizon(F.col("impact_horizon")), vocab.WINDOW_DAYS)))
     prefix = prefix_sums(series)
-    asked = (with_span(ledger.filter(F.col("date").isNotNull()), series)
-             .withColumn("window_days", win)
+    asked = (with_span(events.select(*keys).distinct(), series)
              .withColumn("_b0", F.date_sub("date", baseline_days))
              .withColumn("_b1", F.date_sub("date", 1))
              .withColumn("_a0", F.date_add("date", 1))
              .withColumn("_a1", F.date_add("date", F.col("window_days"))))
     both = range_stats(asked, prefix, "_b0", "_b1", "before")
     both = range_stats(both, prefix, "_a0", "_a1", "after")
-    return both.drop("_b0", "_b1", "_a0", "_a1", "first_day", "last_day")
+    return events.join(both.select(*keys, "before_mean", "before_n", "after_mean", "after_n"), keys)
 
 
 def hit_scores(ledger: DataFrame, series: DataFrame,
@@ -188,52 +194,89 @@ def draw_index(key: Column, n_days: Column) -> Column:
     return (v % n_days).cast("int")
 
 
+def _class_counts_draws(rows: DataFrame, n_perms: int, seed: int) -> DataFrame:
+    """Redraw by event class: how many of a class's events fall on each day.
+
+    Events of one class (series, axis, horizon, weight) are exchangeable, so
+    their redrawn days are one multinomial draw per permutation.  Work depends
+    on classes x permutations x days, not on the number of events.  The
+    generator of a draw is seeded by its class and permutation, so a retried
+    task repeats it.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def draw(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                rng = np.random.default_rng([seed, int(r.perm), int(r.key) & 0xFFFFFFFF, (int(r.key) >> 32) & 0xFFFFFFFF])
+                got = rng.multinomial(r.events, np.full(r.n_days, 1.0 / r.n_days))
+                at = np.flatnonzero(got)
+                out.append(pd.DataFrame({"series_id": r.series_id, "perm": r.perm, "ax": r.ax, "horizon": r.horizon,
+                                         "at": at.astype("int32"), "w": got[at] * r.w}))
+            yield (pd.concat(out) if out else pd.DataFrame(
+                {"series_id": [], "perm": [], "ax": [], "horizon": [], "at": [], "w": []}))
+
+    classes = rows.groupBy("series_id", "ax", "horizon", "w", "n_days").agg(F.count("*").alias("events"))
+    keyed = (classes.withColumn("key", F.xxhash64("series_id", "ax", "horizon", "w"))
+             .withColumn("perm", F.explode(_perm_range(n_perms))))
+    return keyed.mapInPandas(draw, "series_id string, perm bigint, ax string, horizon string, at int, w double")
+
+
+def _perm_range(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def permutation_test(ledger: DataFrame, dense: DataFrame, targets: DataFrame,
                      observed: DataFrame, permutations: int = 1000,
-                     seed: int = 20260810, key: str = "arrival") -> DataFrame:
+                     seed: int = 20260810, key: str = "arrival", draw_by: str = "event") -> DataFrame:
     """Could a ledger with random dates explain the series just as well?
 
     Each permutation redraws every event's day uniformly over the dense
-    stretch; all axes share the draw.  Events meet the permutations by an
-    explode of the permutation number and fold map-side into impulses, so the
-    shuffle is bounded by permutations x days x axes x horizons.  ``dense`` is
-    (series_id, dense_start, end), ``observed`` (series_id, axis, r).  ``key``
-    is a unique integer per event.
+    stretch; all axes share the draw.  ``dense`` is (series_id, dense_start,
+    end), ``observed`` (series_id, axis, r).
+
+    ``draw_by='event'`` draws each event's day from its unique integer ``key``
+    and folds map-side into impulses, so the shuffle is bounded by permutations
+    x days x axes x horizons.  ``draw_by='class'`` draws day counts per class
+    of events: same distribution, and the ledger is read once whatever the
+    number of permutations.  Use it for large ledgers.
     """
     w = M.event_weight(F.col("impact_strength"), F.col("confidence"), F.col("impact_direction"))
-    n_days = F.datediff("end", "dense_start") + 1
-    slim = (ledger.select("series_id", F.col(key).alias("_k"), w.alias("w"),
+    slim = (ledger.select("series_id", F.col(key).alias("k"), w.alias("w"),
                           M.horizon(F.col("impact_horizon")).alias("horizon"),
-                          M.clean_axis(F.col("axis")).alias("_ax"))
-            .filter(F.col("w") != 0)
-            .join(dense.filter(F.datediff("end", "dense_start") >= 9), "series_id")
-            .withColumn("_n", n_days))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(permutations - 1).cast("long"))
-    coef = permutation_coefficients(permutations, seed)
-    drawn = (slim.withColumn("perm", F.explode(every))
-             .join(F.broadcast(coef), "perm")       # ``permutations`` rows, a parameter
-             .groupBy("series_id", "perm", "dense_start", "end", "_ax", "horizon",
-                      draw_index(F.col("_k"), F.col("_n")).alias("_at"))
-             .agg(F.sum("w").alias("w")))
-    axes = F.when(F.col("_ax") == "", F.array(F.lit("all"))).otherwise(
-        F.array(F.lit("all"), F.col("_ax")))
-    spread = (decay(drawn.withColumn("axis", F.explode(axes))
-                    .withColumn("day", F.date_add("dense_start", F.col("_at"))))
-              .filter(F.col("day") <= F.col("end"))
+                          M.clean_axis(F.col("axis")).alias("ax"))
+            .filter(F.col("w") != 0))
+    usable = dense.filter(F.datediff("end", "dense_start") >= 9)
+    sized = slim.join(usable.select("series_id", (F.datediff("end", "dense_start") + 1).alias("n_days")), "series_id")
+    if draw_by == "event":
+        coef = permutation_coefficients(permutations, seed)
+        drawn = (sized.withColumn("perm", F.explode(_perm_range(permutations)))
+                 .join(F.broadcast(coef), "perm")       # ``permutations`` rows, a parameter
+                 .groupBy("series_id", "perm", "ax", "horizon", draw_index(F.col("k"), F.col("n_days")).alias("at"))
+                 .agg(F.sum("w").alias("w")))
+    else:
+        drawn = (_class_counts_draws(sized, permutations, seed).groupBy("series_id", "perm", "ax", "horizon", "at")
+                 .agg(F.sum("w").alias("w")))
+    axes = F.when(F.col("ax") == "", F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.col("ax")))
+    placed = (drawn.join(usable, "series_id").withColumn("axis", F.explode(axes))
+              .withColumn("day", F.date_add("dense_start", F.col("at"))))
+    spread = (decay(placed).filter(F.col("day") <= F.col("end"))
               .groupBy("series_id", "perm", "axis", "day").agg(F.sum("p").alias("p")))
     in_dense = (targets.join(dense, "series_id")
                 .filter(F.col("day").between(F.col("dense_start"), F.col("end")))
                 .select("series_id", "axis", "day", "change")
-                .withColumn("perm", F.explode(every)))
+                .withColumn("perm", F.explode(_perm_range(permutations))))
     null_r = (in_dense.join(spread, ["series_id", "perm", "axis", "day"], "left")
               .withColumn("p", F.coalesce("p", F.lit(0.0)))
               .groupBy("series_id", "axis", "perm").agg(M.pearson("p", "change").alias("null_r"))
               .filter(F.col("null_r").isNotNull()))
     obs = observed.filter(F.col("r").isNotNull()).select("series_id", "axis", F.col("r").alias("observed_r"))
-    rank = F.row_number().over(Window.partitionBy("series_id", "axis").orderBy(F.abs("null_r")))
+    one_test = Window.partitionBy("series_id", "axis")      # ``permutations`` rows each
     return (null_r.join(obs, ["series_id", "axis"])
-            .withColumn("_rank", rank)
-            .withColumn("_n", F.count("*").over(Window.partitionBy("series_id", "axis")))
+            .withColumn("_rank", F.row_number().over(one_test.orderBy(F.abs("null_r"))))
+            .withColumn("_n", F.count("*").over(one_test))
             .groupBy("series_id", "axis", "observed_r")
             .agg(F.count("*").alias("permutations"),
                  F.avg((F.abs("null_r") >= F.abs("observed_r")).cast("int")).alias("p_value"),

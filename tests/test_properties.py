@@ -88,3 +88,43 @@ def test_movement_report_covers_the_move(v):
     p = P.fixed_periods(v.series_ids().filter(F.col("series_id") == SUBJECT), CUR, CMP)
     rows = movement_explained(v.ledger().withColumn("series_id", F.lit(SUBJECT)), own, p).collect()
     assert sum(r["points"] for r in rows) == pytest.approx(abs(rows[0]["pct"]))
+
+
+def test_class_draws_agree_with_event_draws(v):
+    led = v.scored_ledger()
+    own = v.series().filter(F.col("series_id") == SUBJECT)
+    spans = S.overlap_span(led, own)
+    dense = spans.select("series_id", F.lit("2001-03-01").cast("date").alias("dense_start"), "end")
+    targets = S.axis_targets(v.series(), v.rivals(SUBJECT), spans).filter("axis in ('all', 'supply')")
+    obs = S.pressure_correlation(S.pressure_index(led, spans), targets, dense).filter("stretch = 'dense'")
+    by = {m: {r["axis"]: r for r in S.permutation_test(led, dense, targets, obs, 150, draw_by=m).collect()}
+          for m in ("event", "class")}
+    assert set(by["event"]) == set(by["class"]) != set()
+    for axis, r in by["event"].items():
+        assert abs(r["p_value"] - by["class"][axis]["p_value"]) < 0.2
+        assert abs(r["null_p95_abs_r"] - by["class"][axis]["null_p95_abs_r"]) < 0.15
+
+
+def test_rank_by_range_is_a_row_number(v):
+    led = v.ledger().select("arrival", "date", "title")
+    got = K.global_rank_by_range(led, ["date", "title"])
+    want = led.select("arrival", F.row_number().over(Window.orderBy("date", "title", "arrival")).alias("want"))
+    assert got.join(want, "arrival").filter("rank <> want").count() == 0 and got.count() == led.count()
+
+
+def test_period_prunes_month_folders(spark, v):
+    from pulsetrail.session import fresh_path
+    from pulsetrail.sources.ledger import read_ledger_table
+    from pulsetrail.sources.sinks import write_ledger
+    path = fresh_path(spark, "ledger")
+    write_ledger(v.ledger(), path)
+    df = read_ledger_table(spark, path, *CUR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "GreaterThanOrEqual(date" in plan
+    assert df.count() == v.ledger().filter(F.col("date").between(*CUR)).count()
+
+
+def test_first_row_per_key_is_cut_before_the_shuffle(v):
+    from pulsetrail.operators.ledger import first_per_key
+    plan = first_per_key(v.ledger(), ["category"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
