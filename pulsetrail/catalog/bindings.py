@@ -179,7 +179,9 @@ class Views:
     def scored_ledger(self) -> DataFrame:
         """Ledger tied to the subject's series, without the one-day last month."""
         return (self.ledger().filter(F.col("date") <= F.lit("2001-07-31").cast("date"))
-                .withColumn("series_id", F.lit(SUBJECT)))
+                # of the row, not a literal: a literal key would fold the equality
+                # joins on it into products
+                .withColumn("series_id", F.when(F.col("arrival").isNotNull(), SUBJECT)))
 
     def vitals(self) -> DataFrame:
         """Weekly (metric, period_end, p75)."""

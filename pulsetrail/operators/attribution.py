@@ -45,6 +45,21 @@ def seasonal_baseline(series: DataFrame, periods: DataFrame, max_back: int = 10)
                     "replays"))
 
 
+def _vitals_means(vitals: DataFrame, periods: DataFrame) -> DataFrame:
+    """Mean vitals of both periods of each comparison (``v1``, ``v0``).
+
+    Vitals belong to the site, so they are found by day, not by series.
+    """
+    day = lambda part: lambda d: F.struct(F.lit(part).alias("part"), d.alias("day"))
+    days = periods.select(*_LABELS, F.inline(F.concat(
+        F.transform(F.sequence("cur_start", "cur_end"), day("cur")),
+        F.transform(F.sequence("cmp_start", "cmp_end"), day("cmp")))))
+    points = vitals.select(F.col("period_end").alias("day"), "p75")
+    return days.join(points, "day").groupBy(*_LABELS).agg(
+        F.avg(F.when(F.col("part") == "cur", F.col("p75"))).alias("v1"),
+        F.avg(F.when(F.col("part") == "cmp", F.col("p75"))).alias("v0"))
+
+
 def log_attribution(basis: DataFrame, series: DataFrame, rivals: DataFrame, periods: DataFrame,
                     vitals: DataFrame | None = None) -> DataFrame:
     """Demand, share and supply parts of each comparison's log move.
@@ -60,13 +75,7 @@ def log_attribution(basis: DataFrame, series: DataFrame, rivals: DataFrame, peri
     market = market.select(*_LABELS, F.col("cur_avg").alias("d1"), F.col("cmp_avg").alias("d0"))
     moved = total.join(market, _LABELS)
     if vitals is not None:
-        pts = vitals.select(F.col("period_end").alias("day"), F.col("p75").alias("value"))
-        # vitals belong to the site, not to one series: a few points per week
-        site = (periods.select(*PERIOD_COLUMNS).distinct()
-                .withColumn("series_id", F.lit("site")))
-        lcp = period_means(pts.withColumn("series_id", F.lit("site")), site)
-        moved = moved.join(lcp.select(*PERIOD_COLUMNS, F.col("cur_avg").alias("v1"),
-                                      F.col("cmp_avg").alias("v0")), list(PERIOD_COLUMNS), "left")
+        moved = moved.join(_vitals_means(vitals, periods), _LABELS, "left")
     else:
         moved = moved.withColumn("v1", F.lit(None).cast("double")).withColumn("v0", F.lit(None).cast("double"))
     usable = ((F.col("t0") != 0) & (F.col("d0") != 0) & F.col("t1").isNotNull()

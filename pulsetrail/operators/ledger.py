@@ -228,14 +228,14 @@ def split_report(split: DataFrame) -> DataFrame:
     The median comes from a count per distinct length, so it is exact and its
     input is bounded by the number of different lengths.
     """
-    n = F.length("facts")
-    lengths = split.filter("changed").groupBy(n.alias("len")).agg(F.count("*").alias("n"))
+    length = F.when(F.col("changed"), F.length("facts"))
+    lengths = split.groupBy(length.alias("len")).agg(F.count("*").alias("n"))
+    changed = F.when(F.col("len").isNotNull(), F.col("n")).otherwise(0)
     # distinct lengths are few; a running count over them locates the middle
-    w = Window.orderBy("len")
-    mid = (lengths.withColumn("_upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-           .withColumn("_total", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-           .agg(F.min("len").alias("min_len"),
-                F.min(F.when(F.col("_upto") > F.floor(F.col("_total") / 2), F.col("len"))).alias("median_len")))
-    counts = split.agg(F.count_if("changed").alias("changed"), F.count_if(~F.col("changed")).alias("unchanged"))
-    one = F.lit(1).alias("_one")
-    return (counts.select("*", one).join(mid.select("*", one), "_one", "left").drop("_one"))
+    every = Window.orderBy(F.asc_nulls_first("len"))
+    upto = F.sum(changed).over(every.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum(changed).over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return (lengths.withColumn("_upto", upto).withColumn("_total", total)
+            .agg(F.sum(changed).alias("changed"), (F.sum("n") - F.sum(changed)).alias("unchanged"),
+                 F.min("len").alias("min_len"),
+                 F.min(F.when(F.col("_upto") > F.floor(F.col("_total") / 2), F.col("len"))).alias("median_len")))

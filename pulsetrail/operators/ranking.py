@@ -13,7 +13,9 @@ from pulsetrail.session import shared_dir
 def rivals_of_divisions(membership: DataFrame, subject: str, divisions) -> DataFrame:
     """(subject_id, series_id): distinct competitors of the given divisions."""
     return (membership.filter(F.col("division").isin(*divisions) & (F.col("series_id") != subject))
-            .select(F.lit(subject).alias("subject_id"), "series_id").distinct())
+            # not a literal, so that joins on it stay equality joins
+            .select(F.when(F.col("series_id").isNotNull(), subject).alias("subject_id"), "series_id")
+            .distinct())
 
 
 def rank_keys(move: Column) -> list[Column]:
