@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsetrail.llm.common import documents, importable
 
@@ -40,3 +40,19 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsetrail.llm.tokens import round_trip
 
     return round_trip(documents(spark, sf_dir), WORD_BPE)
+
+
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsetrail.llm.suffix_dedup import remove_copies
+
+    return remove_copies(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsetrail.llm.substring_dedup import remove_passages
+
+    return remove_passages(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
