@@ -56,3 +56,17 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsetrail.llm.substring_dedup import remove_passages
 
     return remove_passages(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsetrail.llm.quality import judge
+
+    return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsetrail.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
