@@ -277,11 +277,12 @@ class Lexicon:
 class Encoder:
     """Chunks of text (between white space of ASCII) to ids, with a bounded memory of what was met before."""
 
-    LIMIT = 200_000
+    LIMIT = 500_000
 
     def __init__(self, table: MergeTable, lexicon: Lexicon | None = None):
         self.table, self.lexicon = table, lexicon
         self.known: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [p.encode() for p in pieces]
@@ -311,9 +312,14 @@ class Encoder:
 
     def learn(self, rows: list[list[bytes]]) -> dict[bytes, bytes]:
         """Every chunk of the rows: its ids as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        new = list(set().union(*rows).difference(self.known)) if rows else []
+        met = set().union(*rows) if rows else set()
+        new = list(met.difference(self.known))
+        if len(self.known) > self.LIMIT:  # keep what has come back since the last time
+            self.again.update(met.difference(new))
+            self.known = {c: self.known[c] for c in self.again}
+            self.again = set()
+        elif len(self.known) > self.LIMIT // 2:
+            self.again.update(met.difference(new))
         for lo in range(0, len(new), 100_000):
             part = new[lo:lo + 100_000]
             pieces, begin = self.table.pieces(part)
@@ -328,3 +334,14 @@ class Encoder:
             bounds = ends.tolist()
             self.known.update(zip(part, map(raw.__getitem__, map(slice, bounds[:-1], bounds[1:]))))
         return self.known
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder of the vocabulary: what one task has learned serves the next."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(merge_table(path))
+    return _ENCODERS[path]

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pulsetrail.llm.bpe import Encoder, merge_table
+from pulsetrail.llm.bpe import encoder
 from pulsetrail.llm.common import column, keyed, longs, public_id, slices, stored
 from pulsetrail.llm.tokens import rows_of
 
@@ -133,11 +133,11 @@ def pieces(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int = CAPAC
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        encoder, tail = Encoder(merge_table(vocabulary)), np.array([end], "<u4").tobytes()
+        known_words, tail = encoder(vocabulary), np.array([end], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch):
                 rows = rows_of(part)
-                known = encoder.learn(rows)
+                known = known_words.learn(rows)
                 out: list[tuple[int, int, int, int, int]] = []
                 for doc, r in zip(longs(part, "doc_id").tolist(), rows):
                     raw = b"".join(map(known.__getitem__, r)) + tail
