@@ -70,3 +70,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsetrail.llm.simhash import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsetrail.llm.suffix_tree import score
+
+    return score(documents(spark, sf_dir))
