@@ -310,32 +310,58 @@ class Encoder:
             out[start[i]] = self.table.special[pieces[i]]
         return out, start
 
-    def learn(self, rows: list[list[bytes]]) -> dict[bytes, bytes]:
-        """Every chunk of the rows: its ids as little-endian unsigned 32-bit numbers."""
+    def new_chunks(self, rows: list[list[bytes]], known: dict) -> list[bytes]:
+        """Chunks of the rows that ``known`` lacks; of a memory grown too large, only what has come back is kept."""
         met = set().union(*rows) if rows else set()
-        new = list(met.difference(self.known))
-        if len(self.known) > self.LIMIT:  # keep what has come back since the last time
+        new = list(met.difference(known))
+        if len(known) > self.LIMIT // 2:
             self.again.update(met.difference(new))
-            self.known = {c: self.known[c] for c in self.again}
+        if len(known) > self.LIMIT:
+            kept = {c: known[c] for c in self.again}
+            known.clear()
+            known.update(kept)
             self.again = set()
-        elif len(self.known) > self.LIMIT // 2:
-            self.again.update(met.difference(new))
+        return new
+
+    def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and where each chunk's begin (one more at the end)."""
+        pieces, begin = self.table.pieces(chunks)
+        distinct = list(dict.fromkeys(pieces))
+        index = dict(zip(distinct, range(len(distinct))))
+        ids, start = self.encode_pieces(distinct)
+        which = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
+        n = start[which + 1] - start[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        inside = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
+        return ids[np.repeat(start[which], n) + inside], ends[begin]
+
+    def learn(self, rows: list[list[bytes]]) -> dict[bytes, bytes]:
+        """Every chunk of the rows: its ids as little-endian unsigned 32-bit numbers."""
+        new = self.new_chunks(rows, self.known)
         for lo in range(0, len(new), 100_000):
             part = new[lo:lo + 100_000]
-            pieces, begin = self.table.pieces(part)
-            distinct = list(dict.fromkeys(pieces))
-            index = dict(zip(distinct, range(len(distinct))))
-            ids, start = self.encode_pieces(distinct)
-            which = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
-            n = start[which + 1] - start[which]
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            raw = ids[np.repeat(start[which], n) + inside].astype("<u4").tobytes()
-            ends = np.concatenate([[0], np.cumsum(n)])[begin] * 4
-            bounds = ends.tolist()
+            ids, begin = self.encode_chunks(part)
+            raw, bounds = ids.astype("<u4").tobytes(), (begin * 4).tolist()
             self.known.update(zip(part, map(raw.__getitem__, map(slice, bounds[:-1], bounds[1:]))))
         return self.known
 
 
+class Spelling:
+    """What each id is written as, followed by a space; ids to text in numpy."""
+
+    def __init__(self, strings: list[bytes]):
+        self.data = np.frombuffer(b" ".join(strings) + b" ", np.uint8)
+        self.size = np.array([len(s) + 1 for s in strings], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def chunks(self, ids: np.ndarray, begin: np.ndarray) -> list[bytes]:
+        n = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = self.data[np.repeat(self.begin[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        bounds = ends[begin].tolist()
+        return list(map(raw.__getitem__, map(slice, bounds[:-1], bounds[1:])))
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

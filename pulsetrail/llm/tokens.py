@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from pulsetrail.llm.bpe import Encoder, Lexicon, merge_table
+from pulsetrail.llm.bpe import Encoder, Lexicon, Spelling, merge_table
 from pulsetrail.llm.common import column, keyed, longs, public_id, slices
 
 WORDS = 1 << 16
@@ -115,27 +115,27 @@ def round_trip(docs: DataFrame, vocabulary: str, words: int = WORDS) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(merge_table(vocabulary), mapped(lexicon))
-        names = [n.encode() for n in encoder.table.names]
-        decimal = [str(i).encode() for i in range(len(names))]
-        spelled: dict[bytes, tuple[bytes, bytes]] = {}
+        strings = [n.encode() for n in encoder.table.names]
+        names, decimals = Spelling(strings), Spelling([str(i).encode() for i in range(len(strings))])
+        written: dict[bytes, bytes] = {}
+        spelled: dict[bytes, bytes] = {}
         for batch in batches:
             for part in slices(batch):
                 rows = rows_of(part)
-                known = encoder.learn(rows)
-                if len(spelled) > encoder.LIMIT:
-                    spelled.clear()
-                for c in set().union(*rows).difference(spelled):
-                    ids = memoryview(known[c]).cast("I").tolist()
-                    if ids:
-                        spelled[c] = (b" ".join([decimal[i] for i in ids]), b" ".join([names[i] for i in ids]))
-                    else:  # nothing but white space beyond ASCII
-                        spelled[c] = (b"", b"")
+                new = encoder.new_chunks(rows, written)
+                if len(spelled) > len(written):
+                    spelled = {c: spelled[c] for c in written}
+                for lo in range(0, len(new), 100_000):
+                    chunks = new[lo:lo + 100_000]
+                    ids, begin = encoder.encode_chunks(chunks)
+                    written.update(zip(chunks, decimals.chunks(ids, begin)))
+                    spelled.update(zip(chunks, names.chunks(ids, begin)))
                 n, ids_sha, text_sha = [], [], []
                 for r in rows:
-                    n.append(sum(map(len, map(known.__getitem__, r))) // 4)
-                    pairs = list(filter(all, map(spelled.__getitem__, r)))
-                    ids_sha.append(hashlib.sha256(b" ".join([p[0] for p in pairs])).hexdigest())
-                    text_sha.append(hashlib.sha256(b" ".join([p[1] for p in pairs])).hexdigest())
+                    ids = b"".join(map(written.__getitem__, r))
+                    n.append(ids.count(b" "))
+                    ids_sha.append(hashlib.sha256(ids[:-1]).hexdigest())
+                    text_sha.append(hashlib.sha256(b"".join(map(spelled.__getitem__, r))[:-1]).hexdigest())
                 yield pa.RecordBatch.from_arrays([pa.array(longs(part, "doc_id")), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()),
                                                   pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
