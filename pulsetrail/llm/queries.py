@@ -77,3 +77,17 @@ def op5_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsetrail.llm.suffix_tree import score
 
     return score(documents(spark, sf_dir))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsetrail.llm.toxicity import rate
+
+    return rate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsetrail.llm.language import identify
+
+    return identify(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
