@@ -91,3 +91,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsetrail.llm.language import identify
 
     return identify(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+@query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsetrail.llm.neighbours import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
