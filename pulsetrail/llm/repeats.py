@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pulsetrail.llm.common import SLICE, column, longs, mix, slices, span_hashes, stored, text_buffer, whole_groups, word_bounds
 
 #: classes of one anchor beyond which its windows are dealt out by content
-CROWD = 512
-_A, _B, _C = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+CROWD = 1 << 14
+_A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
 def packed(data: np.ndarray) -> np.ndarray:
@@ -53,14 +53,14 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def byte_grams(units: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of the ``gram`` bytes (17 to 24) from every position."""
+    """A hash of the ``gram`` bytes (8 or more) from every position."""
     x = packed(units)
     n = len(units) - gram + 1
-    h = x[:n] * _A
-    h ^= h >> np.uint64(31)
-    h += x[8:8 + n] * _B
-    h ^= h >> np.uint64(29)
-    h += x[gram - 8:gram - 8 + n] * _C
+    h = np.zeros(n, np.uint64)
+    for k in [*range(0, gram - 8, 8), gram - 8]:
+        h ^= x[k:k + n]
+        h *= _A
+        h ^= h >> np.uint64(31)
     return mix(h)
 
 
@@ -83,7 +83,7 @@ class Kind:
     by_position: bool  # late after an earlier start in the same document too, or only after a smaller doc_id
 
 
-def byte_kind(width: int = 100, gram: int = 20) -> Kind:
+def byte_kind(width: int = 100, gram: int = 24) -> Kind:
     return Kind(width, min(gram, width), bytes_of, byte_grams, True)
 
 
@@ -137,7 +137,7 @@ def runs(docs: DataFrame, kind: Kind, anchors_only: bool = False) -> DataFrame:
     """``anchor`` and, unless only that is asked for, ``content, doc_id, start, n`` of every run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, limit=SLICE // 2):
                 doc = longs(b, "doc_id")
                 for units, offsets, rows, shift in segments(*text_buffer(column(b, "text")), kind):
                     anchor, where, n, part = anchor_runs(units, offsets, kind)
@@ -227,11 +227,12 @@ def late_windows(units: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start:
 
 def find(docs: DataFrame, kind: Kind) -> DataFrame:
     """Late windows as ranges: ``doc_id, start, n`` (window starts ``start`` to ``start + n - 1``)."""
-    counts = runs(docs, kind, anchors_only=True).groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # each side of a join is a table of its own, so that adaptive execution can split a hot anchor
+    counts = stored(runs(docs, kind, anchors_only=True).groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
     repeated = stored(runs(docs, kind).join(counts, "anchor"), "repeated-runs")
     place: Column = F.struct("doc_id", "start") if kind.by_position else F.struct("doc_id")
-    classes = repeated.groupBy("anchor", "content").agg(F.min(place).alias("first"))
-    crowded = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1")
+    classes = stored(repeated.groupBy("anchor", "content").agg(F.min(place).alias("first")), "run-classes")
+    crowded = stored(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"), "crowded-anchors")
     marked = stored(repeated.join(classes, ["anchor", "content"]).withColumn("late", place > F.col("first")).drop("first", "content"), "marked-runs")
     # a document has no more runs than windows, so its list is bounded by its length
     asked = marked.where("not late").join(crowded, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "classes", "start", "n")).alias("runs"))
