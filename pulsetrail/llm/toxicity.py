@@ -161,7 +161,7 @@ def rate(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> Dat
     Labels are read only where ``crc32(doc_id) mod 5`` is not 0. A null or empty text has no features
     and gets the score of the bias. Without a confirmed toxic document every score is 0.
     """
-    docs = keyed(docs, *carry).withColumn("held_out", held_out(5, 0))
+    docs = keyed(docs, *[c for c in carry if c != "text"]).withColumn("held_out", held_out(5, 0))
     model = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text"), labels))
     kept = ["doc_id", *[c for c in carry if c != "text"], "text", "held_out"] if "text" in carry else ["doc_id", *carry, "held_out"]
     schema = docs.select(*kept).schema.add("score", "double")
