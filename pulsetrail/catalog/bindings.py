@@ -37,7 +37,7 @@ class Views:
             self._tables["ledger()"] = self._ledger()
         return self._tables["ledger()"]
 
-    def _ledger(self) -> DataFrame:
+    def _ledger(self, *more) -> DataFrame:
         k = F.col("arrival")
         o = self.table("orders").select(
             F.col("o_orderkey").alias("arrival"), "o_custkey", "o_orderstatus",
@@ -114,6 +114,7 @@ class Views:
                 .when(k % 6 == 3, F.lower("r_name"))
                 .when(k % 6 == 4, F.concat("n_name", F.lit(";"), "r_name"))
                 .otherwise("").alias("raw_scope"),
+                *more,
             ))
 
     def places(self):
@@ -129,10 +130,20 @@ class Views:
         return Places.from_frames(countries, regions, all_words=("WW", "WORLDWIDE"), all_name=ALL)
 
     # ---- T -----------------------------------------------------------------
-    def sales(self) -> DataFrame:
-        """Unaggregated series points: (series_id, day, cents, arrival, nation)."""
+    def sales(self, *periods: tuple[str, str]) -> DataFrame:
+        """Unaggregated series points: (series_id, day, cents, arrival, nation).
+
+        With ``periods`` (first and last day of each) only their points: the
+        bounds are literals on the stored column, so they reach the scan.
+        """
         li = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate",
                                            "l_extendedprice")
+        if periods:
+            kind, inside = li.schema["l_shipdate"].dataType, F.lit(False)
+            for first, last in periods:
+                start, stop = F.lit(first).cast(kind), F.date_add(F.lit(last).cast("date"), 1).cast(kind)
+                inside |= (F.col("l_shipdate") >= start) & (F.col("l_shipdate") < stop)
+            li = li.filter(inside)
         o = self.table("orders").select("o_orderkey", "o_custkey")
         c = self.table("customer").select("c_custkey", "c_mktsegment", "c_nationkey")
         return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -144,8 +155,8 @@ class Views:
                         F.col("l_linenumber").alias("line"),
                         F.col("c_nationkey").alias("nation_id")))
 
-    def series(self) -> DataFrame:
-        return (self.sales().groupBy("series_id", "day")
+    def series(self, *periods: tuple[str, str]) -> DataFrame:
+        return (self.sales(*periods).groupBy("series_id", "day")
                 .agg(F.sum("cents").cast("double").alias("value")))
 
     def stored_series(self) -> DataFrame:
@@ -177,11 +188,10 @@ class Views:
         return self.table("customer").select(F.col("c_mktsegment").alias("series_id")).distinct()
 
     def scored_ledger(self) -> DataFrame:
-        """Ledger tied to the subject's series, without the one-day last month."""
-        return (self.ledger().filter(F.col("date") <= F.lit("2001-07-31").cast("date"))
-                # of the row, not a literal: a literal key would fold the equality
-                # joins on it into products
-                .withColumn("series_id", F.when(F.col("arrival").isNotNull(), SUBJECT)))
+        """Ledger with each event tied to the series of its own segment."""
+        if "scored()" not in self._tables:
+            self._tables["scored()"] = self._ledger(F.col("c_mktsegment").alias("series_id"))
+        return self._tables["scored()"]
 
     def vitals(self) -> DataFrame:
         """Weekly (metric, period_end, p75)."""
@@ -208,7 +218,7 @@ class Views:
         k = F.col("doc_id")
         return self.table("documents").select(
             k.alias("arrival"), F.col("source").alias("label"), "lang", "text",
-            F.substring(F.substring_index("text", "\n", 1), 1, 140).alias("title"),
+            F.substring_index("text", "\n", 1).alias("title"),
             F.date_add(F.lit("2024-01-01").cast("date"), (k % 30).cast("int")).alias("date"),
             F.when(k % 5 == 0, F.concat(F.lit("https://www.n.example/a/"),
                                         (k % 450).cast("string"), F.lit("?u="),
@@ -217,8 +227,7 @@ class Views:
     def story_ledger(self) -> DataFrame:
         """Stories as ledger rows for the duplicate rules."""
         k = F.col("arrival")
-        second = F.substring(F.substring_index(F.substring_index("text", "\n", 2), "\n", -1),
-                             1, 60)
+        second = F.substring_index(F.substring_index("text", "\n", 2), "\n", -1)
         return self.stories().select(
             k, F.concat(F.when(k % 10 == 0, "E").otherwise("A"), k.cast("string"))
             .alias("event_id"), "label", F.col("title").alias("raw_title"),
@@ -236,9 +245,8 @@ class Views:
 
     # ---- R -----------------------------------------------------------------
     def verdicts(self) -> DataFrame:
-        """One verdict per (item, provider); three providers."""
-        li = self.table("lineitem").filter(F.col("l_linenumber") <= 3)
-        return (li.groupBy(F.col("l_orderkey").alias("item_id"),
+        """One verdict per (item, provider)."""
+        return (self.table("lineitem").groupBy(F.col("l_orderkey").alias("item_id"),
                            F.col("l_linenumber").cast("long").alias("provider"))
                 .agg(F.min("l_linestatus").alias("st"), F.min("l_returnflag").alias("direction"),
                      F.min("l_quantity").alias("q"))
@@ -351,7 +359,7 @@ def normalised_sql(src: str, key: str, col: str, out: str) -> str:
 STORIES = """
 stories AS (
  SELECT doc_id AS arrival, source AS label, lang, text,
-  substr(split_part(text, chr(10), 1), 1, 140) AS title,
+  split_part(text, chr(10), 1) AS title,
   DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS date,
   CASE WHEN doc_id % 5 = 0 THEN 'https://www.n.example/a/' || (doc_id % 450) || '?u=' || doc_id END AS url
  FROM documents)"""
@@ -360,8 +368,8 @@ STORY_LEDGER = STORIES + """,
 story_ledger AS (
  SELECT arrival, (CASE WHEN arrival % 10 = 0 THEN 'E' ELSE 'A' END) || arrival AS event_id,
   label, title AS raw_title,
-  '[' || label || '] ' || substr(CASE WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 2)
-   ELSE text END, 1, 60) AS title,
+  '[' || label || '] ' || CASE WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 2)
+   ELSE text END AS title,
   url AS raw_url, date, date + CAST(arrival % 4 AS INTEGER) AS captured_date,
   CASE WHEN arrival % 3 = 0 THEN date - 2 END AS raw_date
  FROM stories)"""
@@ -379,11 +387,11 @@ verdicts AS (
   {sql_pick('q % 4', [*vocab.AXES, ''])} AS axis
  FROM (SELECT l_orderkey AS item_id, CAST(l_linenumber AS BIGINT) AS provider,
   min(l_linestatus) AS st, min(l_returnflag) AS direction, min(l_quantity) AS q
-  FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL))"""
+  FROM lineitem GROUP BY ALL))"""
 
 
-SCORED = LEDGER + f""",
-scored_ledger AS (SELECT *, '{SUBJECT}' AS series_id FROM ledger WHERE date <= DATE '2001-07-31')"""
+SCORED = LEDGER + """,
+scored_ledger AS (SELECT l.*, l0.seg AS series_id FROM ledger l JOIN l0 ON l0.k = l.arrival)"""
 
 
 def with_(body: str, *ctes: str) -> str:

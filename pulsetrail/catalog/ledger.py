@@ -231,10 +231,14 @@ def _(v):
 
 
 @query("dedup_date_title", with_("""
-SELECT CAST(date AS VARCHAR) AS date, 'E' || (100 + row_number() OVER (ORDER BY date, title, arrival)) AS event_id, arrival FROM (
- SELECT *, row_number() OVER (PARTITION BY date, substr(title, 1, 7) ORDER BY arrival) AS r FROM ledger) WHERE r = 1""", LEDGER))
+SELECT 'whole' AS form, CAST(date AS VARCHAR) AS date, event_id, arrival FROM ledger QUALIFY row_number() OVER (PARTITION BY date, title ORDER BY arrival) = 1
+UNION ALL SELECT 'curated', CAST(date AS VARCHAR), 'E' || (100 + row_number() OVER (ORDER BY date, title, arrival)), arrival FROM (
+ SELECT *, row_number() OVER (PARTITION BY date, substr(title, 1, 40) ORDER BY arrival) AS r FROM ledger) WHERE r = 1""", LEDGER))
 def _(v):
-    return L.number_curated(L.dedup_date_title(v.ledger(), 7)).select("date", "event_id", "arrival")
+    """The whole title for stored events, its head for curated rows, which are numbered anew."""
+    whole = L.dedup_date_title(v.ledger()).select(F.lit("whole").alias("form"), "date", "event_id", "arrival")
+    curated = L.number_curated(L.dedup_date_title(v.ledger(), vocab.CURATED_TITLE_CHARS))
+    return whole.unionByName(curated.select(F.lit("curated").alias("form"), "date", "event_id", "arrival"))
 
 
 @query("feed_date", with_("""
@@ -531,6 +535,23 @@ def calls(v):
     return v.verdicts().select("provider", F.inline(counters))
 
 
-@query("provider_usage", with_("SELECT provider, attempt, ok, language_reject, empty FROM calls", VERDICTS, CALLS))
+def provider_log(v):
+    """One run per provider's calls, written as the log keeps them and read back."""
+    from pulsetrail.session import fresh_path
+    from pulsetrail.sources.ledger import read_provider_log
+    per = calls(v).groupBy(F.col("provider").cast("string").alias("provider"), "counter").agg(F.sum("n").cast("long").alias("n"))
+    counts = per.groupBy("provider").agg(F.map_from_entries(F.collect_list(F.struct("counter", "n"))).alias("c"))   # four counters
+    run = counts.select(F.lit("2024-01-05").alias("date"), F.concat(F.lit("2024-01-05T0"), "provider").alias("at"), F.lit("judge").alias("stage"),
+                        F.col("c.attempt").alias("total_attempts"), F.create_map("provider", "c").alias("providers"))
+    path = fresh_path(v.spark, "provider-log")
+    run.write.json(path)
+    return read_provider_log(v.spark, path, multi_line=False)
+
+
+@query("provider_usage", with_("""
+SELECT CAST(provider AS VARCHAR) AS provider, attempt, ok, language_reject, empty, attempt AS total_attempts FROM calls""", VERDICTS, CALLS))
 def _(v):
-    return R.provider_usage(calls(v), ["attempt", "ok", "language_reject", "empty"])
+    log = provider_log(v)
+    usage = R.provider_usage(log, ["attempt", "ok", "language_reject", "empty"])
+    total = R.total_attempts(log).select(F.substring("run_at", -1, 1).alias("provider"), "total_attempts")
+    return usage.join(total, "provider")

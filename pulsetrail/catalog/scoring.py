@@ -8,15 +8,16 @@ from pulsetrail import vocab
 from pulsetrail.catalog.bindings import CMP, CUR, RIVALS, SCORED, SERIES, SUBJECT, VITALS, with_
 from pulsetrail.catalog.registry import query
 from pulsetrail.catalog.series import (CHANGE, COMP, MARKET, MEASURED, MERGED, VERDICT, ZERO,
-                                       _measured, _year_series, c4, day, means, periods, r4)
+                                       _measured, c4, day, means, periods, r4)
 from pulsetrail.functions import measures as M
 from pulsetrail.operators import (attribution as A, periods as P, ranking as K, scoring as S,
                                   series as O)
 from pulsetrail.plans import reports
 
-RS = RIVALS + f""",
-span AS (SELECT greatest((SELECT min(day) FROM series WHERE series_id = '{SUBJECT}'), (SELECT min(date) FROM scored_ledger)) AS s,
- least((SELECT max(day) FROM series WHERE series_id = '{SUBJECT}'), (SELECT max(date) FROM scored_ledger)) AS e),
+RS = RIVALS + """,
+reach AS (SELECT series_id, min(day) AS d0, max(day) AS d1 FROM series GROUP BY 1),
+dated AS (SELECT series_id, min(date) AS e0, max(date) AS e1 FROM scored_ledger GROUP BY 1),
+span AS (SELECT series_id, greatest(d0, e0) AS s, least(d1, e1) AS e FROM reach JOIN dated USING (series_id) WHERE least(d1, e1) > greatest(d0, e0)),
 weighted AS (SELECT *, greatest(1, least(5, coalesce(nullif(impact_strength, 0), 2)))
   * CASE confidence WHEN 'high' THEN 1.0::DOUBLE WHEN 'med' THEN 0.66::DOUBLE ELSE 0.33::DOUBLE END
   * CASE impact_direction WHEN '+' THEN 1.0::DOUBLE WHEN '-' THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS w,
@@ -24,56 +25,55 @@ weighted AS (SELECT *, greatest(1, least(5, coalesce(nullif(impact_strength, 0),
   CASE impact_horizon WHEN 'immediate' THEN 7 WHEN 'weeks' THEN 28 ELSE 90 END AS win FROM scored_ledger),
 axes AS (SELECT unnest(['demand', 'share', 'supply', 'all']) AS axis)"""
 PRESSURE = """
-days AS (SELECT unnest(generate_series(s::TIMESTAMP, e::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM span),
-impulse AS (SELECT a.axis, date, hl, sum(w) AS w FROM weighted x JOIN axes a ON a.axis = 'all' OR a.axis = x.axis WHERE w <> 0 GROUP BY ALL),
-spread AS (SELECT axis, date + age AS day, sum(w * pow(0.5, age / hl)) AS p
+days AS (SELECT series_id, unnest(generate_series(s::TIMESTAMP, e::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM span),
+impulse AS (SELECT x.series_id, a.axis, date, hl, sum(w) AS w FROM weighted x JOIN axes a ON a.axis = 'all' OR a.axis = x.axis WHERE w <> 0 GROUP BY ALL),
+spread AS (SELECT series_id, axis, date + age AS day, sum(w * pow(0.5, age / hl)) AS p
  FROM (SELECT *, unnest(range(0, 4 * hl + 1))::INTEGER AS age FROM impulse) GROUP BY ALL),
-pressure AS (SELECT axis, day, coalesce(p, 0) AS p FROM (SELECT axis, day FROM days, axes) LEFT JOIN spread USING (axis, day))"""
+pressure AS (SELECT series_id, axis, day, coalesce(p, 0) AS p FROM (SELECT series_id, axis, day FROM days, axes) LEFT JOIN spread USING (series_id, axis, day))"""
 DENSE_START = """
-months AS (SELECT unnest(generate_series(date_trunc('month', s)::TIMESTAMP, date_trunc('month', e)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS m, s, e FROM span),
-month_n AS (SELECT m, s, e, count(l.date) AS n FROM months LEFT JOIN scored_ledger l ON date_trunc('month', l.date)::DATE = m GROUP BY ALL),
-dense_w AS (SELECT CASE WHEN max(m) FILTER (n < {minimum}) IS NULL THEN min(s)
-  WHEN max(m) FILTER (n < {minimum}) < max(m) THEN (max(m) FILTER (n < {minimum}) + INTERVAL 1 MONTH)::DATE END AS dense_start, max(e) AS e FROM month_n)"""
-MONTH_MIN = 150
+months AS (SELECT series_id, unnest(generate_series(date_trunc('month', s)::TIMESTAMP, date_trunc('month', e)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS m, s, e FROM span),
+month_n AS (SELECT x.series_id, m, s, e, count(l.date) AS n FROM months x LEFT JOIN scored_ledger l ON l.series_id = x.series_id AND date_trunc('month', l.date)::DATE = m GROUP BY ALL),
+dense_w AS (SELECT series_id, CASE WHEN max(m) FILTER (n < {minimum}) IS NULL THEN min(s)
+  WHEN max(m) FILTER (n < {minimum}) < max(m) THEN (max(m) FILTER (n < {minimum}) + INTERVAL 1 MONTH)::DATE END AS dense_start, max(e) AS e FROM month_n GROUP BY 1)"""
 
 
-@query("event_weight", with_(f"SELECT event_id, {r4('w')} AS weight FROM weighted", SERIES, SCORED, RS))
+@query("event_weight", with_(f"SELECT event_id, series_id, {r4('w')} AS weight FROM weighted", SERIES, SCORED, RS))
 def _(v):
     w = M.event_weight(F.col("impact_strength"), F.col("confidence"), F.col("impact_direction"))
-    return v.scored_ledger().select("event_id", M.half_up(w, 4).alias("weight"))
+    return v.scored_ledger().select("event_id", "series_id", M.half_up(w, 4).alias("weight"))
 
 
 def _spans(v):
-    own = v.stored_series().filter(F.col("series_id") == SUBJECT)
-    return S.overlap_span(v.scored_ledger(), own)
+    return S.overlap_span(v.scored_ledger(), v.stored_series())
 
 
-@query("pressure_index", with_(f"SELECT axis, CAST(day AS VARCHAR) AS day, {r4('p')} AS p FROM pressure", SERIES, SCORED, RS, PRESSURE))
+@query("pressure_index", with_(f"SELECT series_id, axis, CAST(day AS VARCHAR) AS day, {r4('p')} AS p FROM pressure", SERIES, SCORED, RS, PRESSURE))
 def _(v):
-    return S.pressure_index(v.scored_ledger(), _spans(v)).select("axis", "day", c4("p"))
+    return S.pressure_index(v.scored_ledger(), _spans(v)).select("series_id", "axis", "day", c4("p"))
 
 
-@query("dense_window", with_("""
-SELECT minimum, CAST(d AS VARCHAR) AS dense_start FROM (
- SELECT 100 AS minimum, (SELECT dense_start FROM d100) AS d UNION ALL SELECT 180, (SELECT dense_start FROM d180)
- UNION ALL SELECT 100000, NULL)""".replace("SELECT minimum", "SELECT CAST(minimum AS BIGINT) AS minimum"),
+MINIMA = (1, vocab.MONTH_MINIMUM, 100000)
+
+
+@query("dense_window", with_(" UNION ALL ".join(
+    f"SELECT series_id, CAST({m} AS BIGINT) AS minimum, CAST(dense_start AS VARCHAR) AS dense_start FROM d{m}" for m in MINIMA),
                              SERIES, SCORED, RS,
                              *[DENSE_START.format(minimum=m).replace("dense_w", f"d{m}").replace("month_n", f"mn{m}").replace("months", f"ms{m}")
-                               for m in (100, 180)]))
+                               for m in MINIMA]))
 def _(v):
     led, spans = v.scored_ledger(), _spans(v)
     out = None
-    for m in (100, 180, 100000):
-        one = S.dense_window(led, spans, m).select(F.lit(m).alias("minimum"), "dense_start")
+    for m in MINIMA:
+        one = S.dense_window(led, spans, m).select("series_id", F.lit(m).alias("minimum"), "dense_start")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-WINDOWS = f"""
-own_series AS (SELECT day, value FROM series WHERE series_id = '{SUBJECT}'),
-ev AS (SELECT w.*, (SELECT avg(value) FROM own_series s WHERE s.day BETWEEN w.date - 14 AND w.date - 1) AS before_mean,
-  (SELECT avg(value) FROM own_series s WHERE s.day BETWEEN w.date + 1 AND w.date + win) AS after_mean,
-  (SELECT count(*) FROM own_series s WHERE s.day BETWEEN w.date + 1 AND w.date + win) AS after_n FROM weighted w),
+WINDOWS = """
+ev AS (SELECT w.*, (SELECT avg(value) FROM series s WHERE s.series_id = w.series_id AND s.day BETWEEN w.date - 14 AND w.date - 1) AS before_mean,
+  (SELECT avg(value) FROM series s WHERE s.series_id = w.series_id AND s.day BETWEEN w.date + 1 AND w.date + win) AS after_mean,
+  (SELECT count(*) FROM series s WHERE s.series_id = w.series_id AND s.day BETWEEN w.date + 1 AND w.date + win) AS after_n FROM weighted w
+ WHERE series_id IN (SELECT series_id FROM series)),
 scored AS (SELECT *, CASE WHEN impact_direction NOT IN ('+', '-') THEN 'skipped' WHEN after_n / win < 0.95 THEN 'unfinished'
   WHEN coalesce(before_mean, 0) = 0 THEN 'skipped' ELSE 'scored' END AS status,
   (after_mean - before_mean) / before_mean AS move FROM ev),
@@ -82,41 +82,39 @@ outcome AS (SELECT *, CASE WHEN status = 'scored' THEN floor(move * 100 * 100.0
 
 
 @query("event_window_join", with_(f"""
-SELECT event_id, {r4('before_mean')} AS before_mean, {r4('after_mean')} AS after_mean, CAST(after_n AS BIGINT) AS after_n FROM ev""",
+SELECT event_id, series_id, {r4('before_mean')} AS before_mean, {r4('after_mean')} AS after_mean, CAST(after_n AS BIGINT) AS after_n FROM ev""",
                                   SERIES, SCORED, RS, WINDOWS))
 def _(v):
-    own = v.series().filter(F.col("series_id") == SUBJECT)
-    return S.event_windows(v.scored_ledger(), own).select(
-        "event_id", c4("before_mean"), c4("after_mean"), "after_n")
+    return S.event_windows(v.scored_ledger(), v.series()).select(
+        "event_id", "series_id", c4("before_mean"), c4("after_mean"), "after_n")
 
 
-@query("hit_scores", with_("SELECT event_id, status, actual_pct, hit FROM outcome", SERIES, SCORED, RS, WINDOWS))
+@query("hit_scores", with_("SELECT event_id, series_id, status, actual_pct, hit FROM outcome", SERIES, SCORED, RS, WINDOWS))
 def _(v):
-    own = v.series().filter(F.col("series_id") == SUBJECT)
-    return S.hit_scores(v.scored_ledger(), own).select("event_id", "status", "actual_pct", "hit")
+    return S.hit_scores(v.scored_ledger(), v.series()).select("event_id", "series_id", "status", "actual_pct", "hit")
 
 
 @query("hit_summary", with_(f"""
-SELECT block, coalesce(CAST(strength AS VARCHAR), '') AS strength, coalesce(confidence, '') AS confidence, count(*) AS n,
+SELECT series_id, block, coalesce(CAST(strength AS VARCHAR), '') AS strength, coalesce(confidence, '') AS confidence, count(*) AS n,
  floor(avg(hit) * 1000.0 + 0.5) / 1000.0 AS hit_rate, floor(avg(abs(actual_pct)) * 100.0 + 0.5) / 100.0 AS mean_abs_move_pct
-FROM (SELECT b AS block, impact_strength AS strength, confidence, hit, actual_pct FROM (
+FROM (SELECT series_id, b AS block, impact_strength AS strength, confidence, hit, actual_pct FROM (
  SELECT *, unnest(['all', CASE WHEN date_source = 'capture' THEN 'retrospective' ELSE 'foreknown' END, nullif(axis, '')]) AS b
  FROM outcome WHERE status = 'scored') WHERE b IS NOT NULL)
-GROUP BY GROUPING SETS ((block), (block, strength), (block, confidence))""", SERIES, SCORED, RS, WINDOWS))
+GROUP BY GROUPING SETS ((series_id, block), (series_id, block, strength), (series_id, block, confidence))""", SERIES, SCORED, RS, WINDOWS))
 def _(v):
-    own = v.series().filter(F.col("series_id") == SUBJECT)
-    return S.hit_summary(S.hit_scores(v.scored_ledger(), own))
+    return S.hit_summary(S.hit_scores(v.scored_ledger(), v.series()))
 
 
-TARGETS = f"""
+TARGETS = """
 share_strict AS (SELECT m.subject_id, m.day, s.value / (s.value + m.value) AS value FROM market_strict m JOIN series s ON s.series_id = m.subject_id AND s.day = m.day),
-levels AS (SELECT 'all' AS axis, day, value FROM series WHERE series_id = '{SUBJECT}' UNION ALL SELECT 'supply', day, value FROM series WHERE series_id = '{SUBJECT}'
- UNION ALL SELECT 'demand', day, value FROM market_strict WHERE subject_id = '{SUBJECT}' UNION ALL SELECT 'share', day, value FROM share_strict WHERE subject_id = '{SUBJECT}'),
-lev_cal AS (SELECT axis, unnest(generate_series(least(min(day), (SELECT s FROM span))::TIMESTAMP, greatest(max(day), (SELECT e FROM span))::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM levels GROUP BY 1),
-targets AS (SELECT axis, day, (n - p) / p AS change FROM (
- SELECT axis, day, avg(value) OVER (PARTITION BY axis ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) AS p,
-  avg(value) OVER (PARTITION BY axis ORDER BY day RANGE BETWEEN INTERVAL 1 DAY FOLLOWING AND INTERVAL 7 DAY FOLLOWING) AS n
- FROM lev_cal LEFT JOIN levels USING (axis, day)) WHERE p <> 0 AND n IS NOT NULL AND day BETWEEN (SELECT s FROM span) AND (SELECT e FROM span))"""
+levels AS (SELECT series_id, 'all' AS axis, day, value FROM series UNION ALL SELECT series_id, 'supply', day, value FROM series
+ UNION ALL SELECT subject_id, 'demand', day, value FROM market_strict UNION ALL SELECT subject_id, 'share', day, value FROM share_strict),
+lev_cal AS (SELECT series_id, axis, unnest(generate_series(least(min(day), any_value(s))::TIMESTAMP, greatest(max(day), any_value(e))::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day
+ FROM levels JOIN span USING (series_id) GROUP BY 1, 2),
+targets AS (SELECT x.series_id, axis, day, (n - p) / p AS change FROM (
+ SELECT series_id, axis, day, avg(value) OVER (PARTITION BY series_id, axis ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) AS p,
+  avg(value) OVER (PARTITION BY series_id, axis ORDER BY day RANGE BETWEEN INTERVAL 1 DAY FOLLOWING AND INTERVAL 7 DAY FOLLOWING) AS n
+ FROM lev_cal LEFT JOIN levels USING (series_id, axis, day)) x JOIN span ON span.series_id = x.series_id WHERE p <> 0 AND n IS NOT NULL AND day BETWEEN s AND e)"""
 
 
 def corr_sql(x, y):
@@ -137,54 +135,22 @@ def _(v):
 
 
 @query("pressure_correlation", with_(f"""
-SELECT stretch, axis, {r4(corr_sql('p', 'change'))} AS r, count(*) AS n FROM (
- SELECT unnest(CASE WHEN d.dense_start IS NULL OR t.day >= d.dense_start THEN ['full', 'dense'] ELSE ['full'] END) AS stretch, t.axis, p.p, t.change
- FROM targets t JOIN pressure p USING (axis, day), dense_w d) GROUP BY ALL""",
-                                     SERIES, SCORED, RS, MARKET, PRESSURE, TARGETS, DENSE_START.format(minimum=180)))
+SELECT series_id, stretch, axis, {r4(corr_sql('p', 'change'))} AS r, count(*) AS n FROM (
+ SELECT t.series_id, unnest(CASE WHEN d.dense_start IS NULL OR t.day >= d.dense_start THEN ['full', 'dense'] ELSE ['full'] END) AS stretch, t.axis, p.p, t.change
+ FROM targets t JOIN pressure p USING (series_id, axis, day) JOIN dense_w d ON d.series_id = t.series_id) GROUP BY ALL""",
+                                     SERIES, SCORED, RS, MARKET, PRESSURE, TARGETS, DENSE_START.format(minimum=vocab.MONTH_MINIMUM)))
 def _(v):
     led, spans = v.scored_ledger(), _spans(v)
-    t = S.axis_targets(v.series(), v.rivals(SUBJECT), spans)
-    return (S.pressure_correlation(S.pressure_index(led, spans), t, S.dense_window(led, spans, 180))
-            .select("stretch", "axis", c4("r"), "n"))
-
-
-PERMS, SEED, PERM_FROM = 10, 20260810, "2001-03-01"
-
-
-def _coef_sql():
-    x, cols = f"(perm * 104729 + {SEED}) % 2147483647", []
-    for j in range(4):
-        x = f"({x}) * 48271 + {7919 * (j + 1)}"
-        x = f"({x}) % 2147483647"
-        cols.append(f"{x} AS c{j}")
-    return f"coef AS (SELECT perm, {', '.join(cols)} FROM (SELECT range AS perm FROM range({PERMS})))"
-
-
-@query("permutation_test", with_(f"""
-SELECT n.axis, {r4('any_value(o.r)')} AS observed_r, count(*) AS permutations,
- {r4('avg(CAST(abs(n.r) >= abs(o.r) AS INTEGER))')} AS p_value,
- {r4('list_sort(list(abs(n.r)))[CAST(floor(count(*) * 0.95) AS INTEGER) + 1]')} AS null_p95_abs_r,
- CAST(avg(CAST(abs(n.r) >= abs(o.r) AS INTEGER)) < 0.05 AS BIGINT) AS significant
-FROM null_r n JOIN obs o USING (axis) WHERE n.r IS NOT NULL GROUP BY n.axis""",
-    SERIES, SCORED, RS, MARKET, PRESSURE, TARGETS, _coef_sql(), f"""
-dw AS (SELECT DATE '{PERM_FROM}' AS a, e AS b, (e - DATE '{PERM_FROM}' + 1)::BIGINT AS n FROM span),
-drawn AS (SELECT perm, axis, hl, (((((c3 * k + c2) % 2147483647) * k + c1) % 2147483647) * k + c0) % 2147483647 % n AS slot, sum(w) AS w
- FROM (SELECT *, arrival % 2147483647 AS k FROM weighted WHERE w <> 0), coef, dw GROUP BY ALL),
-imp2 AS (SELECT perm, hl, slot, sum(w) AS w, 'all' AS axis FROM drawn GROUP BY perm, hl, slot UNION ALL SELECT perm, hl, slot, w, axis FROM drawn WHERE axis <> ''),
-sp2 AS (SELECT perm, axis, slot + age AS pos, sum(w * pow(0.5, age / hl)) AS p FROM (SELECT *, unnest(range(0, 4 * hl + 1)) AS age FROM imp2) GROUP BY ALL),
-in_dense AS (SELECT axis, day, day - a AS pos, change FROM targets, dw WHERE day BETWEEN a AND b),
-null_r AS (SELECT perm, axis, {corr_sql('pp', 'change')} AS r FROM (SELECT c.perm, t.axis, coalesce(s.p, 0) AS pp, t.change
-  FROM in_dense t CROSS JOIN coef c LEFT JOIN sp2 s ON s.perm = c.perm AND s.axis = t.axis AND s.pos = t.pos) GROUP BY ALL),
-obs AS (SELECT axis, {corr_sql('p', 'change')} AS r FROM in_dense JOIN pressure USING (axis, day) GROUP BY 1)"""))
+    t = S.axis_targets(v.series(), v.rivals(), spans)
+    return (S.pressure_correlation(S.pressure_index(led, spans), t, S.dense_window(led, spans))
+            .select("series_id", "stretch", "axis", c4("r"), "n"))
+
+
+@query("permutation_test")
 def _(v):
-    led, spans = v.scored_ledger(), _spans(v)
-    t = S.axis_targets(v.series(), v.rivals(SUBJECT), spans)
-    dense = spans.select("series_id", day(PERM_FROM).alias("dense_start"), "end")
-    obs = (S.pressure_correlation(S.pressure_index(led, spans), t, dense)
-           .filter(F.col("stretch") == "dense"))
-    return (S.permutation_test(led, dense, t, obs, PERMS, SEED)
-            .select("axis", c4("observed_r"), "permutations", c4("p_value"),
-                    c4("null_p95_abs_r"), "significant"))
+    """1000 redrawn ledgers for every series over its dense stretch (all of its span where it has none)."""
+    out = reports.credibility(v.scored_ledger(), v.stored_series(), v.rivals(), vocab.MONTH_MINIMUM)["permutation"]
+    return out.select("series_id", "axis", c4("observed_r"), "permutations", c4("p_value"), c4("null_p95_abs_r"), "significant")
 
 
 # --- attribution -----------------------------------------------------------------
@@ -203,7 +169,8 @@ alloc AS (SELECT *, CASE WHEN drove THEN abs(g) / sum(CASE WHEN drove THEN abs(g
 
 
 def _attribution(v):
-    return A.log_attribution(v.stored_series(), v.stored_series(), v.rivals(), periods(v), v.vitals())
+    s = v.series(CUR, CMP)
+    return A.log_attribution(s, s, v.rivals(), periods(v), v.vitals())
 
 
 @query("log_attribution", with_(f"""
@@ -242,7 +209,7 @@ def _(v):
 SELECT series_id, CAST(c1 IS NULL OR coalesce(c0, 0) = 0 AS BIGINT) AS gap FROM ({means('part')})""", SERIES, MEASURED,
                           "part AS (SELECT * FROM measured WHERE series_id <> 'MACHINERY' OR day < DATE '1999-01-01')"))
 def _(v):
-    part = _measured(v).filter((F.col("series_id") != "MACHINERY") | (F.col("day") < day("1999-01-01")))
+    part = _measured(v, CUR, CMP).filter((F.col("series_id") != "MACHINERY") | (F.col("day") < day("1999-01-01")))
     return A.basis_gap(part, periods(v)).select("series_id", "gap")
 
 
@@ -252,50 +219,47 @@ inp AS (SELECT *, impact_direction = move AS explains FROM mv WHERE date BETWEEN
 
 
 def _moved(v):
-    own = P.period_verdict(v.stored_series(), P.fixed_periods(
-        v.series_ids().filter(F.col("series_id") == SUBJECT), CUR, CMP))
+    own = P.period_verdict(v.series(CUR, CMP), periods(v))
     return A.with_move(v.scored_ledger(), own)
 
 
-@query("direction_match", with_("SELECT event_id, CAST(explains AS BIGINT) AS explains FROM inp", SERIES, SCORED, VERDICT, MOVED))
+@query("direction_match", with_("SELECT event_id, series_id, CAST(explains AS BIGINT) AS explains FROM inp", SERIES, SCORED, VERDICT, MOVED))
 def _(v):
-    return A.direction_match(_moved(v)).select("event_id", "explains")
+    return A.direction_match(_moved(v)).select("event_id", "series_id", "explains")
 
 
 _GROUPS = " ".join(f"WHEN '{k}' THEN '{g}'" for k, g in vocab.CATEGORY_GROUPS.items())
 CATEGORY = f"""
-cat AS (SELECT CASE category {_GROUPS} ELSE '기타' END AS category_group, count(*) AS events, any_value(pct) AS pct,
+cat AS (SELECT series_id, CASE category {_GROUPS} ELSE '기타' END AS category_group, count(*) AS events, any_value(pct) AS pct,
  sum(impact_strength * CASE confidence WHEN 'high' THEN 1.0::DOUBLE WHEN 'med' THEN 0.66::DOUBLE WHEN 'low' THEN 0.33::DOUBLE ELSE 0.5 END) AS weight
- FROM inp WHERE explains AND move IN ('+', '-') GROUP BY 1)"""
+ FROM inp WHERE explains AND move IN ('+', '-') GROUP BY 1, 2)"""
 
 
 @query("category_attribution", with_(f"""
-SELECT category_group, events, {r4('weight')} AS weight, {r4('weight / sum(weight) OVER ()')} AS share,
- {r4('weight / sum(weight) OVER () * abs(pct)')} AS points FROM cat""", SERIES, SCORED, VERDICT, MOVED, CATEGORY))
+SELECT series_id, category_group, events, {r4('weight')} AS weight, {r4('weight / sum(weight) OVER (PARTITION BY series_id)')} AS share,
+ {r4('weight / sum(weight) OVER (PARTITION BY series_id) * abs(pct)')} AS points FROM cat""", SERIES, SCORED, VERDICT, MOVED, CATEGORY))
 def _(v):
     return A.category_attribution(_moved(v)).select(
-        "category_group", "events", c4("weight"), c4("share"), c4("points"))
+        "series_id", "category_group", "events", c4("weight"), c4("share"), c4("points"))
 
 
 @query("movement_explained", with_(f"""
-SELECT '{SUBJECT}' AS series_id, {r4('pct')} AS pct, CASE WHEN pct < 0 THEN '-' ELSE '+' END AS direction, category_group, events, {r4('weight / sum(weight) OVER ()')} AS share,
- {r4('weight / sum(weight) OVER () * abs(pct)')} AS points FROM cat""", SERIES, SCORED, VERDICT, MOVED, CATEGORY))
+SELECT o.series_id, {r4('o.pct')} AS pct, direction, category_group, events, {r4('weight / sum(weight) OVER (PARTITION BY o.series_id)')} AS share,
+ {r4('weight / sum(weight) OVER (PARTITION BY o.series_id) * abs(o.pct)')} AS points FROM own o LEFT JOIN cat USING (series_id)""", SERIES, SCORED, VERDICT, MOVED, CATEGORY))
 def _(v):
-    own = v.series().filter(F.col("series_id") == SUBJECT)
-    out = reports.movement_explained(v.scored_ledger(), own, P.fixed_periods(
-        v.series_ids().filter(F.col("series_id") == SUBJECT), CUR, CMP))
+    out = reports.movement_explained(v.scored_ledger(), v.series(CUR, CMP), periods(v))
     return out.select("series_id", c4("pct"), "direction", "category_group", "events", c4("share"), c4("points"))
 
 
 CARRY = f"""
-carry AS (SELECT DISTINCT event_id, axis, category, title, impact, description, kind FROM (SELECT *, CASE
+carry AS (SELECT DISTINCT event_id, series_id, axis, category, title, impact, description, kind FROM (SELECT *, CASE
  WHEN date > DATE '{CMP[1]}' AND date < DATE '{CUR[0]}' THEN CASE WHEN impact_horizon = 'months' AND impact_direction = move THEN 'carry' END
  WHEN date BETWEEN DATE '{CMP[0]}' AND DATE '{CMP[1]}' AND impact_direction = (CASE move WHEN '-' THEN '+' ELSE '-' END) THEN 'base' END AS kind FROM mv) WHERE kind IS NOT NULL)"""
 
 
-@query("carry_base_factors", with_("SELECT event_id, kind FROM carry", SERIES, SCORED, VERDICT, MOVED, CARRY))
+@query("carry_base_factors", with_("SELECT event_id, series_id, kind FROM carry", SERIES, SCORED, VERDICT, MOVED, CARRY))
 def _(v):
-    return A.carry_base_factors(_moved(v)).select("event_id", "kind")
+    return A.carry_base_factors(_moved(v)).select("event_id", "series_id", "kind")
 
 
 OWN_WORDS, RIVAL_WORDS, SUPPLY_WORDS = ["building"], ["machinery", "household"], ["furniture"]
@@ -315,29 +279,28 @@ def axis_sql():
             f"WHEN category = 'company' THEN CASE WHEN contains({t}, 'building') THEN 'demand' ELSE 'share' END ELSE 'demand' END")
 
 
-@query("axis_classify", with_(f"SELECT event_id, {axis_sql()} AS axis_used FROM scored_ledger", SCORED))
+@query("axis_classify", with_(f"SELECT event_id, series_id, {axis_sql()} AS axis_used FROM scored_ledger", SCORED))
 def _(v):
-    return v.scored_ledger().select("event_id", axis_used().alias("axis_used"))
+    return v.scored_ledger().select("event_id", "series_id", axis_used().alias("axis_used"))
 
 
 @query("axis_event_lists", with_(f"""
-SELECT axis_used, coalesce(events, 0) AS events, coalesce(excluded, 0) AS excluded, CAST(coalesce(events, 0) = 0 AND coalesce(allocation, 0) >= 0.02 AS BIGINT) AS gap
-FROM (SELECT axis AS axis_used, allocation FROM alloc WHERE series_id = '{SUBJECT}')
-FULL JOIN (SELECT {axis_sql()} AS axis_used, count(*) FILTER (explains) AS events, count(*) FILTER (NOT explains) AS excluded FROM inp WHERE category <> 'culture' GROUP BY 1) USING (axis_used)""",
+SELECT series_id, axis_used, coalesce(events, 0) AS events, coalesce(excluded, 0) AS excluded, CAST(coalesce(events, 0) = 0 AND coalesce(allocation, 0) >= 0.02 AS BIGINT) AS gap
+FROM (SELECT series_id, axis AS axis_used, allocation FROM alloc)
+FULL JOIN (SELECT series_id, {axis_sql()} AS axis_used, count(*) FILTER (explains) AS events, count(*) FILTER (NOT explains) AS excluded FROM inp GROUP BY 1, 2) USING (series_id, axis_used)""",
                                  SERIES, SCORED, RIVALS, ZERO, LOGS, VERDICT, MOVED))
 def _(v):
-    moved = _moved(v).withColumn("axis_used", axis_used()).filter(F.col("category") != "culture")
-    alloc = _attribution(v).filter(F.col("series_id") == SUBJECT)
-    return A.axis_event_lists(moved, alloc).select("axis_used", "events", "excluded", "gap")
+    moved = _moved(v).withColumn("axis_used", axis_used())
+    return A.axis_event_lists(moved, _attribution(v)).select("series_id", "axis_used", "events", "excluded", "gap")
 
 
 @query("event_changepoint_link", with_("""
-SELECT event_id, CAST(min(m.day) AS VARCHAR) AS change_day, min(m.day - l.date)::BIGINT AS gap_days
+SELECT event_id, l.series_id, CAST(min(m.day) AS VARCHAR) AS change_day, min(m.day - l.date)::BIGINT AS gap_days
 FROM scored_ledger l JOIN merged m ON m.series_id = l.series_id AND m.day - l.date BETWEEN 0 AND 7
- AND l.impact_direction = CASE WHEN m.pct < 0 THEN '-' ELSE '+' END GROUP BY 1""", SERIES, SCORED, CHANGE, MERGED))
+ AND l.impact_direction = CASE WHEN m.pct < 0 THEN '-' ELSE '+' END GROUP BY 1, 2""", SERIES, SCORED, CHANGE, MERGED))
 def _(v):
-    pts = O.change_point_merge(O.change_points(_year_series(v)))
-    return A.event_changepoint_link(v.scored_ledger(), pts).select("event_id", "change_day", "gap_days")
+    pts = O.change_point_merge(O.change_points(v.series()))
+    return A.event_changepoint_link(v.scored_ledger(), pts).select("event_id", "series_id", "change_day", "gap_days")
 
 
 # --- ranking --------------------------------------------------------------------
@@ -345,28 +308,28 @@ ORDER = """CASE WHEN move IN ('+', '-') THEN CASE WHEN impact_direction = move T
  -(CASE confidence WHEN 'high' THEN 3 WHEN 'med' THEN 2 WHEN 'low' THEN 1 ELSE 0 END), CASE WHEN impact_direction = 'neutral' THEN 1 ELSE 0 END, date DESC, arrival"""
 
 
-@query("rank_events", with_(f"SELECT event_id, row_number() OVER (ORDER BY {ORDER}) AS rank FROM mv", SERIES, SCORED, VERDICT, MOVED))
+@query("rank_events", with_(f"SELECT event_id, series_id, row_number() OVER (PARTITION BY series_id ORDER BY {ORDER}) AS rank FROM mv", SERIES, SCORED, VERDICT, MOVED))
 def _(v):
-    return K.rank_events(_moved(v)).select("event_id", "rank")
+    return K.rank_events(_moved(v)).select("event_id", "series_id", "rank")
 
 
-@query("topk_events", with_(f"SELECT event_id, CAST(date AS VARCHAR) AS date FROM mv ORDER BY {ORDER} LIMIT 10", SERIES, SCORED, VERDICT, MOVED))
+@query("topk_events", with_(f"SELECT event_id, series_id, CAST(date AS VARCHAR) AS date FROM mv QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY {ORDER}) <= 10", SERIES, SCORED, VERDICT, MOVED))
 def _(v):
-    return K.topk_events(_moved(v)).select("event_id", "date")
+    return K.topk_events(_moved(v)).select("event_id", "series_id", "date")
 
 
 @query("first_rank_by_date", with_(f"""
-SELECT CAST(date AS VARCHAR) AS date, min(rank) AS first_rank FROM (SELECT date, row_number() OVER (ORDER BY {ORDER}) AS rank FROM mv) GROUP BY 1""",
+SELECT series_id, CAST(date AS VARCHAR) AS date, min(rank) AS first_rank FROM (SELECT series_id, date, row_number() OVER (PARTITION BY series_id ORDER BY {ORDER}) AS rank FROM mv) GROUP BY 1, 2""",
                                    SERIES, SCORED, VERDICT, MOVED))
 def _(v):
     return K.first_rank_by_date(K.rank_events(_moved(v)))
 
 
 @query("topk_per_axis", with_(f"""
-SELECT axis_used, event_id, axis_rank, CAST(weight AS BIGINT) AS weight, greatest(n - 3, 0) AS remaining FROM (
- SELECT *, row_number() OVER (PARTITION BY axis_used ORDER BY weight DESC, arrival) AS axis_rank, count(*) OVER (PARTITION BY axis_used) AS n FROM (
- SELECT event_id, arrival, {axis_sql()} AS axis_used, impact_strength * CASE confidence WHEN 'high' THEN 3 WHEN 'med' THEN 2 ELSE 1 END AS weight FROM inp WHERE explains))
+SELECT series_id, axis_used, event_id, axis_rank, CAST(weight AS BIGINT) AS weight, greatest(n - 3, 0) AS remaining FROM (
+ SELECT *, row_number() OVER (PARTITION BY series_id, axis_used ORDER BY weight DESC, arrival) AS axis_rank, count(*) OVER (PARTITION BY series_id, axis_used) AS n FROM (
+ SELECT series_id, event_id, arrival, {axis_sql()} AS axis_used, impact_strength * CASE confidence WHEN 'high' THEN 3 WHEN 'med' THEN 2 ELSE 1 END AS weight FROM inp WHERE explains))
 WHERE axis_rank <= 3""", SERIES, SCORED, VERDICT, MOVED))
 def _(v):
     ev = A.direction_match(_moved(v)).filter("explains").withColumn("axis_used", axis_used())
-    return K.topk_per_axis(ev, "axis_used").select("axis_used", "event_id", "axis_rank", "weight", "remaining")
+    return K.topk_per_axis(ev, "axis_used").select("series_id", "axis_used", "event_id", "axis_rank", "weight", "remaining")

@@ -86,14 +86,14 @@ def _(v):
             .select("variant", "subject_id", "day", c4("value")))
 
 
-def _measured(v):
-    """Measured traffic stand-in: units of some orders, per series and day."""
-    return (v.sales().filter(F.col("nation_id") < 10).groupBy("series_id", "day")
+def _measured(v, *spans):
+    """Measured traffic stand-in: units sold, per series and day."""
+    return (v.sales(*spans).groupBy("series_id", "day")
             .agg(F.count("*").cast("double").alias("value")))
 
 
 MEASURED = """
-measured AS (SELECT series_id, day, CAST(count(*) AS DOUBLE) AS value FROM sales WHERE nation_id < 10 GROUP BY ALL)"""
+measured AS (SELECT series_id, day, CAST(count(*) AS DOUBLE) AS value FROM sales GROUP BY ALL)"""
 
 
 @query("capture_series", with_(f"""
@@ -110,14 +110,17 @@ SELECT series_id, CAST(day AS VARCHAR) AS day,
  coalesce(arg_max(CASE WHEN order_id % 17 = 0 THEN 0 ELSE cents END, order_id * 8 + line), 0)::DOUBLE AS value
 FROM (SELECT series_id, day, order_id, line, max(cents) AS cents FROM sales GROUP BY ALL) GROUP BY ALL""", SALES))
 def _(v):
-    """Nested map-of-arrays series built from the sales, then flattened."""
-    from pulsetrail.sources.series import points_to_series
-    pos = F.col("order_id") * 8 + F.col("line")
-    raw = (v.sales().groupBy("series_id", "day", "order_id", "line").agg(F.max("cents").alias("cents"))
-           .select("series_id", F.date_format("day", "yyyy-M-d").alias("date"),
-                   F.when(F.col("order_id") % 17 != 0, F.col("cents").cast("double")).alias("views"),
-                   pos.alias("pos")))
-    return points_to_series(raw)
+    """Series files as they land (a map of arrays, here one document a series and day), read and flattened."""
+    from pulsetrail.session import fresh_path
+    from pulsetrail.sources.series import points_to_series, read_series_files
+    views = F.when(F.col("order_id") % 17 != 0, F.col("cents").cast("double"))
+    points = F.array_sort(F.collect_list(F.struct((F.col("order_id") * 8 + F.col("line")).alias("at"),
+                                                  F.date_format("day", "yyyy-M-d").alias("date"), views.alias("views"))))
+    docs = (v.sales().groupBy("series_id", "day", "order_id", "line").agg(F.max("cents").alias("cents"))
+            .groupBy("series_id", "day").agg(points.alias("points")))
+    path = fresh_path(v.spark, "series-files")
+    docs.select(F.create_map("series_id", F.transform("points", lambda p: F.struct(p["date"].alias("date"), p["views"].alias("views")))).alias("series")).write.json(path)
+    return points_to_series(read_series_files(v.spark, path, multi_line=False))
 
 
 # --- windows -------------------------------------------------------------------
@@ -143,14 +146,14 @@ def _(v):
     return O.forward_change(v.series()).select("series_id", "day", c4("change"))
 
 
-CHANGE = f"""
+CHANGE = """
 cp AS (
  SELECT series_id, day, before, after, (after - before) / before * 100 AS pct FROM (
   SELECT *, avg(smooth) OVER (w ROWS BETWEEN 5 PRECEDING AND 3 PRECEDING) AS before,
    avg(smooth) OVER (w ROWS BETWEEN 2 FOLLOWING AND 4 FOLLOWING) AS after,
    row_number() OVER w AS i, count(*) OVER (PARTITION BY series_id) AS n
   FROM (SELECT *, avg(value) OVER (PARTITION BY series_id ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth
-   FROM series WHERE day BETWEEN DATE '1999-01-01' AND DATE '1999-12-31')
+   FROM series)
   WINDOW w AS (PARTITION BY series_id ORDER BY day))
  WHERE n >= 11 AND i BETWEEN 6 AND n - 4 AND before <> 0 AND abs((after - before) / before * 100) >= 8)"""
 MERGED = """
@@ -166,24 +169,31 @@ walk AS (
 merged AS (SELECT series_id, arg_max(kday, i) AS day, arg_max(kpct, i) AS pct FROM walk GROUP BY series_id, slot)"""
 
 
-def _year_series(v):
-    return v.series().filter(F.col("day").between(day("1999-01-01"), day("1999-12-31")))
-
-
 @query("change_points", with_(f"""
 SELECT series_id, CAST(day AS VARCHAR) AS day, {r4('pct')} AS pct, CASE WHEN pct < 0 THEN '-' ELSE '+' END AS direction FROM cp""",
                               SERIES, CHANGE))
 def _(v):
-    return O.change_points(_year_series(v)).select("series_id", "day", c4("pct"), "direction")
+    return O.change_points(v.series()).select("series_id", "day", c4("pct"), "direction")
 
 
 @query("change_point_merge", with_(f"SELECT series_id, CAST(day AS VARCHAR) AS day, {r4('pct')} AS pct FROM merged",
                                    SERIES, CHANGE, MERGED))
 def _(v):
-    return (O.change_point_merge(O.change_points(_year_series(v)))
+    return (O.change_point_merge(O.change_points(v.series()))
             .select("series_id", "day", c4("pct")))
 
 
+# days on which a series stood below 1.2 times its own mean: leaves gaps at every scale
+THIN = """
+thin AS (SELECT series_id, day, value FROM series JOIN (SELECT series_id, avg(value) AS mean FROM series GROUP BY 1) USING (series_id) WHERE value < 1.2::DOUBLE * mean)"""
+
+
+def _thin(v):
+    s = v.series()
+    mean = s.groupBy("series_id").agg(F.avg("value").alias("mean"))
+    return s.join(mean, "series_id").filter(F.col("value") < 1.2 * F.col("mean")).drop("mean")
+
+
 @query("calendar_gaps", with_(f"""
 SELECT series_id, rank, CAST(gap_start AS VARCHAR) AS gap_start, CAST(gap_end AS VARCHAR) AS gap_end FROM (
  SELECT series_id, min(day) AS gap_start, max(day) AS gap_end,
@@ -191,10 +201,9 @@ SELECT series_id, rank, CAST(gap_start AS VARCHAR) AS gap_start, CAST(gap_end AS
  FROM (SELECT series_id, day, day - CAST(row_number() OVER (PARTITION BY series_id ORDER BY day) AS INTEGER) AS island
   FROM (SELECT series_id, unnest(generate_series(greatest(min(day), DATE '{AS_OF}' - 730)::TIMESTAMP, (DATE '{AS_OF}' - 2)::TIMESTAMP,
    INTERVAL 1 DAY))::DATE AS day FROM thin GROUP BY 1) ANTI JOIN thin USING (series_id, day))
- GROUP BY series_id, island) WHERE rank <= 2""", SERIES, "thin AS (SELECT * FROM series WHERE value < 100000000 AND day_of(day) <> 3)".replace("day_of(day)", "day(day)")))
+ GROUP BY series_id, island) WHERE rank <= 2""", SERIES, THIN))
 def _(v):
-    thin = v.series().filter((F.col("value") < 100000000) & (F.dayofmonth("day") != 3))
-    return O.calendar_gaps(thin, day(AS_OF))
+    return O.calendar_gaps(_thin(v), day(AS_OF))
 
 
 @query("series_coverage", with_(f"""
@@ -203,25 +212,22 @@ SELECT s.series_id, CAST(w.a AS VARCHAR) AS start, CAST(w.b AS VARCHAR) AS "end"
 FROM (SELECT DISTINCT series_id FROM series) s,
  (SELECT DATE '{CUR[0]}' AS a, DATE '{CUR[1]}' AS b UNION ALL SELECT DATE '{CMP[0]}', DATE '{CMP[1]}') w
 LEFT JOIN thin t ON t.series_id = s.series_id AND t.day BETWEEN w.a AND w.b
-GROUP BY s.series_id, w.a, w.b""", SERIES, "thin AS (SELECT * FROM series WHERE value < 100000000)"))
+GROUP BY s.series_id, w.a, w.b""", SERIES, THIN))
 def _(v):
     windows = v.series().select("series_id").distinct().select("series_id", F.explode(F.array(
         *[F.struct(day(a).alias("start"), day(b).alias("end")) for a, b in (CUR, CMP)])).alias("w"))
-    return (O.series_coverage(v.series().filter(F.col("value") < 100000000),
-                              windows.select("series_id", "w.*"))
+    return (O.series_coverage(_thin(v), windows.select("series_id", "w.*"))
             .select("series_id", "start", "end", "present", "expected", c4("coverage")))
 
 
 @query("asof_series_point", with_(f"""
-SELECT l.event_id, CAST(s.day AS VARCHAR) AS obs_day, s.value AS obs_value
-FROM scored_ledger l ASOF JOIN (SELECT * FROM series WHERE series_id = '{SUBJECT}' AND value < 100000000
- AND day BETWEEN DATE '{CUR[0]}' AND DATE '{CUR[1]}') s ON l.date >= s.day
-WHERE l.date <= (SELECT max(day) FROM series WHERE series_id = '{SUBJECT}' AND value < 100000000
- AND day BETWEEN DATE '{CUR[0]}' AND DATE '{CUR[1]}')""", SERIES, SCORED))
+SELECT l.event_id, l.series_id, CAST(s.day AS VARCHAR) AS obs_day, s.value AS obs_value
+FROM scored_ledger l ASOF JOIN inside s ON l.series_id = s.series_id AND l.date >= s.day
+JOIN (SELECT series_id, max(day) AS last_day FROM inside GROUP BY 1) e ON e.series_id = l.series_id AND l.date <= e.last_day""", SERIES, SCORED, THIN,
+                                   f"inside AS (SELECT * FROM thin WHERE day BETWEEN DATE '{CUR[0]}' AND DATE '{CUR[1]}')"))
 def _(v):
     probes = v.scored_ledger().select("event_id", "series_id", F.col("date").alias("day"))
-    thin = v.series().filter(F.col("value") < 100000000)
-    return O.asof_point(probes, thin, *CUR).select("event_id", "obs_day", "obs_value")
+    return O.asof_point(probes, _thin(v), *CUR).select("event_id", "series_id", "obs_day", "obs_value")
 
 
 @query("tail_window", with_("""
@@ -243,18 +249,20 @@ def _(v):
 
 
 def _monthly(v):
-    """Country indicators: candidate 1 is sparse, candidate 2 the full one."""
+    """Country indicators: candidate 1 has only months far above the mean, and may have none; candidate 2 has all."""
     m = F.date_format("day", "yyyy-MM")
     full = v.sales().groupBy("nation_id", F.col("series_id").alias("indicator"), m.alias("period")).agg(
         F.sum("cents").cast("double").alias("value")).withColumn("candidate_no", F.lit(2))
-    sparse = full.filter((F.col("nation_id") % 3 == 0) & (F.col("value") > 20000000)) \
-        .withColumn("candidate_no", F.lit(1))
+    mean = full.groupBy("nation_id", "indicator").agg(F.avg("value").alias("mean"))
+    sparse = (full.join(mean, ["nation_id", "indicator"]).filter(F.col("value") > 2.5 * F.col("mean"))
+              .drop("mean").withColumn("candidate_no", F.lit(1)))
     return sparse.unionByName(full)
 
 
 MONTHLY = """
 full_m AS (SELECT nation_id, series_id AS indicator, strftime(day, '%Y-%m') AS period, CAST(sum(cents) AS DOUBLE) AS value FROM sales GROUP BY ALL),
-monthly AS (SELECT *, 1 AS candidate_no FROM full_m WHERE nation_id % 3 = 0 AND value > 20000000 UNION ALL SELECT *, 2 FROM full_m),
+mean_m AS (SELECT nation_id, indicator, avg(value) AS mean FROM full_m GROUP BY ALL),
+monthly AS (SELECT full_m.*, 1 AS candidate_no FROM full_m JOIN mean_m USING (nation_id, indicator) WHERE value > 2.5::DOUBLE * mean UNION ALL SELECT *, 2 FROM full_m),
 chosen AS (SELECT * FROM monthly m WHERE candidate_no = (SELECT min(candidate_no) FROM monthly x WHERE x.nation_id = m.nation_id AND x.indicator = m.indicator))"""
 
 
@@ -279,9 +287,27 @@ def _(v):
 SELECT CAST(day AS VARCHAR) AS day, coalesce(CAST(nation_id AS VARCHAR), 'ALL') AS country, CAST(sum(cents) AS DOUBLE) AS traffic
 FROM sales GROUP BY GROUPING SETS ((day, nation_id), (day))""", SALES))
 def _(v):
-    m = v.sales().select(F.col("nation_id").cast("string").alias("country"), "day",
-                         F.col("cents").cast("double").alias("traffic"))
-    return O.measured_rollup(m).withColumn("country", F.coalesce("country", F.lit("ALL")))
+    return O.measured_rollup(_traffic(v)).select("day", F.when(F.col("is_total"), "ALL").otherwise(F.col("country")).alias("country"), "traffic")
+
+
+def _traffic(v):
+    return v.sales().select(F.col("nation_id").cast("string").alias("country"), "day", F.col("cents").cast("double").alias("traffic"))
+
+
+@query("measured_summary", with_("""
+SELECT count(DISTINCT day) AS days, CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day, count(DISTINCT nation_id) AS countries FROM sales""", SALES))
+def _(v):
+    return O.measured_summary(_traffic(v))
+
+
+@query("measured_preferred", with_("""
+SELECT series_id, CAST(day AS VARCHAR) AS day, value, 'measured' AS basis FROM measured WHERE series_id IN (SELECT series_id FROM series_division WHERE division = 'DA')
+UNION ALL SELECT series_id, CAST(day AS VARCHAR), value, 'proxy' FROM series WHERE series_id NOT IN (SELECT series_id FROM series_division WHERE division = 'DA')""",
+                                   SERIES, MEASURED, SERIES_DIVISION))
+def _(v):
+    """Traffic is measured for the sites of one division; the others keep their proxy."""
+    sites = v.series_divisions().filter(F.col("division") == "DA").select("series_id")
+    return O.prefer_measured(_measured(v).join(sites, "series_id", "left_semi"), v.series()).select("series_id", "day", "value", "basis")
 
 
 # --- periods -------------------------------------------------------------------
@@ -370,14 +396,14 @@ def periods(v, cur=CUR, cmp=CMP):
 
 @query("period_verdict", with_(f"SELECT series_id, {r4('c1')} AS cur_avg, {r4('c0')} AS cmp_avg, {r4('pct')} AS pct, direction FROM own", SERIES, VERDICT))
 def _(v):
-    return P.period_verdict(v.series(), periods(v)).select(
+    return P.period_verdict(v.series(CUR, CMP), periods(v)).select(
         "series_id", c4("cur_avg"), c4("cmp_avg"), c4("pct"), "direction")
 
 
 @query("competitor_verdict", with_(f"SELECT series_id, {r4('c1')} AS cur_avg, {r4('c0')} AS cmp_avg, {r4('pct')} AS pct, direction FROM comp",
                                    SERIES, RIVALS, VERDICT, COMP))
 def _(v):
-    return P.competitor_verdict(v.series(), v.rivals(), periods(v)).select(
+    return P.competitor_verdict(v.series(CUR, CMP), v.rivals(), periods(v)).select(
         "series_id", c4("cur_avg"), c4("cmp_avg"), c4("pct"), "direction")
 
 
@@ -386,8 +412,8 @@ SELECT o.series_id, o.direction, m.direction AS market_direction, CASE WHEN m.di
  WHEN m.direction = 'neutral' THEN 'own_move' WHEN m.direction = o.direction THEN 'market_wide' ELSE 'own_move' END AS reading
 FROM own o LEFT JOIN comp m USING (series_id) WHERE o.direction <> 'neutral'""", SERIES, RIVALS, VERDICT, COMP))
 def _(v):
-    own = P.period_verdict(v.series(), periods(v))
-    return P.market_vs_own(own, P.competitor_verdict(v.series(), v.rivals(), periods(v))).select(
+    own = P.period_verdict(v.series(CUR, CMP), periods(v))
+    return P.market_vs_own(own, P.competitor_verdict(v.series(CUR, CMP), v.rivals(), periods(v))).select(
         "series_id", "direction", "market_direction", "reading")
 
 
@@ -402,4 +428,4 @@ FROM (SELECT s.series_id, part, row_number() OVER (PARTITION BY s.series_id, par
  LEFT JOIN market_zero z ON z.subject_id = s.series_id AND z.day = s.day
  LEFT JOIN measured m ON m.series_id = s.series_id AND m.day = s.day) GROUP BY ALL""", SERIES, RIVALS, ZERO, MEASURED))
 def _(v):
-    return P.period_overlay(v.series(), v.rivals(), periods(v), _measured(v))
+    return P.period_overlay(v.series(CUR, CMP), v.rivals(), periods(v), _measured(v, CUR, CMP))

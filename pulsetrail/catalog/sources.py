@@ -69,7 +69,7 @@ def _(v):
     docs = (v.links().select(F.floor(k / 1000).alias("doc"), F.when(k % 2 == 0, rss).otherwise(atom).alias("x"))
             .groupBy("doc").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("x"), ""),
                                          F.lit("</channel></rss>")).alias("value")))
-    docs.write.partitionBy("doc").text(path)
+    docs.select("value").write.text(path)   # a file a task, each with many documents
     return feeds.read_feed_items(v.spark, path).select(
         "title", "link", F.regexp_replace("summary", " {2,}", "   ").alias("summary"), "published")
 
@@ -137,13 +137,18 @@ def _(v):
 
 @query("src_label_list", with_("""
 SELECT 'query' AS part, CASE WHEN lang = 'en' THEN 'other' ELSE lang END AS label, source AS value FROM (SELECT DISTINCT lang, label AS source FROM stories)
-UNION ALL SELECT 'feed', lang, max(label) FROM stories WHERE lang <> 'en' GROUP BY lang""", STORIES))
+UNION ALL SELECT 'known', CASE WHEN lang IN ('de', 'fr') THEN lang ELSE 'other' END, label FROM (SELECT DISTINCT lang, label FROM stories)
+UNION ALL SELECT 'feed', lang, max(label) FROM stories WHERE lang <> 'en' GROUP BY lang
+UNION ALL SELECT 'topic', '', CASE WHEN lang = 'en' THEN label ELSE lang || ' | ' || label END FROM (SELECT DISTINCT lang, label FROM stories)""", STORIES))
 def _(v):
     path = fresh_path(v.spark, "labels")
     rows = v.stories().select("lang", "label").distinct()
     line = F.when(F.col("lang") == "en", F.col("label")).otherwise(F.concat("lang", F.lit(" | "), "label"))
     rows.coalesce(1).sortWithinPartitions("label").select(line.alias("value")).write.text(path)
-    return (lists.read_queries(v.spark, path).select(F.lit("query").alias("part"), "label", "value")
+    asked = lists.read_queries(v.spark, path)
+    return (asked.select(F.lit("query").alias("part"), "label", "value")
+            .unionByName(asked.select(F.lit("known").alias("part"), lists.known_label(F.col("label"), ["de", "fr"]).alias("label"), "value"))
+            .unionByName(lists.read_topics(v.spark, path).select(F.lit("topic").alias("part"), F.lit("").alias("label"), F.col("topic").alias("value")))
             .unionByName(lists.read_feed_list(v.spark, path).select(F.lit("feed").alias("part"), "label", "value")))
 
 
@@ -189,11 +194,11 @@ def _(v):
     return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in cols])
 
 
-@query("sink_pressure", with_("SELECT axis, CAST(day AS VARCHAR) AS day, floor(p * 1000.0 + 0.5) / 1000.0 AS p FROM pressure", SERIES, SCORED, RS, PRESSURE))
+@query("sink_pressure", with_("SELECT series_id, axis, CAST(day AS VARCHAR) AS day, floor(p * 1000.0 + 0.5) / 1000.0 AS p FROM pressure", SERIES, SCORED, RS, PRESSURE))
 def _(v):
     path = fresh_path(v.spark, "pressure")
-    sinks.write_pressure(S.pressure_index(v.scored_ledger(), _spans(v)).drop("series_id"), path)
-    return v.spark.read.parquet(path).select("axis", "day", "p")
+    sinks.write_pressure(S.pressure_index(v.scored_ledger(), _spans(v)), path)
+    return v.spark.read.parquet(path).select("series_id", "axis", "day", "p")
 
 
 @query("feed_health", with_("""

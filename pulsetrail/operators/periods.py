@@ -47,11 +47,6 @@ def default_period(today: Column) -> Column:
                     F.add_months(today, -12).alias("cmp_end"))
 
 
-def last_days(series: DataFrame) -> DataFrame:
-    """(series_id, today): each series' own last observed day."""
-    return series.groupBy("series_id").agg(F.max("day").alias("today"))
-
-
 def period_grid(todays: DataFrame) -> DataFrame:
     """Every period kind with every comparison basis allowed for it."""
     bases = F.map_from_arrays(
@@ -76,11 +71,6 @@ def fixed_periods(ids: DataFrame, cur, cmp) -> DataFrame:
                       day(cmp[0]).alias("cmp_start"), day(cmp[1]).alias("cmp_end"))
 
 
-def in_period(day: Column, start: Column, end: Column) -> Column:
-    """Closed interval; a null bound is open."""
-    return ((start.isNull() | (day >= start)) & (end.isNull() | (day <= end)))
-
-
 def period_means(series: DataFrame, periods: DataFrame) -> DataFrame:
     """``cur_avg`` and ``cmp_avg`` over the observed days, one row per comparison.
 

@@ -29,48 +29,18 @@ def rank_keys(move: Column) -> list[Column]:
             -F.datediff("date", F.lit("1970-01-01"))]
 
 
-def global_rank(df: DataFrame, keys: list[Column], tie: str = "arrival",
-                width: int = 1_000_000, name: str = "rank") -> DataFrame:
-    """Row number over the whole frame without one task holding it all.
-
-    Rows are counted per (keys, block of ``tie``); a running sum over those
-    counts gives each block its offset and rows are numbered inside blocks
-    only.  ``tie`` is a unique integer, so a block has at most ``width`` rows
-    however many rows share the same keys.  Meant for keys with few distinct
-    values; see ``global_rank_by_range`` for any others.
-    """
-    cols = [f"_k{i}" for i in range(len(keys))]
-    keyed = df.select("*", *[k.alias(c) for k, c in zip(keys, cols)],
-                      F.floor(F.col(tie) / width).alias("_block"))
-    part = [*cols, "_block"]
-    counts = keyed.groupBy(*part).agg(F.count("*").alias("_n"))
-    # running total in two steps: within the leading key, then over its values
-    lead = cols[0]
-    heads = counts.groupBy(lead).agg(F.sum("_n").alias("_hn"))
-    head_off = heads.select(F.col(lead).alias("_lead"), (F.sum("_hn").over(
-        Window.orderBy(lead).rowsBetween(Window.unboundedPreceding, -1))).alias("_hoff"))
-    inner = Window.partitionBy(lead).orderBy(*cols[1:], "_block").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = (counts.withColumn("_off", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
-               .join(F.broadcast(head_off), F.col(lead) == F.col("_lead"))
-               .select(*part, (F.col("_off") + F.coalesce("_hoff", F.lit(0))).alias("_off")))
-    within = F.row_number().over(Window.partitionBy(*part).orderBy(tie))
-    # key columns are never null (see rank_keys), so plain equality is enough
-    return (keyed.join(offsets, part).withColumn(name, F.col("_off") + within)
-            .drop(*part, "_off"))
-
-
 def global_rank_by_range(df: DataFrame, columns: list[str], tie: str = "arrival",
-                         name: str = "rank") -> DataFrame:
-    """Row number over the whole frame for keys of any cardinality.
+                         name: str = "rank", per: tuple[str, ...] = ()) -> DataFrame:
+    """Row number over the whole frame, or within each ``per``, for keys of any cardinality.
 
     Rows are range-partitioned and sorted, and that arrangement is stored by a
     checkpoint (an action), so that the position inside a partition and the
     partition offsets are read from the same rows even when an executor is
-    lost.  ``tie`` is unique, so equal keys spread over partitions.
+    lost.  ``tie`` is unique, so equal keys, and a group that holds most rows,
+    spread over partitions.
     """
     shared_dir(df.sparkSession)
-    order = [*columns, tie]
+    order = [*per, *columns, tie]
     stored = (df.repartitionByRange(*order).sortWithinPartitions(*order)
               .withColumn("_at", F.monotonically_increasing_id()).checkpoint())
     part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
@@ -78,39 +48,47 @@ def global_rank_by_range(df: DataFrame, columns: list[str], tie: str = "arrival"
     sizes = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (stored.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-            .withColumn(name, F.col("_off") + inside + 1).drop("_part", "_off", "_at"))
+    placed = (stored.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+              .withColumn(name, F.col("_off") + inside + 1).drop("_part", "_off", "_at"))
+    if per:
+        firsts = placed.groupBy(*per).agg(F.min(name).alias("_first"))
+        placed = placed.join(firsts, list(per)).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first")
+    return placed
 
 
 def rank_events(moved: DataFrame) -> DataFrame:
-    """Events with their display rank for the move on the row."""
-    return global_rank(moved, rank_keys(F.col("move")))
+    """Events with their display rank within their series, for the move on the row."""
+    keys = rank_keys(F.col("move"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = moved.withColumns(dict(zip(names, keys)))
+    return global_rank_by_range(keyed, names, per=("series_id",)).drop(*names)
 
 
 def topk_events(moved: DataFrame, k: int = 10) -> DataFrame:
-    """First ``k`` events by display order; Spark keeps k rows per task."""
-    return moved.orderBy(*rank_keys(F.col("move")), "arrival").limit(k)
+    """First ``k`` events of each series by display order; Spark keeps k rows a series and task."""
+    w = Window.partitionBy("series_id").orderBy(*rank_keys(F.col("move")), "arrival")
+    return moved.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
 def first_rank_by_date(ranked: DataFrame) -> DataFrame:
-    """Rank of the first listed event of each date."""
-    return ranked.groupBy("date").agg(F.min("rank").alias("first_rank"))
+    """Rank of the first listed event of each series and date."""
+    return ranked.groupBy("series_id", "date").agg(F.min("rank").alias("first_rank"))
 
 
 def topk_per_axis(events: DataFrame, axis: str, k: int = 3, tie: str = "arrival") -> DataFrame:
-    """Top ``k`` per axis by strength x confidence rank, and how many remain.
+    """Top ``k`` per series and axis by strength x confidence rank, and how many remain.
 
     The row_number filter is applied before the shuffle as a group limit, so
     an axis holding most rows sends k rows per task.
     """
     w = (M.strength(F.col("impact_strength"))
          * one_of(F.col("confidence"), vocab.RANK_WEIGHT, 1))
-    order = Window.partitionBy(axis).orderBy(F.desc("weight"), tie)
+    order = Window.partitionBy("series_id", axis).orderBy(F.desc("weight"), tie)
     scored = events.withColumn("weight", w)
     top = (scored.withColumn("axis_rank", F.row_number().over(order))
            .filter(F.col("axis_rank") <= k))
-    totals = events.groupBy(axis).agg(F.count("*").alias("_n"))
-    return (top.join(totals, axis)
+    totals = events.groupBy("series_id", axis).agg(F.count("*").alias("_n"))
+    return (top.join(totals, ["series_id", axis])
             .withColumn("remaining", F.greatest(F.col("_n") - k, F.lit(0))).drop("_n"))
 
 

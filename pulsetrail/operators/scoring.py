@@ -118,12 +118,12 @@ def hit_scores(ledger: DataFrame, series: DataFrame,
 
 
 def hit_summary(scores: DataFrame) -> DataFrame:
-    """Hit rate and mean move overall, by provenance and by axis, each also by
+    """Hit rate and mean move of each series overall, by provenance and by axis, each also by
     strength and by confidence: one grouping-sets aggregate.
     """
     src = F.coalesce("date_source", F.lit("seed"))
     flat = (scores.filter(F.col("status") == "scored")
-            .select(F.lit("all").alias("every"),
+            .select("series_id", F.lit("all").alias("every"),
                     F.when(src.isin("url", "llm", "seed"), "foreknown")
                     .when(src == "capture", "retrospective").alias("provenance"),
                     F.nullif(M.clean_axis(F.col("axis")), F.lit("")).alias("axis"),
@@ -133,10 +133,10 @@ def hit_summary(scores: DataFrame) -> DataFrame:
             .withColumn("block", F.explode(F.array(F.col("every"), F.col("provenance"), F.col("axis"))))
             .filter(F.col("block").isNotNull()))
     grouped = flat.groupingSets(
-        [["block"], ["block", "strength"], ["block", "confidence"]],
-        "block", "strength", "confidence").agg(
+        [["series_id", "block"], ["series_id", "block", "strength"], ["series_id", "block", "confidence"]],
+        "series_id", "block", "strength", "confidence").agg(
             F.count("*").alias("n"), F.avg("hit").alias("_h"), F.avg("move").alias("_m"))
-    return grouped.select("block", F.coalesce(F.col("strength").cast("string"), F.lit("")).alias("strength"),
+    return grouped.select("series_id", "block", F.coalesce(F.col("strength").cast("string"), F.lit("")).alias("strength"),
                           F.coalesce("confidence", F.lit("")).alias("confidence"), "n",
                           M.half_up(F.col("_h"), 3).alias("hit_rate"),
                           M.half_up(F.col("_m"), 2).alias("mean_abs_move_pct"))
@@ -194,34 +194,60 @@ def draw_index(key: Column, n_days: Column) -> Column:
     return (v % n_days).cast("int")
 
 
-def _class_counts_draws(rows: DataFrame, n_perms: int, seed: int) -> DataFrame:
-    """Redraw by event class: how many of a class's events fall on each day.
+def _class_null(sized: DataFrame, in_dense: DataFrame, permutations: int, seed: int, block: int = 50) -> DataFrame:
+    """(series_id, axis, perm, null_r): redraws by class of events, in numpy.
 
-    Events of one class (series, axis, horizon, weight) are exchangeable, so
-    their redrawn days are one multinomial draw per permutation.  Work depends
-    on classes x permutations x days, not on the number of events.  The
-    generator of a draw is seeded by its class and permutation, so a retried
-    task repeats it.
+    Events of one class (series, axis, horizon, weight) are exchangeable, so their redrawn days are
+    multinomial counts; decay is a convolution over the calendar.  Work depends on classes x days x
+    permutations, not on events.  A row holds a series' classes and targets, both bounded by the
+    vocabulary and the calendar, and ``block`` permutations; its generator is seeded by series and
+    block, so a repeated task draws the same.
     """
+    import zlib
+
     import numpy as np
     import pandas as pd
 
+    half, schema = dict(vocab.HALF_LIFE_DAYS), "series_id string, axis string, perm long, null_r double"
+
+    def decayed(x, horizon):
+        age = np.arange(half[horizon] * vocab.DECAY_HALF_LIVES + 1)
+        n = x.shape[1] + len(age) - 1
+        kernel = np.fft.rfft(0.5 ** (age / half[horizon]), n)
+        return np.fft.irfft(np.fft.rfft(x, n) * kernel, n)[:, :x.shape[1]]
+
     def draw(batches):
         for pdf in batches:
-            out = []
             for r in pdf.itertuples(index=False):
-                rng = np.random.default_rng([seed, int(r.perm), int(r.key) & 0xFFFFFFFF, (int(r.key) >> 32) & 0xFFFFFFFF])
-                got = rng.multinomial(r.events, np.full(r.n_days, 1.0 / r.n_days))
-                at = np.flatnonzero(got)
-                out.append(pd.DataFrame({"series_id": r.series_id, "perm": r.perm, "ax": r.ax, "horizon": r.horizon,
-                                         "at": at.astype("int32"), "w": got[at] * r.w}))
-            yield (pd.concat(out) if out else pd.DataFrame(
-                {"series_id": [], "perm": [], "ax": [], "horizon": [], "at": [], "w": []}))
-
-    classes = rows.groupBy("series_id", "ax", "horizon", "w", "n_days").agg(F.count("*").alias("events"))
-    keyed = (classes.withColumn("key", F.xxhash64("series_id", "ax", "horizon", "w"))
-             .withColumn("perm", F.explode(_perm_range(n_perms))))
-    return keyed.mapInPandas(draw, "series_id string, perm bigint, ax string, horizon string, at int, w double")
+                perms = np.arange(r.block * block, min((r.block + 1) * block, permutations))
+                rng = np.random.default_rng([seed, zlib.crc32(str(r.series_id).encode()), int(r.block)])
+                even, moved = np.full(r.n_days, 1.0 / r.n_days), {}
+                for c in sorted(r.classes, key=lambda c: (c["ax"], c["horizon"], c["w"])):
+                    got = rng.multinomial(c["events"], even, size=len(perms)) * c["w"]
+                    key = (c["ax"], c["horizon"])
+                    moved[key] = moved[key] + got if key in moved else got
+                pressure = {a: np.zeros((len(perms), r.n_days)) for a in AXES_ALL}
+                for (ax, horizon), x in moved.items():
+                    p = decayed(x, horizon)
+                    pressure["all"] += p
+                    if ax:
+                        pressure[ax] += p
+                goal = pd.DataFrame(list(map(dict, r.goal)))
+                for axis, g in goal.groupby("axis"):
+                    p, change = pressure[axis][:, g["at"].to_numpy()], g["change"].to_numpy()
+                    p, change = p - p.mean(axis=1, keepdims=True), change - change.mean()
+                    spread = np.sqrt((p * p).sum(axis=1) * (change @ change))
+                    ok = (spread > 0) & (len(change) >= 3)
+                    yield pd.DataFrame({"series_id": r.series_id, "axis": axis, "perm": perms[ok], "null_r": (p @ change)[ok] / spread[ok]})
+
+    classes = (sized.groupBy("series_id", "ax", "horizon", "w", "n_days").agg(F.count("*").alias("events"))
+               .groupBy("series_id", "n_days").agg(F.collect_list(F.struct("ax", "horizon", "w", "events")).alias("classes")))
+    goals = (in_dense.filter(F.col("change").isNotNull()).groupBy("series_id")
+             .agg(F.collect_list(F.struct("axis", "at", "change")).alias("goal")))
+    blocks = F.sequence(F.lit(0), F.lit((permutations - 1) // block))
+    rows = classes.join(goals, "series_id").withColumn("block", F.explode(blocks))
+    # few bytes, much work: a task for every few blocks
+    return rows.repartition(64, "series_id", "block").mapInPandas(draw, schema)
 
 
 def _perm_range(n: int) -> Column:
@@ -230,18 +256,17 @@ def _perm_range(n: int) -> Column:
 
 def permutation_test(ledger: DataFrame, dense: DataFrame, targets: DataFrame,
                      observed: DataFrame, permutations: int = 1000,
-                     seed: int = 20260810, key: str = "arrival", draw_by: str = "event") -> DataFrame:
+                     seed: int = 20260810, key: str = "arrival", draw_by: str = "class") -> DataFrame:
     """Could a ledger with random dates explain the series just as well?
 
     Each permutation redraws every event's day uniformly over the dense
     stretch; all axes share the draw.  ``dense`` is (series_id, dense_start,
     end), ``observed`` (series_id, axis, r).
 
-    ``draw_by='event'`` draws each event's day from its unique integer ``key``
-    and folds map-side into impulses, so the shuffle is bounded by permutations
-    x days x axes x horizons.  ``draw_by='class'`` draws day counts per class
-    of events: same distribution, and the ledger is read once whatever the
-    number of permutations.  Use it for large ledgers.
+    ``draw_by='class'`` draws day counts per class of events, so the ledger is
+    read once whatever the number of permutations.  ``draw_by='event'`` draws
+    each event's day from its unique integer ``key`` in Spark expressions: the
+    same distribution, for ledgers of few events.
     """
     w = M.event_weight(F.col("impact_strength"), F.col("confidence"), F.col("impact_direction"))
     slim = (ledger.select("series_id", F.col(key).alias("k"), w.alias("w"),
@@ -250,28 +275,27 @@ def permutation_test(ledger: DataFrame, dense: DataFrame, targets: DataFrame,
             .filter(F.col("w") != 0))
     usable = dense.filter(F.datediff("end", "dense_start") >= 9)
     sized = slim.join(usable.select("series_id", (F.datediff("end", "dense_start") + 1).alias("n_days")), "series_id")
+    in_dense = (targets.join(usable, "series_id")
+                .filter(F.col("day").between(F.col("dense_start"), F.col("end")))
+                .select("series_id", "axis", "day", "change", F.datediff("day", "dense_start").alias("at")))
     if draw_by == "event":
         coef = permutation_coefficients(permutations, seed)
         drawn = (sized.withColumn("perm", F.explode(_perm_range(permutations)))
                  .join(F.broadcast(coef), "perm")       # ``permutations`` rows, a parameter
                  .groupBy("series_id", "perm", "ax", "horizon", draw_index(F.col("k"), F.col("n_days")).alias("at"))
                  .agg(F.sum("w").alias("w")))
+        axes = F.when(F.col("ax") == "", F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.col("ax")))
+        placed = (drawn.join(usable, "series_id").withColumn("axis", F.explode(axes))
+                  .withColumn("day", F.date_add("dense_start", F.col("at"))))
+        spread = (decay(placed).filter(F.col("day") <= F.col("end"))
+                  .groupBy("series_id", "perm", "axis", "day").agg(F.sum("p").alias("p")))
+        null_r = (in_dense.withColumn("perm", F.explode(_perm_range(permutations)))
+                  .join(spread, ["series_id", "perm", "axis", "day"], "left")
+                  .withColumn("p", F.coalesce("p", F.lit(0.0)))
+                  .groupBy("series_id", "axis", "perm").agg(M.pearson("p", "change").alias("null_r"))
+                  .filter(F.col("null_r").isNotNull()))
     else:
-        drawn = (_class_counts_draws(sized, permutations, seed).groupBy("series_id", "perm", "ax", "horizon", "at")
-                 .agg(F.sum("w").alias("w")))
-    axes = F.when(F.col("ax") == "", F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.col("ax")))
-    placed = (drawn.join(usable, "series_id").withColumn("axis", F.explode(axes))
-              .withColumn("day", F.date_add("dense_start", F.col("at"))))
-    spread = (decay(placed).filter(F.col("day") <= F.col("end"))
-              .groupBy("series_id", "perm", "axis", "day").agg(F.sum("p").alias("p")))
-    in_dense = (targets.join(dense, "series_id")
-                .filter(F.col("day").between(F.col("dense_start"), F.col("end")))
-                .select("series_id", "axis", "day", "change")
-                .withColumn("perm", F.explode(_perm_range(permutations))))
-    null_r = (in_dense.join(spread, ["series_id", "perm", "axis", "day"], "left")
-              .withColumn("p", F.coalesce("p", F.lit(0.0)))
-              .groupBy("series_id", "axis", "perm").agg(M.pearson("p", "change").alias("null_r"))
-              .filter(F.col("null_r").isNotNull()))
+        null_r = _class_null(sized, in_dense, permutations, seed)
     obs = observed.filter(F.col("r").isNotNull()).select("series_id", "axis", F.col("r").alias("observed_r"))
     one_test = Window.partitionBy("series_id", "axis")      # ``permutations`` rows each
     return (null_r.join(obs, ["series_id", "axis"])

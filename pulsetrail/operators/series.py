@@ -315,9 +315,16 @@ def vitals_regression(vitals: DataFrame, good: float = 2500, poor: float = 4000,
 
 
 def measured_rollup(measured: DataFrame) -> DataFrame:
-    """Measured traffic per (country, day) and over all countries (null)."""
-    return measured.rollup("day", "country").agg(F.sum("traffic").alias("traffic")) \
-        .filter(F.col("day").isNotNull())
+    """Measured traffic per (country, day), and per day over all countries (``is_total``)."""
+    sums = measured.filter(F.col("day").isNotNull()).rollup("day", "country").agg(
+        F.sum("traffic").alias("traffic"), F.grouping_id().alias("_g"))
+    return sums.filter(F.col("_g") < 2).select("day", "country", (F.col("_g") == 1).alias("is_total"), "traffic")
+
+
+def measured_summary(measured: DataFrame) -> DataFrame:
+    """How much was measured: distinct days, their span, and countries."""
+    return measured.agg(F.countDistinct("day").alias("days"), F.min("day").alias("first_day"),
+                        F.max("day").alias("last_day"), F.countDistinct("country").alias("countries"))
 
 
 def prefer_measured(measured: DataFrame, proxy: DataFrame) -> DataFrame:

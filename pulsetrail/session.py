@@ -6,6 +6,8 @@ On a cluster the session comes from the submitter and nothing here is needed.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,11 +33,15 @@ def local_session(cores: int = 8, **conf) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, laptops) is one made locally.
+    Where the session names none, one is made locally and deleted at the end,
+    on one machine only: on a cluster executors could not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="pulsetrail-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
@@ -44,4 +50,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(id(spark.sparkContext), []).append(path)
+    return path
+
+
+_WRITTEN: dict[int, list[str]] = {}
+
+
+def discard_written(spark: SparkSession) -> int:
+    """Delete every folder handed out by ``fresh_path`` in this session; returns how many there were.
+
+    For the end of a run, when its results are stored elsewhere.
+    """
+    paths = _WRITTEN.pop(id(spark.sparkContext), [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)

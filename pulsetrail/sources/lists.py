@@ -6,7 +6,7 @@ behind a size check because they become part of the query itself.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsetrail import vocab
 from pulsetrail.functions.text import strip
@@ -46,6 +46,11 @@ def keyword_lists(keywords: DataFrame, default_keep=(), default_drop=()) -> tupl
     return (keep, drop) if keep and drop else (list(default_keep), list(default_drop))
 
 
+def known_label(label: Column, known) -> Column:
+    """The label if it is one of the known categories, else 'other'."""
+    return F.when(label.isin(*known), label).otherwise("other")
+
+
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """(pos, label, value) of ``label | value`` lines; no bar means 'other'."""
     rows = _lines(spark, path).filter(~F.col("line").startswith("#"))

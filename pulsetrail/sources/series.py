@@ -14,9 +14,9 @@ SERIES_SCHEMA = T.StructType([
 ])
 
 
-def read_series_files(spark: SparkSession, path: str) -> DataFrame:
+def read_series_files(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Points of nested series files: (series_id, date, views, pos)."""
-    docs = spark.read.schema(SERIES_SCHEMA).option("multiLine", True).json(path)
+    docs = spark.read.schema(SERIES_SCHEMA).option("multiLine", multi_line).json(path)
     return (docs.select(F.explode("series").alias("series_id", "points"))
             .select("series_id", F.posexplode("points").alias("pos", "p"))
             .select("series_id", "p.date", "p.views", "pos"))

@@ -25,6 +25,7 @@ BASELINE_DAYS = 14
 MIN_COVERAGE = 0.95
 FORWARD_DAYS = 7
 MONTH_MINIMUM = 20
+CURATED_TITLE_CHARS = 40
 
 DEDUP_WINDOW_DAYS = 7
 RAW_TITLE_THRESHOLD = 0.50

@@ -33,19 +33,18 @@ def test_upsert_is_idempotent(v):
     assert once.agg(F.min(F.datediff(day, "day"))).first()[0] is not None
 
 
-@pytest.mark.parametrize("width", [1, 7, 10_000_000])
-def test_global_rank_is_a_row_number(v, width):
-    led = v.ledger().select("arrival", "impact_direction", "date", "confidence")
-    keys = K.rank_keys(F.lit("-"))
-    got = K.global_rank(led, keys, width=width)
-    want = led.withColumn("want", F.row_number().over(Window.orderBy(*keys, "arrival")))
-    assert got.join(want.select("arrival", "want"), "arrival").filter("rank <> want").count() == 0
+def test_rank_is_a_row_number_of_its_series(v):
+    led = v.scored_ledger().withColumn("move", F.when(F.col("series_id") < "H", "-").when(F.col("series_id") < "M", "+"))
+    want = led.withColumn("want", F.row_number().over(
+        Window.partitionBy("series_id").orderBy(*K.rank_keys(F.col("move")), "arrival"))).select("arrival", "want")
+    got = K.rank_events(led)
+    assert got.join(want, "arrival").filter("rank <> want").count() == 0
     assert got.count() == led.count()
 
 
 def test_range_means_match_plain_averages(v):
     s = v.series().filter(F.col("series_id") == SUBJECT)
-    ev = v.scored_ledger()
+    ev = v.scored_ledger().filter(F.col("series_id") == SUBJECT)
     got = S.event_windows(ev, s).select("event_id", "before_mean", "before_n", "after_mean", "after_n")
     brute = (ev.withColumn("win", F.when(F.col("impact_horizon") == "immediate", 7)
                            .when(F.col("impact_horizon") == "weeks", 28).otherwise(90))
@@ -77,7 +76,7 @@ def test_null_without_timing_is_not_significant(v):
     dense = spans.select("series_id", F.lit("2001-03-01").cast("date").alias("dense_start"), "end")
     targets = S.axis_targets(v.series(), v.rivals(SUBJECT), spans)
     obs = S.pressure_correlation(S.pressure_index(led, spans), targets, dense).filter("stretch = 'dense'")
-    out = S.permutation_test(led, dense, targets, obs, 40).collect()
+    out = S.permutation_test(led, dense, targets, obs, 40, draw_by="event").collect()
     assert {r["axis"] for r in out} <= {"all", "demand", "share", "supply"} and out
     assert all(r["permutations"] == 40 and 0 <= r["p_value"] <= 1 for r in out)
 
