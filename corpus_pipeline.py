@@ -9,7 +9,7 @@ and reads it back, so a lost executor costs at most a stage.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pulsetrail.llm.common import NULL_ID, documents, importable, stored
 from pulsetrail.llm.packing import pack
@@ -59,7 +59,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
             .withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def whole_characters(kept: pd.Series) -> pd.Series:
     return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
