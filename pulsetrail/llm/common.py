@@ -156,7 +156,20 @@ def row_of(first_word: np.ndarray) -> np.ndarray:
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1 << 16) -> Iterator[pa.Table]:
-    """From batches sorted by ``keys``: tables in which no key is cut, of about ``least`` rows."""
+    """From batches sorted by ``keys``: tables of about ``least`` rows, or one key's rows, in which no key is cut."""
+    def cut(t: pa.Table) -> Iterator[pa.Table]:
+        new = np.zeros(t.num_rows, dtype=bool)
+        new[:1] = True
+        for k in keys:
+            v = t.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        begin = np.append(np.flatnonzero(new), t.num_rows)
+        lo = 0
+        while lo < t.num_rows:
+            hi = int(begin[min(np.searchsorted(begin, lo + least), len(begin) - 1)])
+            yield t.slice(lo, hi - lo)
+            lo = hi
+
     held: list[pa.RecordBatch] = []
     rows = 0
     for b in batches:
@@ -167,13 +180,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int
         if rows < least:
             continue
         t = pa.Table.from_batches(held)
-        cut = last_group(t, keys)
-        if cut:
-            yield t.slice(0, cut)
-            held = t.slice(cut).to_batches()
-            rows = t.num_rows - cut
+        end = last_group(t, keys)
+        if end:
+            yield from cut(t.slice(0, end))
+            held = t.slice(end).to_batches()
+            rows = t.num_rows - end
     if held:
-        yield pa.Table.from_batches(held)
+        yield from cut(pa.Table.from_batches(held))
 
 
 def last_group(t: pa.Table, keys: list[str]) -> int:

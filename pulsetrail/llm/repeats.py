@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pulsetrail.llm.common import SLICE, column, longs, mix, slices, span_hashes, stored, text_buffer, whole_groups, word_bounds
 
 #: classes of one anchor beyond which its windows are dealt out by content
-CROWD = 1 << 14
+CROWD = 1 << 13
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -198,30 +198,73 @@ def window_ranks(keys: np.ndarray, covers: int, width: int) -> np.ndarray:
     return rank
 
 
+def suffix_places(words: np.ndarray, at: np.ndarray, steps: list[int]) -> np.ndarray:
+    """The places in suffix order of distinct windows that begin at ``at``; ``words[at + step]`` are their units in order."""
+    order = np.lexsort([words[at + k] for k in steps[2::-1]])
+    tied = np.zeros(len(at), bool)
+    if len(steps) > 3:
+        same = np.ones(len(at) - 1, bool)
+        for k in steps[:3]:
+            w = words[at[order] + k]
+            same &= w[1:] == w[:-1]
+        tied[1:] |= same
+        tied[:-1] |= same
+    t = np.flatnonzero(tied)
+    if len(t):
+        run = np.cumsum(np.append(True, ~same))[t]
+        order[t] = order[t][np.lexsort([words[at[order[t]] + k] for k in steps[:2:-1]] + [run])]
+    out = np.empty(len(at), np.int64)
+    out[order] = np.arange(len(at))
+    return out
+
+
 def late_windows(units: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
     """Windows of the pieces that an earlier one equals: (piece, window in it).
 
-    In suffix order cut at ``width``, with ties in order of position, the previous smaller position
-    of a window is its neighbour above, if that has the same rank, and the next smaller one never
-    is nearer; so a window's longest previous factor reaches ``width`` unless it is its rank's first.
+    A window that no other equals has no previous factor of ``width``; hashes find the others, which
+    are then put into suffix order, ties in order of position. There the previous smaller position
+    of a window is its neighbour above if that has the same rank, and the next smaller one never
+    is nearer; so its longest previous factor reaches ``width`` unless it is its rank's first.
     """
     windows = np.maximum(np.diff(offsets) - kind.width + 1, 0)
     piece = np.repeat(np.arange(len(windows)), windows)
     inside = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = offsets[:-1][piece] + inside
+    none = np.zeros(0, np.int64)
+    if not len(at):
+        return none, none
+    item = units.itemsize
+    raw = np.ascontiguousarray(units).view(np.uint8)
+    h = span_hashes(raw, at * item, (at + kind.width) * item)
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    shared = np.append(False, same) | np.append(same, False)
+    some = order[shared]
+    if not len(some):
+        return none, none
+    first = np.append(True, ~same)[shared]
+    group, rep = np.cumsum(first) - 1, at[some[first]]
     if kind.units is bytes_of:
-        rank = window_ranks(packed(units), min(8, kind.width), kind.width) if kind.width >= 8 else window_ranks(units, 1, kind.width)
+        words, steps = packed(units), [*range(0, kind.width - 8, 8), kind.width - 8]
     else:
-        rank = window_ranks(units, 1, kind.width)
-    rank = rank[offsets[:-1][piece] + inside]
-    at = start[piece] + inside
-    order = np.lexsort((at, doc[piece], rank))
-    r, d, a = rank[order], doc[piece][order], at[order]
-    first = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.zeros(0, np.int64)
-    group = np.repeat(first, np.diff(np.append(first, len(r))))
-    late = d > d[group]
+        words, steps = units, list(range(kind.width))
+    equal = np.ones(len(some), bool)
+    for k in steps:
+        equal &= words[at[some] + k] == words[rep[group] + k]
+    if equal.all():
+        rank = suffix_places(words, rep, steps)[group]
+    else:  # two contents under one hash: order everything by prefix doubling
+        some = np.arange(len(at))
+        rank = window_ranks(packed(units) if kind.units is bytes_of else units, 8 if kind.units is bytes_of else 1, kind.width)[at]
+    place = start[piece[some]] + inside[some]
+    order = np.lexsort((place, doc[piece[some]], rank))
+    r, d, a = rank[order], doc[piece[some]][order], place[order]
+    first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+    head = np.repeat(first, np.diff(np.append(first, len(r))))
+    late = d > d[head]
     if kind.by_position:
-        late |= (d == d[group]) & (a > a[group])
-    hit = np.sort(order[late])
+        late |= (d == d[head]) & (a > a[head])
+    hit = np.sort(some[order[late]])
     return piece[hit], inside[hit]
 
 
@@ -279,7 +322,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _compared(pieces: DataFrame, kind: Kind) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["anchor", "deal"], 1 << 13):
+        for t in whole_groups(batches, ["anchor", "deal"], 1 << 11):
             raw = t.column("units").combine_chunks()
             raw = raw if isinstance(raw, pa.Array) else raw.chunk(0)
             raw = raw.cast(pa.large_binary())
