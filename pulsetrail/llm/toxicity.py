@@ -96,7 +96,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
-def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Non-negative risk with the logistic loss, by Adam on the whole sample."""
     p, u = x[positive], x[~positive]
     w = np.zeros(x.shape[1] + 1, np.float32)
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     a, b = F.col("p") / n_p, F.col("u") / n_u
     spread = F.sqrt(a * (1 - a) / n_p + b * (1 - b) / n_u) + 1.0 / n_p
     # prior * a / b estimates how many of the documents with the feature are toxic; a is taken low, as few examples may deceive
-    low = (F.col("p") - 1.5 * F.sqrt("p")) / n_p
+    low = (F.col("p") - 1.0 * F.sqrt("p")) / n_p
     telling = (F.col("p") > 2) & (prior * low >= 0.5 * b)
     best = seen.where(telling).withColumn("z", (a - b) / spread).orderBy(F.desc("z"), "f").limit(size).toArrow()
     keys = np.sort(best.column("f").to_numpy())
