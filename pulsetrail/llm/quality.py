@@ -60,14 +60,13 @@ def counts_of(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
     # lines: cut at every newline and at row ends
     newline = np.flatnonzero(data == 10)
-    begin = np.sort(np.concatenate([offsets[:-1], newline + 1]))
+    begin = np.unique(np.concatenate([offsets[:-1], newline + 1]))
     line_row = np.searchsorted(offsets[1:], begin, side="right") if len(begin) else begin
-    # a newline that ends a row opens an empty line there; rows without text have one empty line
+    # lines without a word don't count, so rows without text and ends of rows need no line of their own
     keep = (line_row < n)
     begin, line_row = begin[keep], line_row[keep]
-    stop = np.append(begin[1:] - 1, offsets[-1])
-    stop = np.where(np.append(line_row[1:] != line_row[:-1], True), offsets[line_row + 1], stop)
-    stop = np.minimum(np.maximum(stop, begin), offsets[line_row + 1])
+    stop = np.append(newline, len(data))[np.searchsorted(newline, begin)]
+    stop = np.minimum(stop, offsets[line_row + 1])
     full = np.searchsorted(starts, stop) > np.searchsorted(starts, begin)
     begin, stop, line_row = begin[full], stop[full], line_row[full]
     _, again = repeats(line_row, span_hashes(data, begin, stop))
