@@ -23,16 +23,16 @@ def parse_traffic_lines(lines: DataFrame, first_line: Column) -> DataFrame:
     text = F.regexp_replace("value", "^﻿", "")
     header = first_line & F.lower(text).rlike("|".join(vocab.TRAFFIC_HEADER_WORDS))
     cells = F.transform(F.split(text, ","), strip)
-    number = F.regexp_extract(F.regexp_replace(F.col("_c")[2], r"[^0-9.\-]", ""),
+    number = F.regexp_extract(F.regexp_replace(F.get("_c", F.lit(2)), r"[^0-9.\-]", ""),
                               r"^(-?(?:\d+\.?\d*|\.\d+))", 1)
-    day = F.replace(F.col("_c")[1], F.lit("/"), F.lit("-"))
+    day = F.replace(F.get("_c", F.lit(1)), F.lit("/"), F.lit("-"))
     pattern = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
     padded = F.when(day.rlike(pattern), F.concat_ws(
         "-", F.regexp_extract(day, pattern, 1), F.lpad(F.regexp_extract(day, pattern, 2), 2, "0"),
         F.lpad(F.regexp_extract(day, pattern, 3), 2, "0"))).otherwise(day)
     return (lines.filter((strip(text) != "") & ~header).withColumn("_c", cells)
             .filter(F.size("_c") >= 3)
-            .select(country_code(F.col("_c")[0]).alias("country"), padded.alias("day"),
+            .select(country_code(F.get("_c", F.lit(0))).alias("country"), padded.alias("day"),
                     F.nullif(number, F.lit("")).try_cast("double").alias("traffic"))
             .filter((F.col("country") != "") & (F.col("day") != "") & F.col("traffic").isNotNull()))
 
