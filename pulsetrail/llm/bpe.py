@@ -277,7 +277,7 @@ class Lexicon:
 class Encoder:
     """Chunks of text (between white space of ASCII) to ids, with a bounded memory of what was met before."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __init__(self, table: MergeTable, lexicon: Lexicon | None = None):
         self.table, self.lexicon = table, lexicon

@@ -23,7 +23,7 @@ from pulsetrail.session import fresh_path
 #: stands for a null id inside an operator
 NULL_ID = -(2**63)
 #: bytes of text that a task works on at once
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: bytes that separate words: space and 0x09-0x0D
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -198,8 +198,18 @@ def last_group(t: pa.Table, keys: list[str]) -> int:
     return int(t.num_rows - np.argmin(same[::-1])) if not same.all() else 0
 
 
+#: rows that Spark hands to Python at once: texts may be long, and its default of 10,000 makes batches of 50 MB and more
+BATCH_ROWS = 2000
+
+
 def importable(spark: SparkSession) -> None:
-    """Let executors import this package where neither their path nor their folder holds it."""
+    """Let executors import this package where neither their path nor their folder holds it.
+
+    Also lowers Spark's rows per Arrow batch to ``BATCH_ROWS`` unless the session has a smaller number.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     import os
     import shutil
     import tempfile
