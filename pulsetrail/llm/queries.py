@@ -8,6 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pulsetrail.llm import oracles
 from pulsetrail.llm.common import documents, importable
 
 #: folder of the public vocabularies; a parameter of every operator that needs one
@@ -15,7 +16,7 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_quality_rules": oracles.quality_rules(), "op4_substring_dedup": oracles.substring_dedup()}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -304,3 +304,10 @@ def test_neighbours_recall(spark, sf):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     recall = np.mean([len(got[q] & {v for v, _ in w}) / len(w) for q, w in want.items()])
     assert recall >= 0.9
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, name):
+    from tests.oracle import compare, duck
+
+    assert compare(queries.QUERIES[name](spark, SF), duck(SF), queries.SQL[name]) == ""
