@@ -53,7 +53,7 @@ def compare(spark_df, con, sql):
         if r != o:
             return f"first difference {dict(zip(cols, r))} != {dict(zip(cols, o))} types {types}"
     otypes = dict(zip(names, kinds))
-    want = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE"}
+    want = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
     bad = {c: (t, otypes[c]) for c, t in types.items() if want.get(t) != otypes[c]}
     if bad:
         return f"types {bad}"
