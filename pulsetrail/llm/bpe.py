@@ -64,7 +64,7 @@ class MergeTable:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for lo, hi in ((1, 4), (5, 8), (9, 12), (13, 20), (21, LONG)):
             at = np.flatnonzero((lengths >= lo) & (lengths <= hi))
-            for part in np.array_split(at, len(at) // 65536 + 1) if len(at) else ():
+            for part in np.array_split(at, len(at) * hi // 400_000 + 1) if len(at) else ():
                 symbols, n = self._merge_short([words[i] for i in part], lengths[part], hi)
                 counts[part] = n
                 found.append((part, symbols, n))
@@ -277,7 +277,7 @@ class Lexicon:
 class Encoder:
     """Chunks of text (between white space of ASCII) to ids, with a bounded memory of what was met before."""
 
-    LIMIT = 200_000
+    LIMIT = 150_000
 
     def __init__(self, table: MergeTable, lexicon: Lexicon | None = None):
         self.table, self.lexicon = table, lexicon
@@ -338,8 +338,8 @@ class Encoder:
     def learn(self, rows: list[list[bytes]]) -> dict[bytes, bytes]:
         """Every chunk of the rows: its ids as little-endian unsigned 32-bit numbers."""
         new = self.new_chunks(rows, self.known)
-        for lo in range(0, len(new), 100_000):
-            part = new[lo:lo + 100_000]
+        for lo in range(0, len(new), 1 << 15):
+            part = new[lo:lo + (1 << 15)]
             ids, begin = self.encode_chunks(part)
             raw, bounds = ids.astype("<u4").tobytes(), (begin * 4).tolist()
             self.known.update(zip(part, map(raw.__getitem__, map(slice, bounds[:-1], bounds[1:]))))

@@ -125,8 +125,8 @@ def round_trip(docs: DataFrame, vocabulary: str, words: int = WORDS) -> DataFram
                 new = encoder.new_chunks(rows, written)
                 if len(spelled) > len(written):
                     spelled = {c: spelled[c] for c in written}
-                for lo in range(0, len(new), 100_000):
-                    chunks = new[lo:lo + 100_000]
+                for lo in range(0, len(new), 1 << 15):
+                    chunks = new[lo:lo + (1 << 15)]
                     ids, begin = encoder.encode_chunks(chunks)
                     written.update(zip(chunks, decimals.chunks(ids, begin)))
                     spelled.update(zip(chunks, names.chunks(ids, begin)))
