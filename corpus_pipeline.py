@@ -11,11 +11,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from pulsetrail.llm.common import NULL_ID, documents, importable, stored
+from pulsetrail.llm.common import documents, importable, stored
 from pulsetrail.llm.packing import pack
 from pulsetrail.llm.quality import judge
 from pulsetrail.llm.queries import WORD_BPE
-from pulsetrail.llm.simhash import near_duplicates
+from pulsetrail.llm.simhash import firsts
 from pulsetrail.llm.suffix_dedup import remove_copies
 from pulsetrail.llm.toxicity import rate
 
@@ -38,12 +38,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each near-duplicate group (operator 7)."""
+    """One document, that of the smallest id, of each near-duplicate group (operator 7); texts of null ids are documents of their own."""
     importable(spark)
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = first.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("kept_id")).distinct()
-    one = docs.withColumn("kept_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return one.join(ids, "kept_id", "left_semi").dropDuplicates(["kept_id"]).select(*COLUMNS)  # one shuffle for both
+    return firsts(docs).select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ Conventions of every operator here, unless its docstring says otherwise:
 * only ``doc_id`` and ``text`` (and what the docstring names) are read, so other columns, whatever
   their names, never clash;
 * a null text counts as empty; a null ``doc_id`` is kept, sorts before all others and comes back null;
-* ``doc_id`` names a document: rows that repeat it are given back once each;
+* rows that repeat a ``doc_id`` are given back once each; those that also repeat its text are one document;
 * an empty table gives an empty result of the same schema.
 """
 
@@ -42,6 +42,11 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
                        F.col("text").cast("string").alias("text"), *more)
 
 
+def paired(docs: DataFrame, *more: str) -> DataFrame:
+    """As ``keyed``, with ``twin``, a 64-bit hash of the text: it tells documents apart that share an id, as those of null ids do."""
+    return keyed(docs, *more).withColumn("twin", F.xxhash64("text"))
+
+
 def public_id(name: str = "doc_id") -> Column:
     return F.nullif(F.col(name), F.lit(NULL_ID)).alias(name)
 

@@ -26,10 +26,12 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsetrail.llm.common import SLICE, column, longs, mix, slices, span_hashes, stored, text_buffer, whole_groups, word_bounds
+from pulsetrail.llm.common import NULL_ID, SLICE, column, longs, mix, slices, span_hashes, stored, text_buffer, whole_groups, word_bounds
 
 #: classes of one anchor beyond which its windows are dealt out by content
 CROWD = 1 << 13
+#: what names a document: its id, and a hash of its text as null and repeated ids may have several
+PAIR = ["doc_id", "twin"]
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -134,11 +136,11 @@ def anchor_runs(units: np.ndarray, offsets: np.ndarray, kind: Kind) -> tuple[np.
 
 
 def runs(docs: DataFrame, kind: Kind, anchors_only: bool = False) -> DataFrame:
-    """``anchor`` and, unless only that is asked for, ``content, doc_id, start, n`` of every run."""
+    """``anchor`` and, unless only that is asked for, ``content, doc_id, twin, start, n`` of every run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
-                doc = longs(b, "doc_id")
+                doc, twin = longs(b, "doc_id"), longs(b, "twin")
                 for units, offsets, rows, shift in segments(*text_buffer(column(b, "text")), kind):
                     anchor, where, n, part = anchor_runs(units, offsets, kind)
                     out = [pa.array(anchor.view(np.int64))]
@@ -147,25 +149,25 @@ def runs(docs: DataFrame, kind: Kind, anchors_only: bool = False) -> DataFrame:
                         digest = xxhash.xxh3_64_intdigest
                         content = np.fromiter((digest(raw[a:e]) for a, e in zip((where * size).tolist(), ((where + n + kind.width - 1) * size).tolist())),
                                               np.uint64, len(where))
-                        out += [pa.array(content.view(np.int64)), pa.array(doc[rows[part]]), pa.array(where - offsets[part] + shift[part]),
+                        out += [pa.array(content.view(np.int64)), pa.array(doc[rows[part]]), pa.array(twin[rows[part]]), pa.array(where - offsets[part] + shift[part]),
                                 pa.array(n.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(out, names=["anchor", "content", "doc_id", "start", "n"][:len(out)])
+                    yield pa.RecordBatch.from_arrays(out, names=["anchor", "content", "doc_id", "twin", "start", "n"][:len(out)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long" if anchors_only else "anchor long, content long, doc_id long, start long, n int")
+    return docs.select("doc_id", "twin", "text").mapInArrow(run, "anchor long" if anchors_only else "anchor long, content long, doc_id long, twin long, start long, n int")
 
 
 def squeezed(docs: DataFrame, *carry: str) -> DataFrame:
-    """``doc_id``, the text's bytes compressed as ``z`` (null stays null), and columns to carry: what a shuffle of texts moves."""
-    schema = docs.select("doc_id", *carry).schema.add("z", "binary")
+    """``doc_id, twin``, the text's bytes compressed as ``z`` (null stays null), and columns to carry: what a shuffle of texts moves."""
+    schema = docs.select("doc_id", "twin", *carry).schema.add("z", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for b in slices(batch):
                 z = [None if t is None else press.compress(t.encode("utf-8", "replace")) for t in column(b, "text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("doc_id", *carry)), pa.array(z, pa.binary())], names=["doc_id", *carry, "z"])
+                yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("doc_id", "twin", *carry)), pa.array(z, pa.binary())], names=["doc_id", "twin", *carry, "z"])
 
-    return docs.select("doc_id", *carry, "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "twin", *carry, "text").mapInArrow(run, schema)
 
 
 def unsqueezed(z: bytes | None) -> bytes:
@@ -269,19 +271,24 @@ def late_windows(units: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start:
 
 
 def find(docs: DataFrame, kind: Kind) -> DataFrame:
-    """Late windows as ranges: ``doc_id, start, n`` (window starts ``start`` to ``start + n - 1``)."""
+    """Late windows as ranges: ``doc_id, twin, start, n`` (window starts ``start`` to ``start + n - 1``).
+
+    A document is a pair of ``doc_id`` and ``twin`` (see ``paired``), and pairs are in order; only where a
+    smaller ``doc_id`` counts, pairs of one id that isn't null come neither before nor after each other.
+    """
     # each side of a join is a table of its own, so that adaptive execution can split a hot anchor
     counts = stored(runs(docs, kind, anchors_only=True).groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
     repeated = stored(runs(docs, kind).join(counts, "anchor"), "repeated-runs")
-    place: Column = F.struct("doc_id", "start") if kind.by_position else F.struct("doc_id")
+    apart = F.when(F.col("doc_id") == NULL_ID, F.col("twin")).otherwise(0).alias("apart")
+    place: Column = F.struct("doc_id", "twin", "start") if kind.by_position else F.struct("doc_id", apart)
     classes = stored(repeated.groupBy("anchor", "content").agg(F.min(place).alias("first")), "run-classes")
     crowded = stored(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"), "crowded-anchors")
     marked = stored(repeated.join(classes, ["anchor", "content"]).withColumn("late", place > F.col("first")).drop("first", "content"), "marked-runs")
     # a document has no more runs than windows, so its list is bounded by its length
-    asked = marked.where("not late").join(crowded, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "classes", "start", "n")).alias("runs"))
-    pieces = _pieces(squeezed(docs).join(asked, "doc_id"), kind)
+    asked = marked.where("not late").join(crowded, "anchor").groupBy("doc_id", "twin").agg(F.collect_list(F.struct("anchor", "classes", "start", "n")).alias("runs"))
+    pieces = _pieces(squeezed(docs).join(asked, PAIR), kind)
     dealt = pieces.repartition("anchor", "deal").sortWithinPartitions("anchor", "deal")
-    return marked.where("late").select("doc_id", "start", F.col("n").cast("long").alias("n")).unionAll(_compared(dealt, kind))
+    return marked.where("late").select(*PAIR, "start", F.col("n").cast("long").alias("n")).unionAll(_compared(dealt, kind))
 
 
 def _pieces(asked: DataFrame, kind: Kind) -> DataFrame:
@@ -291,20 +298,20 @@ def _pieces(asked: DataFrame, kind: Kind) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             size = 0
-            for doc, z, wanted in zip(longs(b, "doc_id").tolist(), column(b, "z"), column(b, "runs")):
+            for doc, twin, z, wanted in zip(longs(b, "doc_id").tolist(), longs(b, "twin").tolist(), column(b, "z"), column(b, "runs")):
                 data = np.frombuffer(unsqueezed(z.as_py()), np.uint8)
                 units, _ = kind.units(data, np.array([0, len(data)]))
                 raw, item = memoryview(np.ascontiguousarray(units)).cast("B") if len(units) else memoryview(b""), units.itemsize
                 for w in wanted.as_py():
                     lo, n = w["start"], w["n"]
                     if w["classes"] <= CROWD:
-                        out.append((w["anchor"], 0, doc, lo, bytes(raw[lo * item:(lo + n + kind.width - 1) * item])))
+                        out.append((w["anchor"], 0, doc, twin, lo, bytes(raw[lo * item:(lo + n + kind.width - 1) * item])))
                         size += len(out[-1][-1])
                         continue
                     deals = -(-w["classes"] // CROWD)
                     for k in range(lo, lo + n):
                         x = bytes(raw[k * item:(k + kind.width) * item])
-                        out.append((w["anchor"], 1 + digest(x) % deals, doc, k, x))
+                        out.append((w["anchor"], 1 + digest(x) % deals, doc, twin, k, x))
                         size += len(x)
                 if size > SLICE:
                     yield _batch(out)
@@ -312,12 +319,12 @@ def _pieces(asked: DataFrame, kind: Kind) -> DataFrame:
             if out:
                 yield _batch(out)
 
-    return asked.mapInArrow(run, "anchor long, deal long, doc_id long, start long, units binary")
+    return asked.mapInArrow(run, "anchor long, deal long, doc_id long, twin long, start long, units binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["anchor", "deal", "doc_id", "start", "units"])
+    kinds = (*[pa.int64()] * 5, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["anchor", "deal", *PAIR, "start", "units"])
 
 
 def _compared(pieces: DataFrame, kind: Kind) -> DataFrame:
@@ -330,13 +337,17 @@ def _compared(pieces: DataFrame, kind: Kind) -> DataFrame:
             data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
             units = data if kind.units is bytes_of else np.frombuffer(data.tobytes(), np.uint64)
             offsets = (offsets - offsets[0]) // units.itemsize
-            doc, start = t.column("doc_id").to_numpy(), t.column("start").to_numpy()
-            piece, inside = late_windows(units, offsets, doc, start, kind)
+            doc, twin, start = (t.column(c).to_numpy() for c in (*PAIR, "start"))
+            apart = twin if kind.by_position else np.where(doc == NULL_ID, twin, 0)
+            order = np.lexsort((apart, doc))
+            number = np.empty(len(doc), np.int64)  # of the document, in order
+            number[order] = np.cumsum(np.append(False, (doc[order][1:] != doc[order][:-1]) | (apart[order][1:] != apart[order][:-1])))
+            piece, inside = late_windows(units, offsets, number, start, kind)
             cut = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (inside[1:] != inside[:-1] + 1))) if len(piece) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[piece[cut]]), pa.array(start[piece[cut]] + inside[cut]),
-                                              pa.array(np.diff(np.append(cut, len(piece))))], names=["doc_id", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[piece[cut]]), pa.array(twin[piece[cut]]), pa.array(start[piece[cut]] + inside[cut]),
+                                              pa.array(np.diff(np.append(cut, len(piece))))], names=[*PAIR, "start", "n"])
 
-    return pieces.mapInArrow(run, "doc_id long, start long, n long")
+    return pieces.mapInArrow(run, "doc_id long, twin long, start long, n long")
 
 
 def removed(ranges: list[dict] | None, size: int, width: int) -> np.ndarray:
@@ -350,5 +361,5 @@ def removed(ranges: list[dict] | None, size: int, width: int) -> np.ndarray:
 
 def with_ranges(docs: DataFrame, ranges: DataFrame, *carry: str) -> DataFrame:
     """Every document, compressed, with the list of its late ranges (null if it has none)."""
-    found = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    return squeezed(docs, *carry).join(found, "doc_id", "left")
+    found = ranges.groupBy(*PAIR).agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    return squeezed(docs, *carry).join(found, PAIR, "left")

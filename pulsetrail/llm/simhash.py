@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsetrail.llm.common import LOWER, column, keyed, longs, public_id, slices, stored, text_buffer, whole_groups, word_bounds
+from pulsetrail.llm.common import LOWER, NULL_ID, column, paired, public_id, slices, stored, text_buffer, whole_groups, word_bounds
 from pulsetrail.llm.components import components
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
@@ -28,7 +28,7 @@ QUADRUPLES = [q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3]
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id, bits`` (long): a bit is 1 if set in over half of the shingles' hashes; no words: 0."""
+    """``doc_id, twin, bits`` (long): a bit is 1 if set in over half of the shingles' hashes; no words: 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
@@ -58,9 +58,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
                     if len(some):
                         ones = np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), at)
                         out[some] |= (2 * ones > n[some]).astype(np.uint64) << np.uint64(bit)
-                yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "bits"])
+                yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "twin"), pa.array(out.view(np.int64))], names=["doc_id", "twin", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bits long")
+    return docs.select("doc_id", "twin", "text").mapInArrow(run, "doc_id long, twin long, bits long")
 
 
 def quadruple(bits: Column, block: tuple[int, ...]) -> Column:
@@ -127,18 +127,36 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return listed.mapInArrow(run, "u long, v long").distinct()
 
 
+def grouped(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id, twin`` (see ``paired``), ``bits``, ``component`` (the group's key) and ``component_id`` (its smallest id) for every row.
+
+    Fingerprints are the nodes, so an id of several texts, as null may be, links nothing.
+    """
+    if distance > 3:
+        raise ValueError("the index guarantees links of at most three bits")
+    marks = stored(fingerprints(paired(docs), shingle), "fingerprints")
+    prints = stored(marks.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct-prints")
+    nodes = components(links(prints.select(F.col("bits").alias("rep"), "bits"), distance))
+    named = stored(prints.join(nodes, prints["bits"] == nodes["node"], "left")
+                   .select("bits", "least", F.coalesce("component", "bits").alias("component")), "named-prints")
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return marks.join(named.drop("least").join(ids, "component"), "bits")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, bits, component_id`` (the smallest id reachable over links, itself included) for every document.
 
     Texts without words (null and empty ones too) have fingerprint zero and are linked like any other;
-    fewer than ``shingle`` words are one shingle. ``distance`` is at most 3, for which the index is exact.
+    fewer than ``shingle`` words are one shingle. Different texts of one id, as of null, are documents
+    of their own. ``distance`` is at most 3, for which the index is exact.
     """
-    if distance > 3:
-        raise ValueError("the index guarantees links of at most three bits")
-    docs = keyed(docs)
-    marks = stored(fingerprints(docs, shingle), "fingerprints")
-    prints = stored(marks.groupBy("bits").agg(F.min("doc_id").alias("rep")), "distinct-prints")
-    nodes = components(links(prints, distance))
-    named = prints.join(nodes, prints["rep"] == nodes["node"], "left").select("bits", F.coalesce("component", "rep").alias("component_id"))
-    out = marks.join(named, "bits").select("doc_id", "bits", "component_id")
-    return out.select(public_id(), "bits", public_id("component_id"))
+    return grouped(docs, distance, shingle).select(public_id(), "bits", public_id("component_id"))
+
+
+def firsts(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each near-duplicate group, as it came: that of the smallest id, of its texts the one of least hash."""
+    best = grouped(docs, distance, shingle).groupBy("component").agg(F.min(F.struct("doc_id", "twin")).alias("b"))
+    best = best.select(F.col("b.doc_id").alias("kept_id"), F.col("b.twin").alias("kept_twin"))
+    one = docs.withColumns({"kept_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "kept_twin": F.xxhash64(F.col("text").cast("string"))})
+    keys = ["kept_id", "kept_twin"]
+    return one.join(best, keys, "left_semi").dropDuplicates(keys).drop(*keys)  # one shuffle for both

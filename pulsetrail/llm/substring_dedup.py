@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pulsetrail.llm.common import column, keyed, public_id
+from pulsetrail.llm.common import column, paired, public_id
 from pulsetrail.llm.repeats import find, removed, unsqueezed, with_ranges, word_kind
 
 WIDTH = 50
@@ -25,10 +25,11 @@ def remove_passages(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Words are the runs between spaces and 0x09-0x0D, unchanged. Texts of fewer than ``width`` words
     stay whole; a null or empty text has none. Passages repeated within one document stay. Rows that
-    repeat a ``doc_id`` count as that document.
+    repeat a ``doc_id`` and its text count as one document. Different texts of null ids are
+    documents in order of their hashes; those of another id leave one another whole.
     """
     kind = word_kind(width)
-    docs = keyed(docs)
+    docs = paired(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

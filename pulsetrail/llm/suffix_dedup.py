@@ -1,7 +1,7 @@
 """Operator 3: removing later copies of byte strings by longest previous factors.
 
 A byte goes if a string of ``width`` bytes over it also starts earlier: in a smaller ``doc_id``, or
-earlier in the same document. ``repeats`` cuts the corpus into pieces so that equal strings meet;
+earlier in the same document; different texts of one id, as of null, are documents in order of their hashes. ``repeats`` cuts the corpus into pieces so that equal strings meet;
 in each set of pieces the suffixes are ordered by prefix doubling, and the previous smaller position
 in that order gives a string's earlier match (``repeats.late_windows``).
 """
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pulsetrail.llm.common import column, keyed, public_id
+from pulsetrail.llm.common import column, paired, public_id
 from pulsetrail.llm.repeats import byte_kind, find, removed, unsqueezed, with_ranges
 
 WIDTH = 100
@@ -27,7 +27,7 @@ def remove_copies(docs: DataFrame, width: int = WIDTH, carry: tuple[str, ...] =
     for a null text. ``width`` is at least 24.
     """
     kind = byte_kind(width)
-    docs = keyed(docs, *carry)
+    docs = paired(docs, *carry)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *carry).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 
@@ -105,3 +106,40 @@ def test_stages_take_empty_and_null_documents(spark, empty):
 
 def test_vocabulary_is_a_parameter():
     assert os.path.exists(queries.WORD_BPE) and json.load(open(queries.WORD_BPE))["model"]["type"] == "BPE"
+
+
+def unnamed(seed: int, words: int = 130) -> str:
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghijkl") for _ in range(7)) for _ in range(words))
+
+
+def test_texts_of_null_ids_link_nothing(spark):
+    a, b = unnamed(1), unnamed(2)
+    df = spark.createDataFrame([(d, t, None, None, None) for d, t in ((None, a), (None, b), (5, a), (6, b), (7, unnamed(3)), (8, a), (8, unnamed(3)))], SCHEMA)
+    inside = {}
+    for r in simhash.grouped(df).collect():
+        inside.setdefault(r["component"], set()).add((r["doc_id"], r["bits"]))
+    assert sorted(len({bits for _, bits in x}) for x in inside.values()) == [1, 1, 1]
+    left = sorted((str(r["doc_id"]), r["text"]) for r in P.simhash_near_dedup(spark, df, "").collect())
+    assert left == sorted([("None", a), ("None", b), ("7", unnamed(3))])
+    got = {(r["doc_id"], r["bits"]): r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert all(c == (7 if bits % 2**64 == brute.fingerprint(unnamed(3)) else None) for (_, bits), c in got.items())
+
+
+def test_texts_of_null_ids_are_cut_alone(spark):
+    a, b, c = unnamed(1), unnamed(2), unnamed(4)
+    twice = a + " " + a
+    df = spark.createDataFrame([(None, t, None, None, None) for t in (twice, b, b, c)], SCHEMA)
+    kept = {bytes(r["kept"]) for r in suffix_dedup.remove_copies(df).collect()}
+    assert b.encode() in kept and c.encode() in kept  # the copy inside the first text cuts nothing of the others
+    # copies at equal starts in different texts of null ids: just one keeps them
+    df = spark.createDataFrame([(None, a + t, None, None, None) for t in (" first", " second", " third")], SCHEMA)
+    assert sorted(bool(r["n_removed"]) for r in suffix_dedup.remove_copies(df).collect()) == [False, True, True]
+    assert sorted(r["n_removed"] > 0 for r in substring_dedup.remove_passages(df).collect()) == [False, True, True]
+
+
+def test_texts_of_one_id_are_cut_alone(spark):
+    a, b = unnamed(1), unnamed(2)
+    df = spark.createDataFrame([(d, t, None, None, None) for d, t in ((1, a), (2, a), (2, b))], SCHEMA)
+    for found in (suffix_dedup.remove_copies(df), substring_dedup.remove_passages(df)):
+        assert sorted((r["doc_id"], bool(r["n_removed"])) for r in found.collect()) == [(1, False), (2, False), (2, True)]
