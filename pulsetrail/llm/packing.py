@@ -6,15 +6,19 @@ piece takes its place by its number among the pieces of its length. A plan of at
 fillings with how often each is used fits a hundred pieces or a trillion.
 
 The counts are packed by bin completion: around the largest piece left, the undominated fillings of
-the rest of the bin are enumerated by branch and bound, branches that can't come nearer than the
-best so far being cut by the waste they leave, with the best-fit filling as the first incumbent.
-The plan is compared with a plain best-fit plan, and the one with fewer bins is kept.
+the rest of the bin are enumerated over runs of equal lengths, without recursion, by branch and bound,
+with the best-fit filling as the first incumbent. That plan and a plain best-fit plan are held against
+a lower bound; where both miss it, fillings are backtracked over until a plan meets the bound, none is
+left to try or ``NODES`` choices are made. Each filling's search ends after ``SEARCH`` steps, and a
+filling is used as often as pieces allow, or once: so a plan above the bound isn't proven least.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,8 @@ from pulsetrail.llm.tokens import rows_of
 CAPACITY = 4096
 #: steps of one filling's search
 SEARCH = 4000
+#: choices of fillings that backtracking may make where both greedy plans miss the bound
+NODES = 2000
 
 
 def best_fit(room: int, counts: np.ndarray) -> list[int]:
@@ -45,45 +51,150 @@ def best_fit(room: int, counts: np.ndarray) -> list[int]:
         room -= take * int(sizes[k])
 
 
-def completion(room: int, counts: np.ndarray, search: int = SEARCH) -> list[int]:
-    """The filling of ``room`` that wastes least; of equals, the one with the largest pieces.
+def fillings(room: int, counts: np.ndarray, search: int, most: list[int]) -> Iterator[tuple[list[int], int]]:
+    """Undominated fillings of ``room`` with the waste of each, larger pieces first, as runs of (length, count) are tried.
 
-    A filling is dominated if one of its pieces could be exchanged for a larger one that still fits,
-    so a branch always tries larger pieces first and stops at a filling without waste.
+    Only those that waste at most ``most[0]``, which the caller may lower meanwhile; ends after ``search`` steps.
+    A filling is dominated if a piece left over fits beside it or in place of a smaller one.
     """
-    sizes = np.flatnonzero(counts[:room + 1])
+    sizes = np.flatnonzero(counts[:room + 1])[::-1]
+    have = counts[sizes]
+    rest = np.append(np.cumsum((sizes * have)[::-1])[::-1], 0).tolist()  # all that pieces from here on could fill
+    sizes, have = sizes.tolist(), have.tolist()
+    falling = [-s for s in sizes]
+    used, chosen = [0] * len(sizes), []
+    k, left = 0, room
+
+    def dominated() -> bool:
+        fit = bisect_left(falling, -left)
+        if any(have[j] > used[j] for j in range(fit, len(sizes))):
+            return True
+        for i in chosen:
+            j = i - 1
+            while j >= 0 and sizes[j] <= sizes[i] + left:
+                if have[j] > used[j]:
+                    return True
+                j -= 1
+        return False
+
+    for _ in range(search):
+        k = max(k, bisect_left(falling, -left))
+        if k < len(sizes) and left - rest[k] <= most[0]:
+            used[k] = min(have[k], left // sizes[k])
+            left -= used[k] * sizes[k]
+            chosen.append(k)
+            k += 1
+            continue
+        if left <= most[0] and k == len(sizes) and not dominated():
+            yield [sizes[i] for i in chosen for _ in range(used[i])], left
+        if not chosen:
+            return
+        i = chosen[-1]
+        used[i] -= 1
+        left += sizes[i]
+        k = i + 1
+        if not used[i]:
+            chosen.pop()
+
+
+def completion(room: int, counts: np.ndarray, search: int = SEARCH) -> list[int]:
+    """The filling of ``room`` that wastes least; of equals, the one with the largest pieces."""
     best = best_fit(room, counts)
-    if sum(best) == room or not len(sizes):
-        return best
-    available = counts.copy()
-    below = np.cumsum(sizes * counts[sizes])  # all that pieces up to this size could fill
-    least, steps = room - sum(best), 0
-
-    def branch(left: int, top: int, chosen: list[int]) -> None:
-        nonlocal best, least, steps
-        if left < least:
-            best, least = chosen.copy(), left
-        k = int(np.searchsorted(sizes, min(left, top), side="right")) - 1
-        while least and k >= 0 and steps < search and left - int(below[k]) < least:
-            s = int(sizes[k])
-            steps += 1
-            if available[s] > 0:
-                available[s] -= 1
-                branch(left - s, s, [*chosen, s])
-                available[s] += 1
-            k -= 1
+    most = [room - sum(best) - 1]
+    if most[0] >= 0:
+        for best, waste in fillings(room, counts, search, most):
+            most[0] = waste - 1
+            if not waste:
+                break
+    return best
+
+
+def least_bins(counts: np.ndarray, capacity: int) -> int:
+    """A lower bound on sequences: by the fullest that one can be, and by pieces too long to share one."""
+    sizes = np.arange(capacity + 1)
+    n, total = np.cumsum(counts), np.cumsum(counts * sizes)
+    if not n[-1]:
+        return 0
+    sums, mask = 1, (1 << capacity + 1) - 1
+    for s in np.flatnonzero(counts).tolist():
+        have, step = min(int(counts[s]), capacity // s), 1
+        while have:
+            step = min(step, have)
+            sums |= sums << s * step & mask
+            have -= step
+            step *= 2
+    bound, half = -(-int(total[-1]) // (sums.bit_length() - 1)), capacity // 2
+    for a in [0, *np.flatnonzero(counts[:half + 1]).tolist()]:
+        big, middle = int(n[-1] - n[capacity - a]), int(n[capacity - a] - n[half])
+        room = middle * capacity - int(total[capacity - a] - total[half])
+        small = int(total[half] - (total[a - 1] if a else 0))
+        bound = max(bound, big + middle + max(0, -(-(small - room) // capacity)))
+    return bound
+
+
+def size_of(plan_: list[tuple[int, list[int]]]) -> int:
+    return sum(t for t, _ in plan_)
+
+
+def backtracked(counts: np.ndarray, capacity: int, best: list[tuple[int, list[int]]], bound: int, search: int, nodes: int) -> list[tuple[int, list[int]]]:
+    """A plan of fewer sequences than ``best``, if one is found in ``nodes`` choices; ends at ``bound``.
+
+    Each choice is a filling around the largest piece left and how often it is used; every other undominated
+    filling, and each once only, is tried where the plan that follows wastes more than one sequence less may.
+    """
+    left, total = counts.copy(), int((counts * np.arange(capacity + 1)).sum())
+    allowed = (size_of(best) - 1) * capacity - total
+
+    def options(waste: int) -> Iterator[tuple[int, list[int], np.ndarray, np.ndarray, int]]:
+        largest = int(np.flatnonzero(left)[-1])
+        others = left.copy()
+        others[largest] -= 1
+        first = completion(capacity - largest, others, search)
+        room = allowed - waste
+        for f in chain([first], (f for f, _ in fillings(capacity - largest, others, search, [room]) if f != first)):
+            filling = [largest, *f]
+            lost = capacity - sum(filling)
+            kinds, used = np.unique(filling, return_counts=True)
+            times = int((left[kinds] // used).min())
+            if lost:
+                times = min(times, (allowed - waste) // lost)
+            for t in (times, 1) if times > 1 else (times,):
+                if t > 0:
+                    yield t, filling, kinds, used, lost * t
 
-    branch(room, room, [])
+    stack, path, waste = [options(0)], [], 0
+    while stack and nodes > 0 and allowed >= 0 and size_of(best) > bound:
+        choice = next(stack[-1], None)
+        if choice is None or waste + choice[4] > allowed:
+            if choice is None:
+                stack.pop()
+                if path:
+                    t, _, kinds, used, lost = path.pop()
+                    left[kinds] += t * used
+                    waste -= lost
+            continue
+        nodes -= 1
+        t, _, kinds, used, lost = choice
+        path.append(choice)
+        left[kinds] -= t * used
+        waste += lost
+        if left.any():
+            stack.append(options(waste))
+            continue
+        best = [(c[0], c[1]) for c in path]
+        allowed = (size_of(best) - 1) * capacity - total
+        path.pop()
+        left[kinds] += t * used
+        waste -= lost
     return best
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, search: int = SEARCH) -> list[tuple[int, list[int]]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, search: int = SEARCH, nodes: int = NODES) -> list[tuple[int, list[int]]]:
     """(times, lengths) for every filling: each piece once, every filling at most ``capacity`` long."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
-    total = int((counts * np.arange(capacity + 1)).sum())
-    bound = -(-total // capacity)
+    bound = least_bins(counts, capacity)
     plans = []
     for fill in (lambda room, left: completion(room, left, search), best_fit):
         left, out = counts.copy(), []
@@ -98,9 +209,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, search: int = SEAR
             left[kinds] -= times * used[kinds]
             out.append((times, filling))
         plans.append(out)
-        if sum(t for t, _ in out) == bound:
+        if size_of(out) == bound:
             break
-    return min(plans, key=lambda p: sum(t for t, _ in p))
+    return backtracked(counts, capacity, min(plans, key=size_of), bound, search, nodes)
 
 
 def places(fillings: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:

@@ -78,6 +78,27 @@ def test_plan_places_every_piece_once(seed):
     assert used == hist
 
 
+def test_plan_of_many_short_pieces():
+    # best fit leaves waste beside over a thousand pieces: deeper than Python's frames
+    plan = packing.plan({3: 3000})
+    assert sum(t for t, _ in plan) == 3 and sum(t * len(f) for t, f in plan) == 3000
+    assert sum(t * len(f) for t, f in packing.plan({4: 5000, 3: 1})) == 5001
+
+
+def test_plan_backtracks_to_the_least():
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        hist = {}
+        while sum(hist.values()) < 24:  # three pieces of 25 to 49 fill a sequence
+            a, b = rng.integers(25, 50, 2).tolist()
+            if 25 <= 100 - a - b < 50:
+                for s in (a, b, 100 - a - b):
+                    hist[s] = hist.get(s, 0) + 1
+        plan = packing.plan(hist, 100)
+        assert {s: sum(t * f.count(s) for t, f in plan) for s in hist} == hist and all(sum(f) <= 100 for _, f in plan)
+        assert packing.least_bins(np.array([hist.get(s, 0) for s in range(101)]), 100) == sum(t for t, _ in plan) == 8
+
+
 # --- 2: quality ----------------------------------------------------------------------
 def test_quality_counts(docs, plain):
     for r in quality.judge(docs).collect():
