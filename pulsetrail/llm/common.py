@@ -101,12 +101,12 @@ def longs(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return column(batch, name).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and for each row the index of its first word (one more at the end)."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word (run of bytes not ``apart``), and for each row the index of its first word (one more at the end)."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~SPACES[data]
+    inside = ~apart[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pulsetrail.llm.phrases import INSIDE, LEAST, REPORTED
 from pulsetrail.llm.quality import GRAM, LEAST_WORDS, MOST_REPEATED, RULES
 
 WORDS = r"""
@@ -44,3 +45,25 @@ q AS (SELECT lang, source, {quantiles} FROM m WHERE NOT base_failed GROUP BY 1,
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
  NOT base_failed AND coalesce({' AND '.join(tests)}, FALSE) AS kept
 FROM m LEFT JOIN q ON m.lang IS NOT DISTINCT FROM q.lang AND m.source IS NOT DISTINCT FROM q.source"""
+
+
+def collocations(least: int = LEAST, inside: int = INSIDE, reported: int = REPORTED) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    score = "1000000::HUGEINT * a * a // ({l}::HUGEINT * {r})".format
+    return f"""WITH doc AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, {lower} AS text FROM documents),
+piece AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS p FROM doc)),
+gram AS (SELECT lang, 1 AS k, unnest(w) AS phrase FROM piece
+ UNION ALL SELECT lang, 2, array_to_string(w[i:i + 1], ' ') FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM piece)
+ UNION ALL SELECT lang, 3, array_to_string(w[i:i + 2], ' ') FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM piece)),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM piece GROUP BY 1),
+f AS (SELECT lang, k, phrase, count(*) AS a, string_split(phrase, ' ') AS w FROM gram GROUP BY 1, 2, 3),
+cand AS (SELECT * FROM f WHERE k > 1 AND a >= {least}),
+cut AS MATERIALIZED (SELECT lang, phrase, a, w, c, array_to_string(w[:c], ' ') AS lp, array_to_string(w[c + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS c FROM cand)),
+small AS MATERIALIZED (SELECT lang, phrase, a FROM f WHERE a >= {least}),
+parts AS (SELECT c.lang, c.phrase, c.a, c.w, c.c, l.a AS l, r.a AS r FROM cut c JOIN small l ON l.lang = c.lang AND l.phrase = c.lp JOIN small r ON r.lang = c.lang AND r.phrase = c.rp),
+low AS (SELECT lang, phrase, a, w, arg_min({{'l': l, 'r': r}}, ({score(l='l', r='r')}, c)) AS p, min({score(l='l', r='r')}) AS score FROM parts GROUP BY 1, 2, 3, 4),
+held AS (SELECT lang, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS phrase, a AS longer FROM cand WHERE k = 3),
+left_out AS (SELECT DISTINCT h.lang, h.phrase FROM held h JOIN cand c USING (lang, phrase) WHERE 100 * longer >= {inside} * c.a),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, p.l AS l, p.r AS r, CAST(score AS BIGINT) AS score
+ FROM low ANTI JOIN left_out USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= {reported}"""

@@ -16,7 +16,8 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op2_quality_rules": oracles.quality_rules(), "op4_substring_dedup": oracles.substring_dedup()}
+SQL: dict[str, str] = {"op2_quality_rules": oracles.quality_rules(), "op4_substring_dedup": oracles.substring_dedup(),
+                      "op11_phrase_collocations": oracles.collocations()}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -99,3 +100,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsetrail.llm.neighbours import nearest
 
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsetrail.llm.phrases import collocations
+
+    return collocations(documents(spark, sf_dir))
