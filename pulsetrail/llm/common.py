@@ -160,15 +160,22 @@ def row_of(first_word: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first_word) - 1), np.diff(first_word))
 
 
+def group_starts(rows: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows but the first whose key differs from the row before."""
+    new = np.zeros(max(rows.num_rows - 1, 0), dtype=bool)
+    for k in keys:
+        v = rows.column(rows.schema.get_field_index(k))
+        new |= pc.not_equal(v[1:], v[:-1]).to_numpy(zero_copy_only=False) if isinstance(v, pa.Array) else pc.not_equal(v[1:], v[:-1]).to_numpy()
+    return np.flatnonzero(new) + 1
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1 << 16) -> Iterator[pa.Table]:
-    """From batches sorted by ``keys``: tables of about ``least`` rows, or one key's rows, in which no key is cut."""
+    """From batches sorted by ``keys`` (never null): tables of about ``least`` rows, or one key's rows, in which no key is cut.
+
+    A batch is looked at once, whatever its key holds already.
+    """
     def cut(t: pa.Table) -> Iterator[pa.Table]:
-        new = np.zeros(t.num_rows, dtype=bool)
-        new[:1] = True
-        for k in keys:
-            v = t.column(k).to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        begin = np.append(np.flatnonzero(new), t.num_rows)
+        begin = np.concatenate([[0], group_starts(t, keys), [t.num_rows]])
         lo = 0
         while lo < t.num_rows:
             hi = int(begin[min(np.searchsorted(begin, lo + least), len(begin) - 1)])
@@ -180,29 +187,22 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int
     for b in batches:
         if b.num_rows == 0:
             continue
+        begin = group_starts(b, keys)
+        if held:
+            edge = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), b.slice(0, 1)]).combine_chunks()
+            if len(group_starts(edge, keys)):
+                begin = np.append(0, begin)
+        end = int(begin[-1]) if len(begin) else 0
+        if len(begin) and rows + end >= least:
+            yield from cut(pa.Table.from_batches([*held, b.slice(0, end)]))
+            held, rows = [], 0
+            b = b.slice(end)
         held.append(b)
         rows += b.num_rows
-        if rows < least:
-            continue
-        t = pa.Table.from_batches(held)
-        end = last_group(t, keys)
-        if end:
-            yield from cut(t.slice(0, end))
-            held = t.slice(end).to_batches()
-            rows = t.num_rows - end
     if held:
         yield from cut(pa.Table.from_batches(held))
 
 
-def last_group(t: pa.Table, keys: list[str]) -> int:
-    """Where the last key's rows begin."""
-    same = np.ones(t.num_rows, dtype=bool)
-    for k in keys:
-        v = t.column(k).to_numpy()
-        same &= v == v[-1]
-    return int(t.num_rows - np.argmin(same[::-1])) if not same.all() else 0
-
-
 #: rows that Spark hands to Python at once: texts may be long, and its default of 10,000 makes batches of 50 MB and more
 BATCH_ROWS = 2000
 

@@ -107,3 +107,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsetrail.llm.phrases import collocations
 
     return collocations(documents(spark, sf_dir))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsetrail.llm.spelling import variants
+
+    return variants(documents(spark, sf_dir))
