@@ -114,3 +114,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsetrail.llm.spelling import variants
 
     return variants(documents(spark, sf_dir))
+
+
+@query
+def op13_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsetrail.llm.votes import vote
+
+    return vote(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
