@@ -358,7 +358,7 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, repo
     tries = -(-phrases.count() * 11 // 10 // trie)
     found = [counted(docs, phrases.where(F.pmod(F.xxhash64("lang", "a", "b"), F.lit(tries)) == k)) for k in range(tries)]
     if not found:
-        found = [phrases.select("lang", "a", "b", "c", F.lit(0).cast("long").alias("f")).where("a is null")]
+        return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
     every = found[0]
     for f in found[1:]:
         every = every.unionAll(f)

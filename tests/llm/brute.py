@@ -111,3 +111,62 @@ def nearest(rows: list[tuple[int, list[float]]], k: int = 20, every: int = 20) -
         order = [j for j in np.lexsort((ids, -s)) if j != i][:k]
         out[int(ids[i])] = [(int(ids[j]), float(s[j])) for j in order]
     return out
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def collocations(rows: list[tuple[str | None, str | None]], least: int = 10, inside: int = 50, reported: int = 2000) -> set[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) from (lang, text)."""
+    f, n = {}, Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        f.setdefault(lang, Counter())
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)):
+            words = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            f[lang].update(tuple(words[i:i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1))
+    out = set()
+    for lang, c in f.items():
+        kept = []
+        for p, a in c.items():
+            if len(p) < 2 or a < least:
+                continue
+            if len(p) == 2 and any(x >= least and 100 * x >= inside * a for q, x in c.items() if len(q) == 3 and p in (q[:2], q[1:])):
+                continue
+            score, k = min((10**6 * a * a // (c[p[:k]] * c[p[k:]]), k) for k in range(1, len(p)))
+            kept.append((-score, -a, " ".join(p).encode(), a, c[p[:k]], c[p[k:]]))
+        for rank, (score, _, phrase, a, left, right) in enumerate(sorted(kept)[:reported], 1):
+            out.add((lang, rank, phrase.decode(), a, left, right, n[lang], -score))
+    return out
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j - 1] + (x != y), old[j] + 1, row[-1] + 1))
+    return row[-1]
+
+
+def variants(rows: list[tuple[int | None, str | None]], least: int = 2, times: int = 10) -> dict[str, tuple]:
+    n = Counter()
+    for doc, text in rows:
+        for w in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            w = w.translate(LOWER)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{w}".encode())
+            if h % 31 == 0:
+                w = w[:h % len(w)] + w[h % len(w) + 1:]
+            n[w] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 7 and c >= least}
+    near = {w: [v for v in n if abs(len(v) - len(w)) <= 1 and v != w and edits(v, w) == 1] for w in n}
+    form = {w: min(near[w], key=lambda v: (-n[v], v), default=None) for w in n}
+    form = {w: v if v is not None and n[v] >= times * n[w] else None for w, v in form.items()}
+    out = {}
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n[w], len(near[w]), None if form[w] is None else n[form[w]])
+    return out
