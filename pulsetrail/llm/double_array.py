@@ -36,9 +36,9 @@ def build(roots: int, root: np.ndarray, symbols: np.ndarray) -> DoubleArray:
 
     ``entry`` of a sequence's last slot is its index k, and -1 elsewhere. Sequences are distinct.
     """
-    node, live = root.astype(np.int64), np.arange(len(root))
-    parents, marks, made = [], [], roots
-    last = np.full(len(root), -1, np.int64)
+    node, live = root.astype(np.int64), np.arange(len(root), dtype=np.int32)
+    parents, marks, made = [], [], roots  # nodes are numbered level by level, in order of their parents
+    last = np.full(len(root), -1, np.int32)
     for k in range(symbols.shape[1]):
         go = symbols[live, k] >= 0
         live, node = live[go], node[go]
@@ -46,27 +46,29 @@ def build(roots: int, root: np.ndarray, symbols: np.ndarray) -> DoubleArray:
             break
         for x in digits(symbols[live, k]):
             key, node = np.unique(node * BASE + x, return_inverse=True)
-            parents.append(key // BASE)
-            marks.append(key % BASE)
-            node = node + made
+            parents.append((key // BASE).astype(np.int32))
+            marks.append((key % BASE).astype(np.uint8))
+            node += made
             made += len(key)
         last[live] = node
+    del node, live
     if made == roots:
         return DoubleArray(np.zeros(roots + BASE, np.int32), np.full(roots + BASE, -1, np.int32), np.full(roots + BASE, -1, np.int32))
-    slot, first, size = place(roots, made, np.concatenate(parents), np.concatenate(marks))
-    parent = np.concatenate(parents)
+    parent, mark = np.concatenate(parents), np.concatenate(marks)
+    del parents, marks
+    slot, who, origin, size = place(roots, parent, mark)
     out = DoubleArray(np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32))
-    out.first[slot] = first
+    out.first[slot[who]] = origin
     out.owner[slot[roots:]] = slot[parent]
     out.entry[slot[last]] = np.arange(len(root))
     return out
 
 
-def place(roots: int, nodes: int, parent: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(slot and first child's origin of every node, number of slots); the children are nodes ``roots, roots + 1, ...``."""
-    order = np.argsort(parent, kind="stable")
-    who, begin, many = np.unique(parent[order], return_index=True, return_counts=True)
-    origin = np.zeros(len(who), np.int64)
+def place(roots: int, parent: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(slot of every node, nodes with children and the origin of these, number of slots); ``parent`` ascends, its nodes are ``roots, roots + 1, ...``."""
+    begin = np.append(0, np.flatnonzero(parent[1:] != parent[:-1]) + 1).astype(np.int32)
+    who, many = parent[begin], np.diff(np.append(begin, len(parent))).astype(np.int32)
+    origin = np.zeros(len(who), np.int32)
     wide = np.flatnonzero(many > CROWDED)
     low = roots + BASE
     origin[wide] = low + np.arange(len(wide)) * BASE
@@ -75,19 +77,19 @@ def place(roots: int, nodes: int, parent: np.ndarray, mark: np.ndarray) -> tuple
     taken[:low] = True
 
     def spots(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(child index in ``order``, index into ``groups``) of all children of the groups."""
+        """(child, index into ``groups``) of all children of the groups."""
         n = many[groups]
-        which = np.repeat(np.arange(len(groups)), n)
-        return order[np.repeat(begin[groups] - np.cumsum(n) + n, n) + np.arange(n.sum())], which
+        which = np.repeat(np.arange(len(groups), dtype=np.int32), n)
+        return np.repeat(begin[groups] - np.cumsum(n, dtype=np.int32) + n, n) + np.arange(n.sum(), dtype=np.int32), which
 
     child, which = spots(wide)
     taken[origin[wide][which] + mark[child]] = True
     rng = np.random.default_rng(7)
-    claim = np.zeros(size + BASE, np.int64)
+    claim = np.zeros(size + BASE, np.int32)
     for n in range(CROWDED, 1, -1):
         left = np.flatnonzero(many == n)
         while len(left):
-            at = rng.integers(low, size - BASE, len(left))
+            at = rng.integers(low, size - BASE, len(left), dtype=np.int32)
             child, which = spots(left)
             where = at[which] + mark[child]
             claim[where] = which
@@ -96,13 +98,10 @@ def place(roots: int, nodes: int, parent: np.ndarray, mark: np.ndarray) -> tuple
             origin[left[good]] = at[good]
             taken[where[good[which]]] = True
             left = left[bad]
+    del claim
     alone = np.flatnonzero(many == 1)
-    free = np.flatnonzero(~taken[:size])[:len(alone)]
-    child, _ = spots(alone)
-    origin[alone] = free - mark[child]
-    slot = np.arange(nodes, dtype=np.int64)
-    child, which = spots(np.arange(len(who)))
-    slot[roots + child] = origin[which] + mark[child]
-    first = np.zeros(nodes, np.int64)
-    first[who] = origin
-    return slot, first, size + BASE
+    origin[alone] = np.flatnonzero(~taken[:size])[:len(alone)] - mark[begin[alone]]
+    slot = np.empty(roots + len(parent), np.int32)
+    slot[:roots] = np.arange(roots)
+    slot[roots:] = np.repeat(origin, many) + mark
+    return slot, who, origin, size + BASE

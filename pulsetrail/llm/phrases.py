@@ -29,7 +29,7 @@ ENDS, GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 #: words of a phrase, occurrences of a candidate, percent of a phrase's occurrences inside a longer one that drop it, phrases reported per language
 LONGEST, LEAST, INSIDE, REPORTED = 3, 10, 50, 2000
 #: entries of a trie, bits of a filter, hashes that a task holds, text that a task works on at once, counts in a packed array
-TRIE, FILTER_BITS, HELD, RUN, PACKED = 2_000_000, 1 << 29, 1 << 21, 4 << 20, 1 << 16
+TRIE, FILTER_BITS, HELD, RUN, PACKED = 1_250_000, 1 << 29, 1 << 20, 2 << 20, 1 << 16
 UNKNOWN = "und"
 
 END = np.zeros(256, bool)
@@ -226,7 +226,7 @@ class Trie:
         coded = pa.concat_arrays(parts).dictionary_encode()
         many = np.bincount(pc.drop_null(coded.indices).to_numpy(), minlength=len(coded.dictionary))
         order = np.argsort(-many, kind="stable")  # common words get low numbers, so their nodes are shared
-        number = np.empty(len(order) + 1, np.int64)
+        number = np.empty(len(order) + 1, np.int32)
         number[order], number[-1] = np.arange(len(order)), -1
         symbols = number[pc.fill_null(coded.indices, -1).to_numpy()].reshape(3, -1).T
         self.words = coded.dictionary.take(pa.array(order)).cast(pa.large_binary())
@@ -258,11 +258,12 @@ def counted(docs: DataFrame, entries: DataFrame) -> DataFrame:
     """``lang, a, b, c, f`` of at most ``TRIE`` entries: one run over the text."""
     spark = docs.sparkSession
     table = entries.select("lang", "a", "b", "c").toArrow()
-    trie = spark.sparkContext.broadcast(Trie(table))
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
     names = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    trie = spark.sparkContext.broadcast(Trie(table))
+    del table, sink, out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = trie.value
@@ -354,6 +355,7 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, repo
     entries = stored(candidates(docs, filters), "phrase-entries")
     for f in filters:
         f.destroy()
+    del filters[:], f  # their bits are kept by the driver until then
     phrases = entries.where("a is not null")
     tries = -(-phrases.count() * 11 // 10 // trie)
     found = [counted(docs, phrases.where(F.pmod(F.xxhash64("lang", "a", "b"), F.lit(tries)) == k)) for k in range(tries)]
