@@ -11,11 +11,13 @@ Conventions of every operator here, unless its docstring says otherwise:
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsetrail.session import fresh_path
@@ -23,7 +25,7 @@ from pulsetrail.session import fresh_path
 #: stands for a null id inside an operator
 NULL_ID = -(2**63)
 #: bytes of text that a task works on at once
-SLICE = 2 << 20
+SLICE = 1 << 19
 #: bytes that separate words: space and 0x09-0x0D
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -91,6 +93,17 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE) -> Ite
         hi = max(lo + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: workers outlive their tasks, and what they keep adds up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -145,8 +158,32 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of each ``data[start:end]`` among the distinct ones, these); spans follow one another. Numbers are exact: equal bytes, equal numbers."""
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+    bounds = np.empty(2 * n, np.int64)
+    bounds[::2], bounds[1::2] = starts, ends
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * n - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+    found = spans.dictionary_encode()  # spans, and the gaps between them
+    number = found.indices.to_numpy()[::2]
+    used = np.zeros(len(found.dictionary), bool)
+    used[number] = True
+    return (np.cumsum(used) - 1)[number], found.dictionary.take(pa.array(np.flatnonzero(used)))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH3 of 64 bits of each ``data[start:end]``; spans follow one another, and each distinct one is hashed once."""
+    number, distinct = coded(data, starts, ends)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))[number]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each ``data[start:end]``, from running sums; equal bytes give equal hashes anywhere."""
+    """A 64-bit hash of each ``data[start:end]``, from running sums; equal bytes give equal hashes anywhere.
+
+    For features, and where equal hashes are verified: certain unlike spans of regular structure share one.
+    """
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
     up, down = _powers(len(data) + 1)

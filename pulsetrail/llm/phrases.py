@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsetrail.llm import double_array
-from pulsetrail.llm.common import LOWER, column, mix, row_of, slices, stored, text_buffer, word_bounds
+from pulsetrail.llm.common import LOWER, coded, column, mix, row_of, slices, stored, text_buffer, word_bounds
 
 #: fixed values: what ends a piece, and what separates words besides
 ENDS, GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
@@ -53,15 +53,7 @@ class Words:
         if not n:
             self.code, self.distinct, self.joined = np.zeros(0, np.int64), pa.array([], pa.large_binary()), np.zeros(0, bool)
             return
-        bounds = np.empty(2 * n, np.int64)
-        bounds[::2], bounds[1::2] = starts, ends
-        spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * n - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
-        coded = spans.dictionary_encode()  # words, and the gaps between them
-        code = coded.indices.to_numpy()[::2]
-        used = np.zeros(len(coded.dictionary), bool)
-        used[code] = True
-        self.distinct = coded.dictionary.take(pa.array(np.flatnonzero(used)))
-        self.code = (np.cumsum(used) - 1)[code]
+        self.code, self.distinct = coded(data, starts, ends)
         before = np.zeros(len(data) + 1, np.int32)
         np.cumsum(END[data], out=before[1:])
         self.joined = np.zeros(n, bool)

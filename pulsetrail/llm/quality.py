@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsetrail.llm.common import column, keyed, longs, mix, public_id, row_of, slices, span_hashes, text_buffer, word_bounds
+from pulsetrail.llm.common import coded, column, keyed, public_id, row_of, slices, stored, text_buffer, word_bounds
 
 #: fixed values: characters that count as symbols
 SYMBOLS = b"#*$%&|<>"
@@ -69,17 +69,17 @@ def counts_of(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     stop = np.minimum(stop, offsets[line_row + 1])
     full = np.searchsorted(starts, stop) > np.searchsorted(starts, begin)
     begin, stop, line_row = begin[full], stop[full], line_row[full]
-    _, again = repeats(line_row, span_hashes(data, begin, stop))
+    _, again = repeats(line_row, coded(data, begin, stop)[0])
     out["n_lines"] = np.bincount(line_row, minlength=n)
     out["n_dup_lines"] = np.bincount(line_row[again], minlength=n)
 
-    # windows of five words
-    h = span_hashes(data, starts, ends)
-    covered = np.zeros(len(h) + 1, np.int64)
-    if len(h) >= GRAM:
-        w = np.zeros(len(h) - GRAM + 1, np.uint64)
-        for k in range(GRAM):
-            w = mix(w ^ h[k:k + len(w)])
+    # windows of five words, by exact numbers
+    word, _ = coded(data, starts, ends)
+    covered = np.zeros(len(word) + 1, np.int64)
+    if len(word) >= GRAM:
+        w = word
+        for k in range(1, GRAM):
+            w = np.unique(w[:-1] * (int(word.max()) + 1) + word[k:], return_inverse=True)[1]
         at = np.flatnonzero(row[:len(w)] == row[GRAM - 1:])
         twice, _ = repeats(row[at], w[at])
         np.add.at(covered, at[twice], 1)
@@ -90,7 +90,7 @@ def counts_of(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def repeats(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of hashes within rows: which occur twice or more, and which have occurred before."""
+    """Of numbers within rows: which occur twice or more, and which have occurred before."""
     order = np.lexsort((h, row))  # stable: equals stay in order of position
     r, s = row[order], h[order]
     same = np.zeros(len(s), bool)
@@ -149,7 +149,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[str, ..
     at a threshold are kept. ``docs`` has ``doc_id, text, lang, source``.
     """
     docs = keyed(docs, "lang", "source", *[c for c in carry if c not in ("text", "lang", "source")])
-    counts = measured(docs, *[c for c in carry if c not in ("lang", "source")])
+    # stored: the thresholds and the verdicts both read them, and texts are measured once
+    counts = stored(measured(docs, *[c for c in carry if c not in ("lang", "source")]), "quality-counts")
     counts = counts.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     limits = thresholds(counts, rules)
     within = F.lit(True)

@@ -6,7 +6,7 @@ Consecutive windows that share an anchor form a run, one row for some forty wind
 
 1. Anchors that occur once in the corpus are dropped by a join with their counts (counted before the
    shuffle, so a common passage is one row a task; adaptive execution splits a hot anchor in the join).
-2. Runs of equal content form a class. All but its first run are late as a whole: no text is compared.
+2. Runs of equal content (XXH3 of 64 bits, among runs of one anchor) form a class. All but its first run are late as a whole: no text is compared.
 3. Only where one anchor has several classes must windows be compared. The first run of each class is
    fetched, pieces meet by anchor, and suffix order within the pieces tells which windows came before.
    An anchor with more than ``CROWD`` classes is dealt out by window content instead, so no task gets
@@ -26,7 +26,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsetrail.llm.common import NULL_ID, SLICE, column, longs, mix, slices, span_hashes, stored, text_buffer, whole_groups, word_bounds
+from pulsetrail.llm.common import NULL_ID, SLICE, column, longs, mix, slices, span_hashes, stored, text_buffer, whole_groups, word_bounds, word_hashes
 
 #: classes of one anchor beyond which its windows are dealt out by content
 CROWD = 1 << 13
@@ -49,9 +49,9 @@ def bytes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, unchanged, and where each row's begin."""
+    """XXH3 of the words, unchanged, and where each row's begin."""
     starts, ends, first = word_bounds(data, offsets)
-    return span_hashes(data, starts, ends), first
+    return word_hashes(data, starts, ends), first
 
 
 def byte_grams(units: np.ndarray, gram: int) -> np.ndarray:

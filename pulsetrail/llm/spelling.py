@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsetrail.llm.common import LOWER, NULL_ID, column, keyed, longs, slices, stored, text_buffer, whole_groups
+from pulsetrail.llm.common import LOWER, NULL_ID, coded, column, keyed, longs, slices, stored, text_buffer, whole_groups
 
 #: code points and occurrences that a word needs; times that a form is more frequent; every how many-th run loses a code point
 SHORTEST, LEAST, TIMES, EVERY = 7, 2, 10, 31
@@ -92,12 +92,8 @@ def tallied(points: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> tuple[l
     spans = []
     if not hit.all():
         s, e = starts[~hit], ends[~hit]
-        bounds = np.empty(2 * len(s), np.int64)
-        bounds[::2], bounds[1::2] = s, e
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * len(s) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(points)]).dictionary_encode()
-        many = np.bincount(words.indices.to_numpy()[::2], minlength=len(words.dictionary))
-        some = np.flatnonzero(many)
-        spans.append((words.dictionary.take(pa.array(some)).to_pylist(), many[some]))
+        number, words = coded(points, s, e)
+        spans.append((words.to_pylist(), np.bincount(number)))
     size = ends - starts
     cut = np.flatnonzero(hit & (size > SHORTEST))
     shorter = [points[a:a + k].tobytes() + points[a + k + 1:b].tobytes() for a, b, k in zip(starts[cut].tolist(), ends[cut].tolist(), (h[cut] % size[cut]).tolist())]

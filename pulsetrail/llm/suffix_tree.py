@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from pulsetrail.llm.common import (LOWER, column, held_out, keyed, longs, public_id, row_of, slices, span_hashes, stored,
-                                   text_buffer, word_bounds)
+from pulsetrail.llm.common import (LOWER, column, held_out, keyed, longs, public_id, row_of, slices, stored,
+                                   text_buffer, word_bounds, word_hashes)
 
 DEPTH = 2
 STATES = 1 << 15
@@ -52,7 +52,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     key = np.full(begin[-1], END_TOKEN, np.int64)
     tail = np.zeros(begin[-1], np.int64)
     at = np.arange(len(starts)) + row
-    key[at] = span_hashes(data, starts, ends).view(np.int64)
+    key[at] = word_hashes(data, starts, ends).view(np.int64)
     last = data[ends - 1].astype(np.int64) if len(starts) else np.zeros(0, np.int64)
     tail[at] = last | np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)].astype(np.int64) << 8, 0) if len(starts) else 0
     return key, tail, begin

@@ -332,3 +332,34 @@ def test_sql(spark, name):
     from tests.oracle import compare, duck
 
     assert compare(queries.QUERIES[name](spark, SF), duck(SF), queries.SQL[name]) == ""
+
+
+# --- unlike texts that sums of powers don't tell apart -------------------------------
+def regular(letters="ab", doublings=10):
+    """The word of 1,024 letters whose n-th letter is the parity of n's bits, and its complement."""
+    bits = [n.bit_count() % 2 for n in range(1 << doublings)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+def test_regular_words_are_told_apart(spark):
+    from pulsetrail.llm.common import coded, word_hashes
+
+    a, b = regular()
+    raw = f"{a} {b} {a}".encode()
+    data, starts = np.frombuffer(raw, np.uint8), np.array([0, 1025, 2050])
+    assert coded(data, starts, starts + 1024)[0].tolist() == [0, 1, 0]
+    h = word_hashes(data, starts, starts + 1024)
+    assert h[0] == h[2] != h[1]
+    lines = f"{a} x x x x x x x x x x\n{b} x x x x x x x x x x\n" + "\n".join(f"{w} p{i} q r s" for i, w in enumerate((a, b)))
+    got = quality.judge(spark.createDataFrame([(1, lines, "en", "s", 0), (2, f"{a}\n{b}\n{a}", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    for r in got.collect():
+        text = lines if r["doc_id"] == 1 else f"{a}\n{b}\n{a}"
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute.quality(text)
+    words = [f"w{i}" for i in range(60)]
+    one, two = words[:30] + [a] + words[30:], words[:30] + [b] + words[30:]
+    df = spark.createDataFrame([(i, " ".join(w), None, None, 0) for i, w in enumerate((one, two))], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["n_removed"] for r in substring_dedup.remove_passages(df).orderBy("doc_id").collect()] == [0, 0]
+    scored = {r["doc_id"]: r for r in suffix_tree.score(df).collect()}
+    want = brute.base_scores([(i, " ".join(w)) for i, w in enumerate((one, two))])
+    for d, (n, known, total, base) in want.items():
+        assert (scored[d]["n_tokens"], scored[d]["n_known"], scored[d]["train_tokens"]) == (n, known, total) and abs(scored[d]["base_score"] - base) < 1e-9
