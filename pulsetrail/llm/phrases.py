@@ -19,15 +19,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsetrail.llm import double_array
-from pulsetrail.llm.common import LOWER, coded, column, mix, row_of, slices, stored, text_buffer, word_bounds
+from pulsetrail.llm.common import LOWER, coded, column, group_starts, mix, row_of, slices, stored, text_buffer, word_bounds
 
 #: fixed values: what ends a piece, and what separates words besides
 ENDS, GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 #: words of a phrase, occurrences of a candidate, percent of a phrase's occurrences inside a longer one that drop it, phrases reported per language
 LONGEST, LEAST, INSIDE, REPORTED = 3, 10, 50, 2000
+#: bits of a hash beyond its part: a part has some 200,000 different ones, however large the input
+LOW_BITS = 24
 #: entries of a trie, bits of a filter, hashes that a task holds, text that a task works on at once, counts in a packed array
 TRIE, FILTER_BITS, HELD, RUN, PACKED = 1_250_000, 1 << 29, 1 << 20, 2 << 20, 1 << 16
 UNKNOWN = "und"
@@ -79,7 +82,7 @@ class Filter:
 
     def has(self, h: np.ndarray) -> np.ndarray:
         key = keys(h, self.parts)
-        base = (key >> np.uint64(32)).astype(np.int64) * self.segment_bits
+        base = (key >> np.uint64(LOW_BITS)).astype(np.int64) * self.segment_bits
         out = np.ones(len(h), bool)
         for p in self.probes(key, self.segment_bits):
             p += base
@@ -88,8 +91,18 @@ class Filter:
 
 
 def keys(h: np.ndarray, parts: int) -> np.ndarray:
-    """The hash's part, and 32 bits more."""
-    return h >> np.uint64(32 - (parts.bit_length() - 1))
+    """The hash's part, and ``LOW_BITS`` more."""
+    return h >> np.uint64(64 - LOW_BITS - (parts.bit_length() - 1))
+
+
+def written(low: np.ndarray) -> bytes:
+    """Ascending numbers of ``LOW_BITS``: all first bytes, which compress well, then the other two of each."""
+    return (low >> 16).astype(np.uint8).tobytes() + low.astype(np.uint16).tobytes()
+
+
+def read(raw: bytes) -> np.ndarray:
+    n = len(raw) // 3
+    return (np.frombuffer(raw, np.uint8, n).astype(np.uint32) << np.uint32(16)) | np.frombuffer(raw, np.uint16, n, n)
 
 
 def chains(words: Words, filters: list[Filter]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -111,13 +124,13 @@ def chains(words: Words, filters: list[Filter]) -> Iterator[tuple[np.ndarray, np
 
 
 def packed(held: list[np.ndarray], parts: int, least: int) -> pa.RecordBatch:
-    """A row per part: sorted 32-bit hashes, and how often each was seen, at most ``least``."""
+    """A row per part: sorted hashes, and how often each was seen, at most ``least``."""
     key, many = np.unique(keys(np.concatenate(held), parts), return_counts=True)
     many = np.minimum(many, least).astype(np.min_scalar_type(least))
-    part, low = (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32)
+    part, low = (key >> np.uint64(LOW_BITS)).astype(np.int64), (key & np.uint64((1 << LOW_BITS) - 1)).astype(np.uint32)
     which = np.unique(part)
     ends = np.append(np.searchsorted(part, which), len(part))
-    return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array([low[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()),
+    return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array([written(low[a:b]) for a, b in zip(ends, ends[1:])], pa.binary()),
                                        pa.array([many[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=["part", "hashes", "seen"])
 
 
@@ -145,7 +158,7 @@ def frequent(docs: DataFrame, filters: list, level: int, parts: int, segment_bit
 
     def segment(part: int, low: list[np.ndarray], seen: list[np.ndarray]) -> pa.RecordBatch:
         key, many = folded(low, seen)
-        key = key[many >= least].astype(np.uint64) | np.uint64(part << 32)
+        key = key[many >= least].astype(np.uint64) | np.uint64(part << LOW_BITS)
         bits = np.zeros(segment_bits, bool)
         for p in Filter.probes(key, segment_bits):
             bits[p] = True
@@ -159,7 +172,7 @@ def frequent(docs: DataFrame, filters: list, level: int, parts: int, segment_bit
                     yield segment(now, low, seen)
                     low, seen, n = [], [], 0
                 now = part
-                low.append(np.frombuffer(x, np.uint32))
+                low.append(read(x))
                 seen.append(np.frombuffer(y, kind))
                 n += len(low[-1])
                 if n > 2 * len(low[0]) + HELD:
@@ -177,33 +190,72 @@ def frequent(docs: DataFrame, filters: list, level: int, parts: int, segment_bit
     return Filter(parts, segment_bits, bits)
 
 
-def candidates(docs: DataFrame, filters: list) -> DataFrame:
-    """Distinct ``lang, a, b, c``: triples, pairs (``c`` null) and their words (``b`` null too); and per language a row without words whose ``n`` counts all words."""
+def candidates(docs: DataFrame, filters: list, parts: int) -> DataFrame:
+    """Distinct ``lang, a, b, c``: triples, pairs (``c`` null) and their words (``b`` null too); and per language a row without words whose ``n`` counts all words.
+
+    Tasks pack what they have found by part of the hash, sorted and compressed, so that a phrase costs a few bytes of shuffle a task.
+    """
+    def bundles(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        found = pa.concat_tables(held).group_by(["part", "lang", "phrase"]).aggregate([]).sort_by([("part", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
+        cut = [0, *group_starts(found, ["part", "lang"]).tolist(), found.num_rows]
+        press = zstandard.ZstdCompressor(level=3)
+        phrase, at = found.column("phrase"), pa.array(cut[:-1])
+        packed = [press.compress("\n".join(phrase[lo:hi].to_pylist()).encode()) for lo, hi in zip(cut, cut[1:])]  # no word holds a newline
+        yield pa.RecordBatch.from_arrays([found.column("part").take(at).combine_chunks(), found.column("lang").take(at).combine_chunks(), pa.array(packed, pa.binary()), pa.nulls(len(at), pa.int64())],
+                                         names=["part", "lang", "phrases", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *have, last = (f.value for f in filters)
+        held, rows = [], 0
         for batch in batches:
             for b in slices(batch, limit=RUN):
                 w = Words(b)
                 total = np.bincount(w.lang, minlength=len(w.langs))
+                langs, text = w.langs.cast(pa.string()), w.distinct.cast(pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), -1, np.int32)), langs, pa.nulls(len(total), pa.binary()), pa.array(total)], names=["part", "lang", "phrases", "n"])
                 _, (two, pair), (three, triple) = chains(w, have)
-                two, three = two[have[1].has(pair)], three[last.has(triple)]
-                none = np.full(len(two), -1)
-                spelled = np.concatenate([np.stack([w.lang[two], w.code[two], w.code[two + 1], none], 1) if len(two) else np.zeros((0, 4), np.int64),
-                                          np.stack([w.lang[three], w.code[three], w.code[three + 1], w.code[three + 2]], 1) if len(three) else np.zeros((0, 4), np.int64)])
-                wide = len(w.distinct) + 1
-                one = (spelled[:, 0] * wide + spelled[:, 1]) if len(spelled) else np.zeros(0, np.int64)
-                rest = (spelled[:, 2] * wide + spelled[:, 3] + 1) if len(spelled) else np.zeros(0, np.int64)
-                order = np.lexsort((rest, one))
-                fresh = np.ones(len(order), bool)
-                fresh[1:] = (one[order][1:] != one[order][:-1]) | (rest[order][1:] != rest[order][:-1])
-                spelled = spelled[order[fresh]]
-                text = w.distinct.cast(pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [w.langs.cast(pa.string()).take(pa.array(spelled[:, 0])), *(text.take(pa.array(np.where(spelled[:, k] < 0, 0, spelled[:, k]), mask=spelled[:, k] < 0)) for k in (1, 2, 3)),
-                     pa.array(np.zeros(len(spelled), np.int64))], names=["lang", "a", "b", "c", "n"])
-                yield pa.RecordBatch.from_arrays([w.langs.cast(pa.string()), *(pa.nulls(len(total), pa.string()) for _ in range(3)), pa.array(total)], names=["lang", "a", "b", "c", "n"])
-
-    found = stored(docs.mapInArrow(run, "lang string, a string, b string, c string, n long").groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n")), "phrase-candidates")
+                for size, at, h, f in ((2, two, pair, have[1]), (3, three, triple, last)):
+                    ok = f.has(h)
+                    at, part = at[ok], (h[ok] >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int32)
+                    if not len(at):
+                        continue
+                    # distinct by exact numbers
+                    number = w.lang[at]
+                    for k in range(size):
+                        number = np.unique(number * len(w.distinct) + w.code[at + k], return_inverse=True)[1]
+                    first = np.unique(number, return_index=True)[1]
+                    at, part = at[first], part[first]
+                    phrase = pc.binary_join_element_wise(*(text.take(pa.array(w.code[at + k])) for k in range(size)), " ")
+                    held.append(pa.table({"part": part, "lang": langs.take(pa.array(w.lang[at])), "phrase": phrase.cast(pa.large_string())}))
+                    rows += len(at)
+                if rows >= HELD:
+                    yield from bundles(held)
+                    held, rows = [], 0
+        if held:
+            yield from bundles(held)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def spelled(lang: str, found: set[bytes], n: int | None) -> pa.RecordBatch:
+            words = [p.decode().split(" ") for p in found] if n is None else [()]
+            columns = [pa.array([w[k] if k < len(w) else None for w in words], pa.string()) for k in range(LONGEST)]
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), *columns, pa.array([n or 0] * len(words), pa.int64())], names=["lang", "a", "b", "c", "n"])
+
+        now, found, n = None, set(), None
+        for b in batches:
+            for part, lang, raw, more in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if (part, lang) != now and now is not None:
+                    yield spelled(now[1], found, n)
+                    found, n = set(), None
+                now = part, lang
+                if raw is None:
+                    n = (n or 0) + more
+                else:
+                    found.update(zstandard.ZstdDecompressor().decompress(raw).split(b"\n"))
+        if now is not None:
+            yield spelled(now[1], found, n)
+
+    rows = docs.mapInArrow(run, "part int, lang string, phrases binary, n long").repartition("part", "lang").sortWithinPartitions("part", "lang")
+    found = stored(rows.mapInArrow(merged, "lang string, a string, b string, c string, n long"), "phrase-candidates")
     none = F.lit(None).cast("string")
     word = found.where("b is not null and c is null").select("lang", F.explode(F.array("a", "b")).alias("a")).distinct()
     return found.unionByName(word.select("lang", "a", none.alias("b"), none.alias("c"), F.lit(0).cast("long").alias("n")))
@@ -344,7 +396,7 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, repo
     for level in range(1, LONGEST + 1):
         bits = min(1 << max(size >> (5 if level == 1 else 2), 1).bit_length(), filter_bits)
         filters.append(share(frequent(docs, filters, level, parts, max(bits // parts, 64), least)))
-    entries = stored(candidates(docs, filters), "phrase-entries")
+    entries = stored(candidates(docs, filters, parts), "phrase-entries")
     for f in filters:
         f.destroy()
     del filters[:], f  # their bits are kept by the driver until then
@@ -361,7 +413,8 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, repo
     # the best of each of many shares first, so that no language is sorted in one task
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = out.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(shares)))
-    out = out.withColumn("k", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("k") <= reported)
+    for share in (F.col("share"), F.col("share") % 8):
+        out = out.withColumn("k", F.row_number().over(Window.partitionBy("lang", share).orderBy(*order))).where(F.col("k") <= reported)
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= reported)
     total = entries.where("a is null").select("lang", "n")
     return out.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
