@@ -153,7 +153,19 @@ class Views:
                         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
                         F.col("l_orderkey").alias("order_id"),
                         F.col("l_linenumber").alias("line"),
-                        F.col("c_nationkey").alias("nation_id")))
+                        F.col("c_nationkey").alias("nation_id"), F.col("o_custkey").alias("customer_id")))
+
+    def buyers(self, *periods: tuple[str, str]) -> DataFrame:
+        """Daily series of every customer: at this grain days without points are the rule."""
+        return (self.sales(*periods).groupBy(F.concat(F.lit("C"), F.col("customer_id").cast("string")).alias("series_id"), "day")
+                .agg(F.sum("cents").cast("double").alias("value"), F.count("*").cast("double").alias("units")))
+
+    def buyer_ids(self) -> DataFrame:
+        return self.table("customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("series_id"))
+
+    def buyer_ledger(self) -> DataFrame:
+        """Ledger with each event tied to the series of its customer."""
+        return self._ledger(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("series_id"))
 
     def series(self, *periods: tuple[str, str]) -> DataFrame:
         return (self.sales(*periods).groupBy("series_id", "day")
@@ -269,7 +281,7 @@ def sql_pick(expr: str, values) -> str:
 LEDGER = f"""
 l0 AS (
  SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderstatus, o_orderpriority,
-        c_mktsegment AS seg, n_nationkey, n_name, r_name
+        c_mktsegment AS seg, o_custkey, n_nationkey, n_name, r_name
  FROM orders JOIN customer ON o_custkey = c_custkey
  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 ledger AS (
@@ -310,13 +322,17 @@ SALES = """
 sales AS (
  SELECT c_mktsegment AS series_id, CAST(l_shipdate AS DATE) AS day,
         CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_orderkey AS order_id,
-        l_linenumber AS line, c_nationkey AS nation_id
+        l_linenumber AS line, c_nationkey AS nation_id, o_custkey AS customer_id
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 SERIES = SALES + """,
 series AS (
  SELECT series_id, day, CAST(sum(cents) AS DOUBLE) AS value FROM sales GROUP BY ALL)"""
 
+BUYERS = SALES + """,
+buyers AS (
+ SELECT 'C' || customer_id AS series_id, day, CAST(sum(cents) AS DOUBLE) AS value, CAST(count(*) AS DOUBLE) AS units FROM sales GROUP BY ALL)"""
+
 RIVALS = """
 segs AS (SELECT DISTINCT c_mktsegment AS series_id FROM customer),
 rivals AS (SELECT a.series_id AS subject_id, b.series_id FROM segs a JOIN segs b ON a.series_id <> b.series_id)"""
@@ -394,6 +410,10 @@ SCORED = LEDGER + """,
 scored_ledger AS (SELECT l.*, l0.seg AS series_id FROM ledger l JOIN l0 ON l0.k = l.arrival)"""
 
 
+BUYER_LEDGER = LEDGER + """,
+buyer_ledger AS (SELECT l.*, 'C' || l0.o_custkey AS series_id FROM ledger l JOIN l0 ON l0.k = l.arrival)"""
+
+
 def with_(body: str, *ctes: str) -> str:
     """Assemble prelude fragments and a body into one statement."""
     return "WITH RECURSIVE " + ",".join(ctes) + "\n" + body

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsetrail import vocab
-from pulsetrail.catalog.bindings import CMP, CUR, RIVALS, SCORED, SERIES, SUBJECT, VITALS, with_
+from pulsetrail.catalog.bindings import BUYERS, CMP, CUR, RIVALS, SCORED, SERIES, SUBJECT, VITALS, with_
 from pulsetrail.catalog.registry import query
 from pulsetrail.catalog.series import (CHANGE, COMP, MARKET, MEASURED, MERGED, VERDICT, ZERO,
                                        _measured, c4, day, means, periods, r4)
@@ -206,11 +206,13 @@ def _(v):
 
 
 @query("basis_gap", with_(f"""
-SELECT series_id, CAST(c1 IS NULL OR coalesce(c0, 0) = 0 AS BIGINT) AS gap FROM ({means('part')})""", SERIES, MEASURED,
-                          "part AS (SELECT * FROM measured WHERE series_id <> 'MACHINERY' OR day < DATE '1999-01-01')"))
+SELECT series_id, CAST(c1 IS NULL OR coalesce(c0, 0) = 0 AS BIGINT) AS gap
+FROM (SELECT 'C' || c_custkey AS series_id FROM customer) LEFT JOIN ({means('part')}) USING (series_id)""", BUYERS,
+                          "part AS (SELECT series_id, day, units AS value FROM buyers)"))
 def _(v):
-    part = _measured(v, CUR, CMP).filter((F.col("series_id") != "MACHINERY") | (F.col("day") < day("1999-01-01")))
-    return A.basis_gap(part, periods(v)).select("series_id", "gap")
+    """Units measured for every customer: many bought nothing in one of the periods."""
+    part = v.buyers(CUR, CMP).select("series_id", "day", F.col("units").alias("value"))
+    return A.basis_gap(part, P.fixed_periods(v.buyer_ids(), CUR, CMP)).select("series_id", "gap")
 
 
 MOVED = f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsetrail import vocab
-from pulsetrail.catalog.bindings import (ACTIVITY, AS_OF, CMP, CUR, LEDGER, RIVALS, SALES, SCORED,
+from pulsetrail.catalog.bindings import (ACTIVITY, AS_OF, BUYER_LEDGER, BUYERS, CMP, CUR, LEDGER, RIVALS, SALES, SCORED,
                                          SERIES, SERIES_DIVISION, SUBJECT, VITALS, with_)
 from pulsetrail.catalog.registry import query
 from pulsetrail.functions import measures as M
@@ -63,14 +63,21 @@ def _(v):
     return O.market_strict(v.series(), v.rivals())
 
 
-@query("market_zero_fill", with_(f"""
+WANTED = """
+wanted AS (SELECT DISTINCT series_id AS subject_id, unnest(CASE division WHEN 'OWN' THEN ['VD', 'DA'] ELSE [division] END) AS division FROM series_division),
+contest AS (SELECT DISTINCT w.subject_id, d.series_id FROM wanted w JOIN series_division d USING (division) WHERE d.series_id <> w.subject_id)"""
+
+
+@query("market_zero_fill", with_("""
 SELECT o.series_id AS subject_id, CAST(o.day AS VARCHAR) AS day, o.value AS own, any_value(o.value) + coalesce(sum(s.value), 0) AS value
-FROM series o LEFT JOIN (SELECT DISTINCT d.series_id, x.day, x.value FROM series_division d JOIN series x USING (series_id)
- WHERE division IN ('VD', 'DA')) s ON s.day = o.day
-WHERE o.series_id = '{SUBJECT}' GROUP BY o.series_id, o.day, o.value""", SERIES, SERIES_DIVISION))
+FROM series o LEFT JOIN (SELECT c.subject_id, x.day, x.value FROM contest c JOIN series x USING (series_id)) s ON s.subject_id = o.series_id AND s.day = o.day
+WHERE o.series_id IN (SELECT subject_id FROM contest) GROUP BY o.series_id, o.day, o.value""", SERIES, SERIES_DIVISION, WANTED))
 def _(v):
-    rivals = K.rivals_of_divisions(v.series_divisions(), SUBJECT, ["VD", "DA"])
-    return O.market_zero_fill(v.series(), rivals)
+    """Every series against the competitors of its divisions; the subject's own site looks at two."""
+    divisions = v.series_divisions()
+    own = F.when(F.col("division") == "OWN", F.array(F.lit("VD"), F.lit("DA"))).otherwise(F.array("division"))
+    wanted = divisions.select(F.col("series_id").alias("subject_id"), F.explode(own).alias("division")).distinct()
+    return O.market_zero_fill(v.series(), K.rivals_of_divisions(divisions, wanted))
 
 
 @query("share_series", with_(f"""
@@ -183,51 +190,41 @@ def _(v):
             .select("series_id", "day", c4("pct")))
 
 
-# days on which a series stood below 1.2 times its own mean: leaves gaps at every scale
-THIN = """
-thin AS (SELECT series_id, day, value FROM series JOIN (SELECT series_id, avg(value) AS mean FROM series GROUP BY 1) USING (series_id) WHERE value < 1.2::DOUBLE * mean)"""
-
-
-def _thin(v):
-    s = v.series()
-    mean = s.groupBy("series_id").agg(F.avg("value").alias("mean"))
-    return s.join(mean, "series_id").filter(F.col("value") < 1.2 * F.col("mean")).drop("mean")
-
-
 @query("calendar_gaps", with_(f"""
 SELECT series_id, rank, CAST(gap_start AS VARCHAR) AS gap_start, CAST(gap_end AS VARCHAR) AS gap_end FROM (
  SELECT series_id, min(day) AS gap_start, max(day) AS gap_end,
   row_number() OVER (PARTITION BY series_id ORDER BY min(day) DESC) AS rank
  FROM (SELECT series_id, day, day - CAST(row_number() OVER (PARTITION BY series_id ORDER BY day) AS INTEGER) AS island
   FROM (SELECT series_id, unnest(generate_series(greatest(min(day), DATE '{AS_OF}' - 730)::TIMESTAMP, (DATE '{AS_OF}' - 2)::TIMESTAMP,
-   INTERVAL 1 DAY))::DATE AS day FROM thin GROUP BY 1) ANTI JOIN thin USING (series_id, day))
- GROUP BY series_id, island) WHERE rank <= 2""", SERIES, THIN))
+   INTERVAL 1 DAY))::DATE AS day FROM buyers GROUP BY 1) ANTI JOIN buyers USING (series_id, day))
+ GROUP BY series_id, island) WHERE rank <= 2""", BUYERS))
 def _(v):
-    return O.calendar_gaps(_thin(v), day(AS_OF))
+    return O.calendar_gaps(v.buyers(), day(AS_OF))
 
 
 @query("series_coverage", with_(f"""
 SELECT s.series_id, CAST(w.a AS VARCHAR) AS start, CAST(w.b AS VARCHAR) AS "end", count(t.day) AS present,
  CAST(w.b - w.a + 1 AS BIGINT) AS expected, {r4('count(t.day) / (w.b - w.a + 1)')} AS coverage
-FROM (SELECT DISTINCT series_id FROM series) s,
+FROM (SELECT DISTINCT series_id FROM buyers) s,
  (SELECT DATE '{CUR[0]}' AS a, DATE '{CUR[1]}' AS b UNION ALL SELECT DATE '{CMP[0]}', DATE '{CMP[1]}') w
-LEFT JOIN thin t ON t.series_id = s.series_id AND t.day BETWEEN w.a AND w.b
-GROUP BY s.series_id, w.a, w.b""", SERIES, THIN))
+LEFT JOIN buyers t ON t.series_id = s.series_id AND t.day BETWEEN w.a AND w.b
+GROUP BY s.series_id, w.a, w.b""", BUYERS))
 def _(v):
-    windows = v.series().select("series_id").distinct().select("series_id", F.explode(F.array(
+    buyers = v.buyers()
+    windows = buyers.select("series_id").distinct().select("series_id", F.explode(F.array(
         *[F.struct(day(a).alias("start"), day(b).alias("end")) for a, b in (CUR, CMP)])).alias("w"))
-    return (O.series_coverage(_thin(v), windows.select("series_id", "w.*"))
+    return (O.series_coverage(buyers, windows.select("series_id", "w.*"))
             .select("series_id", "start", "end", "present", "expected", c4("coverage")))
 
 
 @query("asof_series_point", with_(f"""
 SELECT l.event_id, l.series_id, CAST(s.day AS VARCHAR) AS obs_day, s.value AS obs_value
-FROM scored_ledger l ASOF JOIN inside s ON l.series_id = s.series_id AND l.date >= s.day
-JOIN (SELECT series_id, max(day) AS last_day FROM inside GROUP BY 1) e ON e.series_id = l.series_id AND l.date <= e.last_day""", SERIES, SCORED, THIN,
-                                   f"inside AS (SELECT * FROM thin WHERE day BETWEEN DATE '{CUR[0]}' AND DATE '{CUR[1]}')"))
+FROM buyer_ledger l ASOF JOIN inside s ON l.series_id = s.series_id AND l.date >= s.day
+JOIN (SELECT series_id, max(day) AS last_day FROM inside GROUP BY 1) e ON e.series_id = l.series_id AND l.date <= e.last_day""", BUYERS, BUYER_LEDGER,
+                                   f"inside AS (SELECT * FROM buyers WHERE day BETWEEN DATE '{CUR[0]}' AND DATE '{CUR[1]}')"))
 def _(v):
-    probes = v.scored_ledger().select("event_id", "series_id", F.col("date").alias("day"))
-    return O.asof_point(probes, _thin(v), *CUR).select("event_id", "series_id", "obs_day", "obs_value")
+    probes = v.buyer_ledger().select("event_id", "series_id", F.col("date").alias("day"))
+    return O.asof_point(probes, v.buyers(CUR), *CUR).select("event_id", "series_id", "obs_day", "obs_value")
 
 
 @query("tail_window", with_("""

@@ -9,6 +9,7 @@ from pulsetrail.functions import measures as M
 from pulsetrail.functions.text import one_of
 from pulsetrail.operators.periods import PERIOD_COLUMNS, period_means
 from pulsetrail.operators.series import (market_zero_fill, prefix_sums, range_stats, with_span)
+from pulsetrail.session import shared_dir
 
 _LABELS = ["series_id", *PERIOD_COLUMNS]
 
@@ -122,14 +123,25 @@ def basis_gap(basis: DataFrame, periods: DataFrame) -> DataFrame:
                         | (F.coalesce("cmp_avg", F.lit(0.0)) == 0)))
 
 
-def with_move(ledger: DataFrame, verdicts: DataFrame) -> DataFrame:
+#: verdicts that are sent to every task at most, and the parts that a series is dealt into beyond that
+BROADCAST, PARTS = 100_000, 32
+
+
+def with_move(ledger: DataFrame, verdicts: DataFrame, bound: int = BROADCAST, parts: int = PARTS) -> DataFrame:
     """Attach each series' periods and move direction to its events.
 
     ``verdicts`` holds one comparison per series; without a verdict the
-    direction stays null.
+    direction stays null.  Verdicts are stored and counted (an action): up to
+    ``bound`` of them go to the events, so the ledger isn't shuffled; beyond
+    that each series is joined in ``parts``, however many events it holds.
     """
-    return ledger.join(verdicts.select("series_id", *PERIOD_COLUMNS,
-                                       F.col("direction").alias("move"), "pct"), "series_id")
+    shared_dir(ledger.sparkSession)
+    known = verdicts.select("series_id", *PERIOD_COLUMNS, F.col("direction").alias("move"), "pct").checkpoint()
+    if known.count() <= bound:
+        return ledger.join(F.broadcast(known), "series_id")
+    known = known.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = ledger.withColumn("_part", F.pmod(F.xxhash64("event_id", "date"), F.lit(parts)).cast("int"))
+    return dealt.join(known, ["series_id", "_part"]).drop("_part")
 
 
 def direction_match(moved: DataFrame) -> DataFrame:

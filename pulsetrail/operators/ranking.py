@@ -10,12 +10,14 @@ from pulsetrail.functions.text import one_of
 from pulsetrail.session import shared_dir
 
 
-def rivals_of_divisions(membership: DataFrame, subject: str, divisions) -> DataFrame:
-    """(subject_id, series_id): distinct competitors of the given divisions."""
-    return (membership.filter(F.col("division").isin(*divisions) & (F.col("series_id") != subject))
-            # not a literal, so that joins on it stay equality joins
-            .select(F.when(F.col("series_id").isNotNull(), subject).alias("subject_id"), "series_id")
-            .distinct())
+def rivals_of_divisions(membership: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(subject_id, series_id): distinct competitors in the divisions of each subject; ``wanted`` is (subject_id, division)."""
+    return (wanted.join(membership, "division").filter(F.col("series_id") != F.col("subject_id"))
+            .select("subject_id", "series_id").distinct())
+
+
+#: offsets that are sent to every task at most; more are joined by partition and group
+BROADCAST = 100_000
 
 
 def rank_keys(move: Column) -> list[Column]:
@@ -37,23 +39,25 @@ def global_rank_by_range(df: DataFrame, columns: list[str], tie: str = "arrival"
     checkpoint (an action), so that the position inside a partition and the
     partition offsets are read from the same rows even when an executor is
     lost.  ``tie`` is unique, so equal keys, and a group that holds most rows,
-    spread over partitions.
+    spread over partitions.  Offsets are counts per partition and group, summed
+    within the group: a row a partition, and one more a group.
     """
     shared_dir(df.sparkSession)
     order = [*per, *columns, tie]
     stored = (df.repartitionByRange(*order).sortWithinPartitions(*order)
               .withColumn("_at", F.monotonically_increasing_id()).checkpoint())
     part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    # one row per partition
-    sizes = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    placed = (stored.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-              .withColumn(name, F.col("_off") + inside + 1).drop("_part", "_off", "_at"))
-    if per:
-        firsts = placed.groupBy(*per).agg(F.min(name).alias("_first"))
-        placed = placed.join(firsts, list(per)).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first")
-    return placed
+    groups = [F.col(c).alias(f"_g{i}") for i, c in enumerate(per)]
+    sizes = stored.groupBy(part.alias("_p"), *groups).agg(F.count("*").alias("_n"), F.min(inside).alias("_from"))
+    whole = Window.partitionBy(*[f"_g{i}" for i in range(len(per))]) if per else Window
+    before = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").checkpoint()
+    same = part == F.col("_p")
+    for i, c in enumerate(per):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST else offsets
+    return (stored.join(offsets, same).withColumn(name, F.col("_off") + inside - F.col("_from") + 1)
+            .drop("_p", "_off", "_from", "_at", *[f"_g{i}" for i in range(len(per))]))
 
 
 def rank_events(moved: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsetrail import vocab
 from pulsetrail.functions.measures import ratio
+from pulsetrail.session import shared_dir
 
 
 def _by_day(*keys):
@@ -228,16 +229,19 @@ def change_point_merge(points: DataFrame, days: int = vocab.CHANGE_MERGE_DAYS) -
 
 def calendar_gaps(series: DataFrame, as_of: Column, retention_days: int = 730,
                   lag_days: int = 2, max_ranges: int = 2) -> DataFrame:
-    """Newest missing day ranges of each series, at most ``max_ranges``."""
+    """Newest missing day ranges of each series, at most ``max_ranges``.
+
+    A gap lies between two present days that don't follow one another; the day
+    before the first and the day after the last expected one stand in for
+    present days.  No calendar is laid out.
+    """
     cutoff, newest = F.date_sub(as_of, retention_days), F.date_sub(as_of, lag_days)
     spans = (series.groupBy("series_id").agg(F.min("day").alias("_first"))
-             .select("series_id", F.greatest(F.col("_first"), cutoff).alias("start"),
-                     newest.alias("end")))
-    missing = calendar(spans).join(series, ["series_id", "day"], "left_anti")
-    w = _by_day()
-    island = F.date_sub("day", F.row_number().over(w))
-    ranges = (missing.withColumn("_island", island).groupBy("series_id", "_island")
-              .agg(F.min("day").alias("gap_start"), F.max("day").alias("gap_end")))
+             .select("series_id", F.greatest(F.col("_first"), cutoff).alias("start")).filter(F.col("start") <= newest))
+    ends = spans.select("series_id", F.explode(F.array(F.date_sub("start", 1), F.date_add(newest, 1))).alias("day"))
+    present = series.filter(F.col("day").between(cutoff, newest)).select("series_id", "day").unionByName(ends)
+    ranges = (present.withColumn("_prev", F.lag("day").over(_by_day())).filter(F.datediff("day", "_prev") > 1)
+              .select("series_id", F.date_add("_prev", 1).alias("gap_start"), F.date_sub("day", 1).alias("gap_end")))
     r = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("gap_start")))
     return (ranges.withColumn("rank", r).filter(F.col("rank") <= max_ranges)
             .select("series_id", "rank", "gap_start", "gap_end"))
@@ -256,21 +260,40 @@ def series_coverage(series: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def asof_point(probes: DataFrame, series: DataFrame, start, end) -> DataFrame:
-    """Last in-period observation on or before each probe's day.
+    """Last in-period observation on or before each probe's day, up to the series' last one.
 
-    ``probes`` has (series_id, day).  The observation in force is a property
-    of the calendar day, so it is filled forward once per series and then
-    found by an equality join, however many probes share a day.
+    ``probes`` has (series_id, day) and columns of its own.  Probes and
+    observations are range-partitioned together by series and day and stored
+    (an action), so one series may span many tasks.  Inside a partition the
+    last observation is carried along; what a partition takes over at its
+    border comes from one row per partition and series.
     """
+    shared_dir(series.sparkSession)
     s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
-    inside = series.filter(F.col("day").between(s, e))
-    spans = span_of(inside)
-    w = _by_day().rowsBetween(Window.unboundedPreceding, 0)
-    filled = densify(inside, spans).select(
-        "series_id", "day",
-        F.last(F.when(F.col("value").isNotNull(), F.col("day")), True).over(w).alias("obs_day"),
-        F.last("value", True).over(w).alias("obs_value"))
-    return probes.join(filled, ["series_id", "day"])
+    mine = [c for c in probes.columns if c not in ("series_id", "day")]
+    points = series.filter(F.col("day").between(s, e)).select(
+        "series_id", "day", F.struct(F.col("day").alias("obs_day"), F.col("value").alias("obs_value")).alias("obs"))
+    asked = probes.filter(F.col("day").between(s, e)).select("series_id", "day", F.struct(*mine).alias("probe"))
+    order = ["series_id", "day", "_asked", "_tie"]
+    rows = points.unionByName(asked, allowMissingColumns=True)
+    rows = rows.withColumn("_asked", F.col("probe").isNotNull()).withColumn("_tie", F.xxhash64("probe"))
+    rows = (rows.repartitionByRange(*order).sortWithinPartitions(*order)
+            .withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).checkpoint())
+    held = rows.filter(~F.col("_asked"))
+    sides = (rows.select("_part", "series_id").distinct()
+             .join(held.groupBy("_part", "series_id").agg(F.max_by("obs", "_at").alias("_last"), F.min("day").alias("_first")), ["_part", "series_id"], "left"))
+    by_part = Window.partitionBy("series_id").orderBy("_part")      # a row a partition
+    sides = sides.select(
+        "_part", "series_id", F.last("_last", True).over(by_part.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", True).over(by_part.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    here = Window.partitionBy("_part", "series_id").orderBy("_at")
+    filled = (rows.withColumn("_obs", F.last("obs", True).over(here.rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("_next", F.first(F.when(~F.col("_asked"), F.col("day")), True).over(here.rowsBetween(0, Window.unboundedFollowing)))
+              .filter("_asked").join(sides, ["_part", "series_id"]))
+    found = F.coalesce("_obs", "_before")
+    later = F.coalesce("_next", "_after").isNotNull()
+    return (filled.withColumn("_found", found).filter(F.col("_found").isNotNull() & (later | (F.col("_found.obs_day") == F.col("day"))))
+            .select("series_id", "day", *[F.col(f"probe.{c}").alias(c) for c in mine], "_found.obs_day", "_found.obs_value"))
 
 
 def last_n_points(series: DataFrame, n: int) -> DataFrame:
