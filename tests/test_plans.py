@@ -14,7 +14,9 @@ NAMES = sorted(n for n in QUERIES if n not in EAGER and not n.startswith(("src_"
 #: one row of totals, or a handful of literal periods, on one side
 SCALAR_SIDE: set[str] = set()
 PERIOD = ["period_verdict", "competitor_verdict", "market_vs_own", "log_attribution", "basis_gap", "period_overlay",
-          "movement_explained", "direction_match", "axis_event_lists"]
+          "axis_event_lists"]
+#: the ledger meets one verdict a series: these are sent to it, it isn't dealt by series
+MOVED = ["direction_match", "carry_base_factors"]
 
 
 def plan_of(spark, name):
@@ -37,6 +39,20 @@ def test_period_bounds_reach_the_fact_scan(spark, name):
     assert scans and all(re.search(r"PushedFilters: \[.*l_shipdate", s) for s in scans)
 
 
+@pytest.mark.parametrize("name", MOVED)
+def test_ledger_is_not_dealt_by_series_for_its_verdicts(spark, name):
+    df = QUERIES[name](spark, SF)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    joins = [k for k in re.findall(r"(SortMergeJoin|ShuffledHashJoin) \[series_id", plan)]
+    assert not joins and re.search(r"BroadcastHashJoin \[series_id", plan)
+
+
+def test_ranks_are_not_got_by_dealing_the_ledger_by_series(spark):
+    plan = plan_of(spark, "rank_events")
+    assert not re.search(r"hashpartitioning\(series_id#\d+, \d+\)", plan)
+
+
 def test_scans_read_only_what_is_used(spark):
     line = [s for s in re.findall(r"ReadSchema: (\S+)", plan_of(spark, "period_verdict")) if "l_orderkey" in s]
     assert line and all("l_tax" not in s and "l_quantity" not in s for s in line)
