@@ -6,13 +6,14 @@ import os
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsetrail.llm import oracles
 from pulsetrail.llm.common import documents, importable
 
 #: folder of the public vocabularies; a parameter of every operator that needs one
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR") or os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
