@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pulsetrail.catalog.bindings import (ACTIVITY, LEDGER, LINKS, SALES, SCORED, SERIES, STORIES,
@@ -25,15 +26,25 @@ def _flat_ledger(v):
                     F.col("impact_strength"), "confidence", "axis", "source", "raw_date", "raw_url")
 
 
+def _as_array(parts):
+    """The lines of one array a task, of JSON texts; where their number is odd the file breaks off in one more element."""
+    n = 0
+    for part in parts:
+        texts = part.column(0).to_pylist()
+        yield pa.RecordBatch.from_pydict({"value": [("[" if n + i == 0 else ",") + t for i, t in enumerate(texts)]})
+        n += len(texts)
+    if n:
+        yield pa.RecordBatch.from_pydict({"value": [', {"event_id": "cut {[' if n % 2 else "]"]})
+
+
 @query("src_ledger", with_("""
 SELECT event_id, CAST(date AS VARCHAR) AS date, array_to_string(scope, ';') AS scope, array_to_string(divisions, ';') AS divisions, title, raw_title,
  CAST(impact_strength AS BIGINT) AS impact_strength FROM ledger""", LEDGER))
 def _(v):
     path = fresh_path(v.spark, "ledger-json")
-    _flat_ledger(v).write.json(path)
-    broken = v.ledger().filter(F.col("category") == "AI").select(F.concat(F.lit('{"event_id": "'), "event_id").alias("value"))
-    broken.write.mode("append").text(path)
-    return SL.read_ledger(v.spark, path).select("event_id", "date", "scope", "divisions", "title", "raw_title", "impact_strength")
+    records = _flat_ledger(v).select(F.to_json(F.struct("*")).alias("value"))
+    records.mapInArrow(_as_array, "value string").write.text(path)
+    return SL.read_ledger(v.spark, path, multi_line=True).select("event_id", "date", "scope", "divisions", "title", "raw_title", "impact_strength")
 
 
 @query("src_funnel_log", with_("SELECT CAST(day AS VARCHAR) AS day, label, raw, 0::BIGINT AS dup, dup_near, kw_pass, kept FROM log", ACTIVITY, FUNNEL_LOG))

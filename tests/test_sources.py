@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsetrail.operators import funnel as U
-from pulsetrail.sources import feeds, ledger as SL, lists, series as SS, traffic, verdicts, vitals
+from pulsetrail.sources import arrays, feeds, ledger as SL, lists, series as SS, traffic, verdicts, vitals
 
 
 @pytest.fixture()
@@ -30,6 +30,32 @@ def test_ledger_array_file(spark, put):
     assert rows["A2"]["date"] is None and rows["A2"]["scope"] == []
 
 
+@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("split", ["40b", "128m"])
+def test_array_elements_over_many_tasks(spark, tmp_path, indent, split):
+    """Braces, quotes and backslashes in texts, nested values, one long element; a broken tail loses only itself."""
+    rows = [{"event_id": f"A{i}", "title": t, "more": {"x": [{}, {"y": "}{"}]}}
+            for i, t in enumerate(["}{", 'a "quoted" {', "back\\", "\\\"}", "", "[,]", "é🙂}" * 60, "line\nline", "end"] * 3)]
+    text = json.dumps(rows, ensure_ascii=False, indent=indent)
+    (tmp_path / "whole.json").write_text(text, encoding="utf-8")
+    (tmp_path / "cut.json").write_text(text[:text.rindex('"title"') + 3], encoding="utf-8")
+    (tmp_path / "none.json").write_text("[]")
+    (tmp_path / "empty.json").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        df = arrays.array_elements(spark, str(tmp_path))
+        got = {}
+        for r in df.collect():
+            got.setdefault(r["file"].rsplit("/", 1)[1], []).append((r["element"], r["value"]))
+        ledger = SL.read_ledger(spark, str(tmp_path), multi_line=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [json.loads(t) for _, t in sorted(got["whole.json"])] == rows
+    assert [json.loads(t) for _, t in sorted(got["cut.json"])[:-1]] == rows[:-1] and set(got) == {"whole.json", "cut.json"}
+    assert sorted(r["event_id"] for r in ledger) == sorted([r["event_id"] for r in rows] + [r["event_id"] for r in rows[:-1]])
+
+
 def test_traffic_csv(spark, put):
     path = put("t.csv", "﻿Country,Date,Traffic\nuk, 2026/8/1 ,\"x\nUSA,2026-8-2,1.5k\n\nMX,2026-08-03, 1200 visits\nKR,2026-08-04\nDE,,5\n")
     got = {(r["country"], r["day"], r["traffic"]) for r in traffic.read_traffic(spark, path).collect()}
