@@ -8,7 +8,8 @@ Consecutive windows that share an anchor form a run, one row for some forty wind
    shuffle, so a common passage is one row a task; adaptive execution splits a hot anchor in the join).
 2. Runs of equal content (XXH3 of 64 bits, among runs of one anchor) form a class. All but its first run are late as a whole: no text is compared.
 3. Only where one anchor has several classes must windows be compared. The first run of each class is
-   fetched, pieces meet by anchor, and suffix order within the pieces tells which windows came before.
+   fetched, pieces meet by anchor, and the longest previous factors of their windows, from the previous
+   and next smaller places in suffix order, tell which of them came before.
    An anchor with more than ``CROWD`` classes is dealt out by window content instead, so no task gets
    more than its share; equal windows still meet.
 
@@ -220,13 +221,78 @@ def suffix_places(words: np.ndarray, at: np.ndarray, steps: list[int]) -> np.nda
     return out
 
 
+def previous_smaller(v: np.ndarray) -> np.ndarray:
+    """The nearest earlier place with a smaller value, for every place (-1: none).
+
+    Most are the neighbour; the others climb a tree of block minima to the first block on their left
+    with a smaller value and go down to its last one, all places at once.
+    """
+    n = len(v)
+    out = np.arange(-1, n - 1)
+    i = np.flatnonzero(np.append(False, v[:-1] >= v[1:]))
+    levels = [v]
+    while len(levels[-1]) > 1:
+        last = levels[-1]
+        last = np.append(last, last[-1]) if len(last) % 2 else last
+        levels.append(np.minimum(last[::2], last[1::2]))
+    block, at = i.copy(), np.full(len(i), -1)
+    up = np.arange(len(i))
+    for k, least in enumerate(levels):
+        left = block[up]
+        hit = (left % 2 == 1) & (least[np.maximum(left - 1, 0)] < v[i[up]])
+        block[up[hit]] -= 1
+        at[up[hit]] = k
+        up = up[~hit]
+        block[up] >>= 1
+    for k in range(len(levels) - 1, 0, -1):
+        down = np.flatnonzero(at >= k)
+        right = np.minimum(2 * block[down] + 1, len(levels[k - 1]) - 1)
+        block[down] = np.where(levels[k - 1][right] < v[i[down]], right, 2 * block[down])
+    out[i] = np.where(at >= 0, block, -1)
+    return out
+
+
+def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, kind: Kind) -> np.ndarray:
+    """How many units, up to the width, the strings at ``a`` and ``b`` have in common."""
+    if kind.units is bytes_of:
+        steps, per = [*range(0, kind.width - 8, 8), kind.width - 8], 8
+    else:
+        steps, per = list(range(kind.width)), 1
+    out, left = np.full(len(a), kind.width), np.arange(len(a))
+    for k in steps:
+        x = words[a[left] + k] ^ words[b[left] + k]
+        stop = np.flatnonzero(x)
+        # whole bytes of the number before its first one that differs
+        shared = np.zeros(len(stop), np.int64)
+        for cut in range(1, per):
+            shared += x[stop] < np.uint64(1 << (64 - 8 * cut))
+        out[left[stop]] = k + shared
+        left = left[x == 0]
+    return out
+
+
+def longest_previous_factors(words: np.ndarray, at: np.ndarray, order: np.ndarray, place: np.ndarray, kind: Kind) -> np.ndarray:
+    """For every string at ``at``, the longest prefix, up to the width, that a string of smaller ``place`` begins with.
+
+    ``order`` is the suffix order, equal strings by place. The string of smaller place with the longest
+    common prefix is the previous or the next smaller place in that order; both are compared.
+    """
+    n, sorted_at, v = len(at), at[order], place[order]
+    longest = np.zeros(n, np.int64)
+    for near in (previous_smaller(v), n - 1 - previous_smaller(v[::-1])[::-1]):
+        some = np.flatnonzero((near >= 0) & (near < n))
+        longest[some] = np.maximum(longest[some], common_prefix(words, sorted_at[some], sorted_at[near[some]], kind))
+    out = np.empty(n, np.int64)
+    out[order] = longest
+    return out
+
+
 def late_windows(units: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
     """Windows of the pieces that an earlier one equals: (piece, window in it).
 
-    A window that no other equals has no previous factor of ``width``; hashes find the others, which
-    are then put into suffix order, ties in order of position. There the previous smaller position
-    of a window is its neighbour above if that has the same rank, and the next smaller one never
-    is nearer; so its longest previous factor reaches ``width`` unless it is its rank's first.
+    A window whose hash no other has is equal to none, so its longest previous factor is shorter than
+    the width. The others are put into suffix order, and those are late whose longest previous
+    factor (``longest_previous_factors``, by comparing units) reaches the width.
     """
     windows = np.maximum(np.diff(offsets) - kind.width + 1, 0)
     piece = np.repeat(np.arange(len(windows)), windows)
@@ -246,10 +312,9 @@ def late_windows(units: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start:
         return none, none
     first = np.append(True, ~same)[shared]
     group, rep = np.cumsum(first) - 1, at[some[first]]
-    if kind.units is bytes_of:
-        words, steps = packed(units), [*range(0, kind.width - 8, 8), kind.width - 8]
-    else:
-        words, steps = units, list(range(kind.width))
+    in_bytes = kind.units is bytes_of
+    words = packed(units) if in_bytes else units
+    steps = [*range(0, kind.width - 8, 8), kind.width - 8] if in_bytes else list(range(kind.width))
     equal = np.ones(len(some), bool)
     for k in steps:
         equal &= words[at[some] + k] == words[rep[group] + k]
@@ -257,16 +322,16 @@ def late_windows(units: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start:
         rank = suffix_places(words, rep, steps)[group]
     else:  # two contents under one hash: order everything by prefix doubling
         some = np.arange(len(at))
-        rank = window_ranks(packed(units) if kind.units is bytes_of else units, 8 if kind.units is bytes_of else 1, kind.width)[at]
-    place = start[piece[some]] + inside[some]
-    order = np.lexsort((place, doc[piece[some]], rank))
-    r, d, a = rank[order], doc[piece[some]][order], place[order]
-    first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-    head = np.repeat(first, np.diff(np.append(first, len(r))))
-    late = d > d[head]
-    if kind.by_position:
-        late |= (d == d[head]) & (a > a[head])
-    hit = np.sort(some[order[late]])
+        rank = window_ranks(words, 8 if in_bytes else 1, kind.width)[at]
+    place = doc[piece[some]]
+    if kind.by_position:  # places are numbered in order of document and start
+        begin = start[piece[some]] + inside[some]
+        ordered = np.lexsort((begin, place))
+        moved = np.append(False, (np.diff(place[ordered]) != 0) | (np.diff(begin[ordered]) != 0))
+        place = np.empty(len(some), np.int64)
+        place[ordered] = np.cumsum(moved)
+    factors = longest_previous_factors(words, at[some], np.lexsort((place, rank)), place, kind)
+    hit = np.sort(some[factors >= kind.width])
     return piece[hit], inside[hit]
 
 

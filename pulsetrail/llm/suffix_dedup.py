@@ -2,8 +2,9 @@
 
 A byte goes if a string of ``width`` bytes over it also starts earlier: in a smaller ``doc_id``, or
 earlier in the same document; different texts of one id, as of null, are documents in order of their hashes. ``repeats`` cuts the corpus into pieces so that equal strings meet;
-in each set of pieces the suffixes are ordered by prefix doubling, and the previous smaller position
-in that order gives a string's earlier match (``repeats.late_windows``).
+in each set of pieces the windows that may have an equal are put into suffix order, the previous and
+next smaller positions in it give their longest previous factors, and those that reach ``width`` are
+later copies (``repeats.late_windows``). Runs equal to an earlier run as a whole need no such look.
 """
 
 from __future__ import annotations

@@ -162,6 +162,43 @@ def test_prefix_doubling_orders_suffixes():
     assert places.tolist() == list(range(len(distinct)))[::-1]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 64, 1000, 1025])
+def test_previous_smaller(n):
+    rng = np.random.default_rng(n)
+    for v in (rng.permutation(n), np.arange(n), np.arange(n)[::-1], rng.integers(0, 5, n)):
+        want = [max((j for j in range(i) if v[j] < v[i]), default=-1) for i in range(n)]
+        assert repeats.previous_smaller(v).tolist() == want
+
+
+@pytest.mark.parametrize("letters", [1, 2, 4])
+@pytest.mark.parametrize("wide", [True, False])
+def test_longest_previous_factors(letters, wide):
+    """Every length up to the width, against all earlier strings."""
+    rng = np.random.default_rng(letters)
+    kind = repeats.byte_kind(30) if wide else repeats.word_kind(12)
+    data = np.tile(rng.integers(97, 97 + letters, 70), 3)
+    data[[80, 150, 155]] = 122
+    words = repeats.packed(data.astype(np.uint8)) if wide else data.astype(np.uint64)
+    n = len(data) - kind.width + 1
+    at = np.arange(n)
+    rank = repeats.window_ranks(words, 8 if wide else 1, kind.width)[at]
+    for place in (at, rng.permutation(n), at // 40):
+        got = repeats.longest_previous_factors(words, at, np.lexsort((place, rank)), place, kind)
+        text = [data[i:i + kind.width].tolist() for i in range(n)]
+        share = lambda x, y: next((k for k in range(kind.width) if x[k] != y[k]), kind.width)
+        assert got.tolist() == [max((share(text[i], text[j]) for j in range(n) if place[j] < place[i]), default=0) for i in range(n)]
+
+
+def test_late_windows_follow_their_factors(monkeypatch):
+    data = np.frombuffer(b"abcdefgh" * 60, np.uint8)
+    kind = repeats.byte_kind(100)
+    pieces = np.array([0, 200, 480]), np.array([3, 7]), np.array([50, 0])
+    late = repeats.late_windows(data, *pieces, kind)
+    assert len(late[0]) == 101 + 181 - 8
+    monkeypatch.setattr(repeats, "longest_previous_factors", lambda words, at, *_: np.zeros(len(at), np.int64))
+    assert len(repeats.late_windows(data, *pieces, kind)[0]) == 0
+
+
 @pytest.mark.parametrize("crowd", [1, 1 << 13])
 def test_substring_dedup(docs, rows, monkeypatch, crowd):
     monkeypatch.setattr(repeats, "CROWD", crowd)
