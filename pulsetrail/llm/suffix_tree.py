@@ -1,129 +1,163 @@
-"""Operator 5: scoring texts with a probabilistic suffix tree over word symbols.
-
-A text is its tokens: its words, then an end. The commonest tokens and the end are symbols of their
-own; every other token belongs to the symbol of its last two bytes, or to a last one. A token's
-probability is its symbol's, from the longest stored context of symbols before it, times its share
-of the symbol: (c + 1) / (N + V + 1) within it, an unseen token being one more kind, as in the base
-score.
-
-Learning counts all training text: strings of ``depth + 1`` symbols, latest first, so that shorter
-strings are prefixes and their counts sums. A context is kept if its next symbols diverge enough
-from those of the context one symbol shorter (count times Kullback-Leibler divergence), the
-``states`` most divergent of them. Next-symbol distributions are smoothed towards the next shorter
-kept context. For scoring, the contexts become an automaton whose states are longest suffixes;
-texts are cut into lanes that walk it together, each started ``depth`` symbols early so that cuts
-don't show.
-
-The base score is exact: frequent tokens (a bounded table) are looked up in the task, the others are
-joined with their counts.
+"""Operator 5: scoring texts with a probabilistic suffix tree over words.
+
+A text is its tokens: its words, then an end; one more end stands before it. Contexts are the
+strings of up to ``depth`` tokens before a token. A context that came ``least_count`` times is kept
+if its next tokens diverge from those of the longest kept context that ends it: the sum over its
+occurrences of ln(p of the context / p of the shorter one), each occurrence left out of its own
+estimate, must reach ``least_gain``. So chance repeats, which a plain divergence takes for structure,
+don't pass, and what is kept grows with the text: there is no limit to the number of contexts.
+
+A kept context's distribution is (n + prior * p) / (total + prior), with p that of the next shorter
+kept one and prior ``weight`` times its number of kinds of next tokens; at the root p is the base
+score's (c + 1) / (N + V + 1). A token's probability is that of its longest kept context. Its logarithm is a sum of numbers by key: the token's base score, for each
+kept context log(prior / (total + prior)), and for each next token seen there log((n + prior * p) /
+(prior * p)). So scoring is a lookup: numbers of frequent keys (a bounded table) are found in the
+task, the others are joined, and neither the tree nor a text's tokens ever stand in one place.
+
+Levels are counted one after the other. A string of ``m`` tokens has a 64-bit number made of those
+of its last and of its first ``m - 1`` tokens; a bit filter of fixed size tells which contexts came
+often enough to be counted. Its false hits cost work and are dropped by the exact counts.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pulsetrail.llm.common import (LOWER, column, held_out, keyed, longs, public_id, row_of, slices, stored,
+from pulsetrail.llm.common import (LOWER, column, held_out, keyed, mix, public_id, row_of, slices, stored,
                                    text_buffer, word_bounds, word_hashes)
 
-DEPTH = 2
-STATES = 1 << 15
-#: symbols: the end, ``OWN`` commonest tokens, the endings of two bytes that come most, all other tokens
-SYMBOLS, OWN = 160, 96
-LEAST_COUNT = 50
-LEAST_GAIN = 20.0
+DEPTH = 4
+#: occurrences of a context, and nats it must gain, to be kept; weight of the shorter context per kind of next token
+LEAST_COUNT, LEAST_GAIN, WEIGHT = 20, 10.0, 3.0
+#: keys whose numbers every task holds
 FREQUENT = 1 << 18
-END = 0
-LANE = 256
 END_TOKEN = -1
+#: filter of 2^27 bits: 2^21 words of 64
+FILTER_WORDS = 21
+#: distinct strings that a counting task holds
+HELD = 1 << 20
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of every token in order, ends among them; its last two bytes; where rows begin)"""
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every token in order, ends among them; where rows begin)"""
     data = LOWER[data]
     starts, ends, first = word_bounds(data, offsets)
     n, row = len(first) - 1, row_of(first)
     begin = first + np.arange(n + 1)
     key = np.full(begin[-1], END_TOKEN, np.int64)
-    tail = np.zeros(begin[-1], np.int64)
-    at = np.arange(len(starts)) + row
-    key[at] = word_hashes(data, starts, ends).view(np.int64)
-    last = data[ends - 1].astype(np.int64) if len(starts) else np.zeros(0, np.int64)
-    tail[at] = last | np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)].astype(np.int64) << 8, 0) if len(starts) else 0
-    return key, tail, begin
-
-
-class Symbols:
-    """Which symbol a token is; ``share`` holds log10(N + V + 1) of each symbol that stands for many tokens, 0 for the others."""
-
-    def __init__(self, own: np.ndarray, endings: np.ndarray, count: int = SYMBOLS):
-        self.own, self.count = np.sort(own), count
-        self.ending = np.full(1 << 16, count - 1, np.uint8)
-        self.ending[endings] = 1 + len(own) + np.arange(len(endings))
-        self.share = np.zeros(count)
-
-    def of(self, key: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        out = self.ending[tail]
-        if len(self.own):
-            at = np.minimum(np.searchsorted(self.own, key), len(self.own) - 1)
-            hit = self.own[at] == key
-            out[hit] = 1 + at[hit]
-        out[key == END_TOKEN] = END
-        return out
+    key[np.arange(len(starts)) + row] = word_hashes(data, starts, ends).view(np.int64)
+    return key, begin
+
+
+def joined(last: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Number of a string, from those of it without its first token and without its last."""
+    return mix(last * np.uint64(0x9E3779B97F4A7C15) + first)
+
+
+@F.pandas_udf(T.LongType())
+def joined_column(last: pd.Series, first: pd.Series) -> pd.Series:
+    return pd.Series(joined(last.to_numpy(np.int64).view(np.uint64), first.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+
+
+def levels(key: np.ndarray, begin: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For sizes 1 to ``depth``: places of tokens (an end before each row not counted) that have a context of that size,
+    its number, and that of the string one token later."""
+    n = len(begin) - 1
+    row = row_of(begin)
+    s = np.full(len(key) + n, END_TOKEN, np.int64)
+    s[np.arange(len(key)) + row + 1] = key
+    s = s.view(np.uint64)
+    since = np.arange(len(s)) - np.repeat(begin[:-1] + np.arange(n), np.diff(begin) + 1)
+    owner = np.repeat(np.arange(n), np.diff(begin) + 1)
+    for size in range(1, depth + 1):
+        at = np.flatnonzero(since >= size)
+        yield owner[at], s[at - 1], s[at]
+        longer = np.zeros_like(s)
+        longer[1:] = joined(s[1:], s[:-1])
+        s = longer
+
 
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return (bits[(keys >> np.uint64(64 - FILTER_WORDS)).astype(np.int64)] >> (keys & np.uint64(63))) & np.uint64(1) == 1
 
-def tallied(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s = np.sort(x)
-    first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
-    return s[first], np.diff(np.append(first, len(s)))
+
+def bit_filter(keys: DataFrame, name: str) -> np.ndarray:
+    """Keys as bits of a table of fixed size; at most 2^21 rows reach the driver, however many keys there are."""
+    rows = (keys.groupBy(F.shiftrightunsigned(name, 64 - FILTER_WORDS).cast("int").alias("word"))
+            .agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63 as int))")).alias("bits")).toArrow())
+    out = np.zeros(1 << FILTER_WORDS, np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Counts added up by the first key, which determines the others."""
+    order = np.argsort(keys[0])
+    k = keys[0][order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    return [x[order[first]] for x in keys], np.add.reduceat(counts[order], first) if len(k) else counts
 
 
-def folded(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Keys, counts and tails summed by key within the task."""
-    held: list[tuple] = []
+def folded(parts: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Occurrences (columns of keys, the first one telling them apart) counted within the task; at most about ``HELD`` are held."""
+    held: list[tuple[list[np.ndarray], np.ndarray]] = []
     pending = 0
 
-    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, counts, tails = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(keys)
-        k, c = keys[order], counts[order]
-        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        return k[first], np.add.reduceat(c, first), tails[order][first]
-
-    for part in parts:
-        if len(part[0]):
-            held.append(part)
-            pending += len(part[0])
-        if pending > 3_000_000:
+    def merged() -> tuple[list[np.ndarray], np.ndarray]:
+        return summed([np.concatenate(x) for x in zip(*(keys for keys, _ in held))], np.concatenate([n for _, n in held]))
+
+    def out() -> Iterator[pa.RecordBatch]:
+        keys, n = merged()
+        for lo in range(0, len(n), 1 << 17):
+            cut = slice(lo, lo + (1 << 17))
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[cut].view(np.int64)) for k in keys), pa.array(n[cut])], names=[*names, "n"])
+
+    for keys in parts:
+        if not len(keys[0]):
+            continue
+        held.append(summed(keys, np.ones(len(keys[0]), np.int64)))
+        pending += len(held[-1][1])
+        if pending > HELD:
             held = [merged()]
-            pending = 0
+            pending = len(held[0][1])
+            if pending > HELD // 2:
+                yield from out()
+                held, pending = [], 0
     if held:
-        keys, counts, tails = merged()
-        for lo in range(0, len(keys), 1 << 18):
-            cut = slice(lo, lo + (1 << 18))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), pa.array(counts[cut].astype(np.int64)), pa.array(tails[cut].astype(np.int32))], names=["key", "n", "tail"])
+        yield from out()
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """``key`` (hash), ``n``, ``tail`` (last two bytes) of every distinct token of all texts."""
+    """``key`` (hash), ``n`` of every distinct token of all texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[tuple]:
-            for batch in batches:
-                for b in slices(batch):
-                    key, tail, _ = tokens(*text_buffer(column(b, "text")))
-                    order = np.argsort(key)
-                    k = key[order]
-                    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-                    yield k[first], np.diff(np.append(first, len(k))), tail[order][first]
+        yield from folded(([tokens(*text_buffer(column(b, "text")))[0]] for batch in batches for b in slices(batch)), ["key"])
 
-        yield from folded(parts())
+    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-    return docs.select("text").mapInArrow(run, "key long, n long, tail int").groupBy("key").agg(F.sum("n").alias("n"), F.max("tail").alias("tail"))
+
+def string_counts(docs: DataFrame, size: int, bits: Broadcast) -> DataFrame:
+    """``ctx, last, n``: every context of ``size`` tokens in the filter, with the string of ``size`` tokens that ends one later."""
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for batch in batches:
+            for b in slices(batch):
+                *_, (_, ctx, last) = levels(*tokens(*text_buffer(column(b, "text"))), size)
+                some = in_filter(bits.value, ctx)
+                ctx, last = ctx[some], last[some]
+                yield [joined(last, ctx), ctx, last]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in folded(parts(batches), ["string", "ctx", "last"]):
+            yield b.select(["ctx", "last", "n"])
+
+    return docs.select("text").mapInArrow(run, "ctx long, last long, n long").groupBy("ctx", "last").agg(F.sum("n").alias("n"))
 
 
 def largest(rows: DataFrame, value: str, most: int) -> DataFrame:
@@ -141,150 +175,44 @@ def largest(rows: DataFrame, value: str, most: int) -> DataFrame:
     return rows.where(F.lit(False)) if least is None else rows.where(step >= least)
 
 
-def choose_symbols(words: DataFrame, symbols: int = SYMBOLS, own: int = OWN) -> Symbols:
-    """From counts of all tokens: the commonest, and the commonest endings of the others."""
-    top = [r["key"] for r in words.where(F.col("key") != END_TOKEN).orderBy(F.desc("n"), "key").limit(own).collect()]
-    left = words.where(~F.col("key").isin([END_TOKEN, *top]))
-    ends = left.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # at most 65,536 endings
-    ends = sorted(((r["n"], r["tail"], r["v"]) for r in ends), key=lambda r: (-r[0], r[1]))
-    out = Symbols(np.array(top, np.int64), np.array([t for _, t, _ in ends[:symbols - 2 - own]], np.int64), symbols)
-    total = np.zeros(symbols)
-    for n, t, v in ends:
-        total[out.ending[t]] += n + v
-    out.share[1 + len(top):] = np.log10(total[1 + len(top):] + 1)
-    return out
-
-
-def string_counts(docs: DataFrame, shared: Broadcast, depth: int = DEPTH) -> DataFrame:
-    """``key, n``: every string of ``depth + 1`` symbols of all texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[tuple]:
-            symbols = shared.value
-            for batch in batches:
-                for b in slices(batch):
-                    key, tail, begin = tokens(*text_buffer(column(b, "text")))
-                    k, n = tallied(strings(symbols.of(key, tail), begin, depth))
-                    yield k.astype(np.int64), n, np.zeros(len(k), np.int8)
+def smoothed(n: Column, total: Column, p: Column, prior: Column) -> Column:
+    return (n + prior * p) / (total + prior)
 
-        for b in folded(parts()):
-            yield b.select(["key", "n"])
 
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def strings(text: np.ndarray, begin: np.ndarray, depth: int) -> np.ndarray:
-    """For every symbol: it and the ``depth`` before it as one number, latest first; ends before a row's start."""
-    out = np.zeros(len(text), np.uint64)
-    since = np.arange(len(text)) - np.repeat(begin[:-1], np.diff(begin))
-    for k in range(depth + 1):
-        x = np.full(len(text), END, np.uint64)
-        x[k:] = text[:len(text) - k] if k else text
-        x[since < k] = END
-        out |= x << np.uint64(8 * (depth - k))
-    return out
-
-
-def contexts(counts: DataFrame, depth: int, states: int, least_count: int, least_gain: float) -> DataFrame:
-    """The kept contexts: ``size``, ``context`` (latest symbol first), ``next`` and ``times`` (arrays); at most ``states``."""
-    grams, rows = counts, None
-    for size in range(depth + 1):
-        level = (grams.select(F.shiftright("key", 8 * (depth - size)).alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n"))
-                 .select(F.lit(size).alias("size"), F.shiftright("g", 8 * size).alias("next"), F.col("g").bitwiseAND((1 << 8 * size) - 1).alias("context"), "n"))
-        rows = level if rows is None else rows.unionAll(level)
-    rows = stored(rows, "contexts")
-    total = rows.groupBy("size", "context").agg(F.sum("n").alias("total")).where(F.col("total") >= least_count)
-    rated = rows.join(total, ["size", "context"])
-    parent = rated.select((F.col("size") + 1).alias("size"), F.col("context").alias("shorter"), "next", (F.col("n") / F.col("total")).alias("p"))
-    # the context one symbol shorter lacks the earliest, the lowest of the number
-    gain = stored(rated.where("size > 0").withColumn("shorter", F.shiftright("context", 8)).join(parent, ["size", "shorter", "next"])
-                  .groupBy("size", "context").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("p"))).alias("gain"))
-                  .where(F.col("gain") >= least_gain), "gains")
-    gain = largest(gain, "gain", states).select("size", "context")
-    kept = gain.unionAll(rows.where("size = 0").select("size", "context").distinct())
-    return rows.join(kept, ["size", "context"]).groupBy("size", "context").agg(F.collect_list("next").alias("next"), F.collect_list("n").alias("times"))
-
-
-class Tree:
-    """The automaton: ``step[state, symbol]`` and ``log10p[state, symbol]``."""
-
-    def __init__(self, nodes: list[tuple[bytes, list[int], list[int]]], symbols: int = SYMBOLS, prior: float = 20.0):
-        """``nodes``: contexts (earliest symbol first) with next symbols and how often each came."""
-        nodes = sorted(nodes, key=lambda x: len(x[0]))
-        base = np.full(symbols, 0.5)
-        for c, nxt, times in nodes[:1]:
-            if c == b"":
-                base[nxt] += times
-        p, index = [base / base.sum()], {b"": 0}
-        for c, nxt, times in nodes:
-            if c == b"":
-                continue
-            up = next(index[c[k:]] for k in range(1, len(c) + 1) if c[k:] in index)
-            seen = np.zeros(symbols)
-            seen[nxt] = times
-            index[c] = len(p)
-            p.append((seen + prior * p[up]) / (seen.sum() + prior))
-        # states: every beginning of a context; a state speaks for its longest context suffix
-        order = sorted({c[:k] for c in index for k in range(len(c) + 1)}, key=lambda c: (len(c), c))
-        known = {c: i for i, c in enumerate(order)}
-        self.step = np.zeros((len(order), symbols), np.int32)
-        speaks = np.zeros(len(order), np.int64)
-        fall = np.zeros(len(order), np.int64)
-        children: dict[int, list[tuple[int, int]]] = {}
-        for c, i in known.items():
-            if c:
-                children.setdefault(known[c[:-1]], []).append((c[-1], i))
-        for i, c in enumerate(order):
-            speaks[i] = index[c] if c in index else speaks[fall[i]]
-            if c:
-                self.step[i] = self.step[fall[i]]
-            for s, child in children.get(i, ()):
-                fall[child] = self.step[fall[i], s] if c else 0
-            for s, child in children.get(i, ()):
-                self.step[i, s] = child
-        self.log10p = np.log10(np.array(p)).astype(np.float32)[speaks]
-        self.depth = max(map(len, order))
-
-    def score(self, text: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """log10 probability of the symbols of every row."""
-        sizes = np.diff(begin)
-        lanes = -(-sizes // LANE)
-        row = np.repeat(np.arange(len(sizes)), lanes)
-        lo = begin[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
-        hi = np.minimum(lo + LANE, begin[1:][row])
-        order = np.argsort(lo - hi, kind="stable")  # longest first
-        row, lo, hi = row[order], lo[order], hi[order]
-        width = self.step.shape[1]
-        step, log10p = self.step.ravel(), self.log10p.ravel()
-        state = np.zeros(len(row), np.int64)
-        for k in range(self.depth, 0, -1):
-            at = lo - k
-            s = np.where(at >= begin[:-1][row], text[np.maximum(at, 0)], END)
-            state = step[state * width + s].astype(np.int64)
-        total = np.zeros(len(row))
-        length = hi - lo
-        for k in range(int(length.max()) if len(row) else 0):
-            live = int(np.searchsorted(-length, -k, side="left"))  # lanes longer than k
-            cell = state[:live] * width + text[lo[:live] + k]
-            total[:live] += log10p[cell]
-            state[:live] = step[cell]
-        return np.bincount(row, total, len(sizes))
-
-
-def learn(counts: DataFrame, depth: int = DEPTH, states: int = STATES, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> Tree:
-    """The tree from ``string_counts``; at most ``states`` contexts reach the driver."""
-    nodes = []
-    for r in contexts(counts, depth, states, least_count, least_gain).collect():
-        raw = int(r["context"]).to_bytes(depth + 1, "big")[depth + 1 - r["size"]:]
-        nodes.append((raw[::-1], list(r["next"]), list(r["times"])))
-    return Tree(nodes)
-
-
-def score(docs: DataFrame, mod: int = 7, remainder: int = 2, depth: int = DEPTH, states: int = STATES, frequent: int = FREQUENT) -> DataFrame:
+def learn(docs: DataFrame, words: DataFrame, floor: float, depth: int = DEPTH, least_count: int = LEAST_COUNT,
+          least_gain: float = LEAST_GAIN, weight: float = WEIGHT) -> DataFrame | None:
+    """The tree as numbers by key: ``key, n, value``, the logarithms to add where a text has that context (its number's
+    complement is the key) or that string (its number). ``words`` are the token counts of ``docs``. None without contexts."""
+    sc = docs.sparkSession.sparkContext
+    shorter = words.select(F.col("key").alias("last"), ((F.col("n") + 1) / F.lit(floor)).alias("p"))
+    often = words.select(F.col("key").alias("ctx"), "n")
+    found = []
+    n, total, p, prior = F.col("n"), F.col("total"), F.col("p"), F.col("prior")
+    for size in range(1, depth + 1):
+        bits = bit_filter(often.where(n >= least_count), "ctx")
+        if not bits.any():
+            break
+        counts = stored(string_counts(docs, size, sc.broadcast(bits)), f"strings-{size}")
+        totals = counts.groupBy("ctx").agg(F.sum("n").alias("total"), (weight * F.count("*")).alias("prior")).where(total >= least_count)
+        rated = stored(counts.join(totals, "ctx").join(shorter, "last"), f"rated-{size}")
+        kept = stored(rated.groupBy("ctx").agg(F.sum(n * F.log(smoothed(n - 1, total - 1, p, prior) / p)).alias("gain"), F.first("total").alias("total"), F.first("prior").alias("prior"))
+                      .where(F.col("gain") >= least_gain).select("ctx", "total", "prior"), f"kept-{size}")
+        level = stored(rated.join(kept.select("ctx", F.lit(True).alias("kept")), "ctx", "left")
+                       .select(joined_column("last", "ctx").alias("string"), "n", "p", "prior", F.coalesce("kept", F.lit(False)).alias("kept"),
+                               F.when(F.col("kept"), smoothed(n, total, p, prior)).otherwise(p).alias("q")), f"level-{size}")
+        found.append(kept.select(F.bitwise_not("ctx").alias("key"), total.alias("n"), F.log10(prior / (total + prior)).alias("value")))
+        found.append(level.where("kept").select(F.col("string").alias("key"), "n", F.log10(1 + n / (prior * p)).alias("value")))
+        shorter = level.select(F.col("string").alias("last"), F.col("q").alias("p"))
+        often = level.select(F.col("string").alias("ctx"), "n")
+    return reduce(DataFrame.unionAll, found) if found else None
+
+
+def score(docs: DataFrame, mod: int = 7, remainder: int = 2, depth: int = DEPTH, frequent: int = FREQUENT, least_count: int = LEAST_COUNT,
+          least_gain: float = LEAST_GAIN, weight: float = WEIGHT) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every text.
 
     Learns from the documents whose ``crc32(doc_id) mod 7`` is not 2. A null or empty text is one end
-    token. Repeated rows are scored each. Without training text every count is 0 and the tree is a
-    uniform distribution over symbols.
+    token. Repeated rows are scored each. Without training text every count is 0, and both scores are 0.
     """
     spark = docs.sparkSession
     docs = keyed(docs).withColumn("held_out", held_out(mod, remainder))
@@ -292,72 +220,109 @@ def score(docs: DataFrame, mod: int = 7, remainder: int = 2, depth: int = DEPTH,
     words = stored(token_counts(training), "token-counts")
     seen = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
     train, floor = int(seen["N"]), float(seen["N"] + seen["V"] + 1)
-    symbols = choose_symbols(words)
-    counts = stored(string_counts(training, spark.sparkContext.broadcast(symbols), depth), "string-counts")
-    # tokens that are symbols of their own must be among them
-    own = words.where(F.col("key").isin([END_TOKEN, *symbols.own.tolist()]))
-    top = largest(words, "n", frequent).unionAll(own).distinct().toArrow()
-    keys, times = top.column("key").to_numpy(), top.column("n").to_numpy()
-    order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, keys[order], times[order], symbols, learn(counts, depth, states)))
-
-    done = stored(_scored(docs, shared, floor), "scored")
-    rest = (done.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.times").alias("tf"))
-            .join(words.select("key", "n"), "key", "left").groupBy("row")
-            .agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("more"),
-                 F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("more_known")))
-    out = done.drop("rare", "times").join(rest, "row", "left")
-    return out.select(public_id(), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-                      F.lit(train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-                      (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    numbers = words.select("key", "n", F.log10(F.col("n") + 1).alias("base"), F.lit(0.0).alias("value"), F.lit(1).alias("known"))
+    bits = np.zeros(1 << FILTER_WORDS, np.uint64)
+    tree = learn(training, words, floor, depth, least_count, least_gain, weight)
+    if tree is not None:
+        tree = stored(tree, "tree")
+        bits = bit_filter(tree, "key")
+        numbers = numbers.unionAll(tree.select("key", "n", F.lit(0.0).alias("base"), "value", F.lit(0).alias("known")))
+    top = largest(numbers, "n", frequent).toArrow()
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, bits, *(top.column(c).to_numpy() for c in ("key", "base", "value", "known"))))
+
+    done = stored(_scored(docs, shared, depth, floor), "scored")
+    times = F.col("times")
+    rest = (done.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
+            .join(numbers.drop("n"), "key").groupBy("row")
+            .agg(F.sum(times * F.col("base")).alias("more_base"), F.sum(times * F.col("value")).alias("more_value"), F.sum(times * F.col("known")).alias("more_known")))
+    out = done.drop("rare", "times").join(rest, "row", "left").na.fill(0, ["more_base", "more_value", "more_known"])
+    base = F.col("base") + F.col("more_base")
+    return out.select(public_id(), "held_out", "n_tokens", (F.col("known") + F.col("more_known")).cast("long").alias("n_known"),
+                      F.lit(train).cast("long").alias("train_tokens"), base.alias("base_score"),
+                      (base + F.col("value") + F.col("more_value")).alias("score"))
+
+
+class Numbers:
+    """Rows by 64-bit key: most are found at the slot of their first bits, those that share a slot in a sorted list."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(len(keys).bit_length() + 2, 4)
+        self.shift = np.uint64(64 - bits)
+        slot = self._slot(keys)
+        _, first = np.unique(slot, return_index=True)
+        self.key, self.row = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        self.key[0] = -1  # empty slots hold a key of another slot
+        self.key[slot[first]], self.row[slot[first]] = keys[first], first
+        left = np.setdiff1d(np.arange(len(keys)), first)
+        self.more = left[np.argsort(keys[left])]
+        self.sorted = keys[self.more]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, or -1."""
+        slot = self._slot(keys)
+        out = np.where(self.key[slot] == keys, self.row[slot], -1)
+        if len(self.sorted):
+            miss = np.flatnonzero(out < 0)
+            at = np.minimum(np.searchsorted(self.sorted, keys[miss]), len(self.sorted) - 1)
+            out[miss] = np.where(self.sorted[at] == keys[miss], self.more[at], -1)
+        return out
 
 
 _MODEL: dict[str, tuple] = {}
 
 
-def _model(shared: Broadcast) -> tuple[np.ndarray, np.ndarray, Symbols, Tree]:
-    name, *rest = shared.value
+def _model(shared: Broadcast) -> tuple:
+    name, bits, keys, *values = shared.value
     if name not in _MODEL:
         _MODEL.clear()
-        _MODEL[name] = tuple(rest)
+        _MODEL[name] = (bits, Numbers(keys), *values)
     return _MODEL[name]
 
 
-def _scored(docs: DataFrame, shared: Broadcast, floor: float) -> DataFrame:
-    """Scores, and the base score of frequent tokens with the others left over as ``rare``, ``times``."""
+def _scored(docs: DataFrame, shared: Broadcast, depth: int, floor: float) -> DataFrame:
+    """Sums over frequent keys, with the other keys of each text left over as ``rare``, ``times``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        keys, times, symbols, tree = _model(shared)
+        bits, numbers, base, value, known = _model(shared)
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for b in slices(batch):
-                token, tail, begin = tokens(*text_buffer(column(b, "text")))
+                key, begin = tokens(*text_buffer(column(b, "text")))
                 n = len(begin) - 1
-                owner = row_of(begin)
-                symbol = symbols.of(token, tail)
-                score = tree.score(symbol, begin) - np.bincount(owner, symbols.share[symbol], n)
-                many = symbols.share[symbol] > 0
-                order = np.lexsort((token, owner))
-                t, o, many = token[order], owner[order], many[order]
-                first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (o[1:] != o[:-1]))) if len(t) else np.zeros(0, np.int64)
-                tf = np.diff(np.append(first, len(t)))
-                t, o, many = t[first], o[first], many[first]
-                at = np.minimum(np.searchsorted(keys, t), max(len(keys) - 1, 0))
-                hit = keys[at] == t if len(keys) else np.zeros(len(t), bool)
-                worth = np.zeros(len(t))
-                if hit.any():
-                    worth[hit] = tf[hit] * np.log10(times[at[hit]] + 1)
-                base = np.bincount(o, worth - tf * np.log10(floor), n)
-                score += np.bincount(o, np.where(many, worth, 0), n)
-                known = np.bincount(o[hit], tf[hit], n).astype(np.int64)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(o[~hit], minlength=n))]).astype(np.int32)
+                sums = [-np.diff(begin) * np.log10(floor), np.zeros(n), np.zeros(n)]
+                rare = []
+
+                def look(owner: np.ndarray, keys: np.ndarray) -> None:
+                    at = numbers.find(keys)
+                    hit = at >= 0
+                    for total, by in zip(sums, (base, value, known)):
+                        total += np.bincount(owner[hit], by[at[hit]], n)
+                    rare.append((owner[~hit], keys[~hit]))
+
+                look(row_of(begin), key)
+                if bits.any():
+                    for owner, ctx, last in levels(key, begin, depth):
+                        some = in_filter(bits, ~ctx)
+                        owner, ctx, last = owner[some], ctx[some], last[some]
+                        look(owner, (~ctx).view(np.int64))
+                        string = joined(last, ctx)
+                        some = in_filter(bits, string)
+                        look(owner[some], string[some].view(np.int64))
+                o, k = (np.concatenate(x) for x in zip(*rare))
+                order = np.lexsort((k, o))
+                o, k = o[order], k[order]
+                first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (o[1:] != o[:-1]))) if len(k) else np.zeros(0, np.int64)
+                times = np.diff(np.append(first, len(k))).astype(np.int32)
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(o[first], minlength=n))]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [column(b, "doc_id"), column(b, "held_out"), pa.array(number + np.arange(n)), pa.array(np.diff(begin)), pa.array(known),
-                     pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), pa.array(t[~hit])),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(tf[~hit].astype(np.int32)))],
-                    names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "rare", "times"])
+                    [column(b, "doc_id"), column(b, "held_out"), pa.array(number + np.arange(n)), pa.array(np.diff(begin)), pa.array(sums[2].astype(np.int64)),
+                     pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(ends, pa.array(k[first])), pa.ListArray.from_arrays(ends, pa.array(times))],
+                    names=["doc_id", "held_out", "row", "n_tokens", "known", "base", "value", "rare", "times"])
                 number += n
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(
-        run, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>")
+        run, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, value double, rare array<long>, times array<int>")

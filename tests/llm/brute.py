@@ -170,3 +170,45 @@ def variants(rows: list[tuple[int | None, str | None]], least: int = 2, times: i
             root = form[root]
         out[w] = (form[w], root, n[w], len(near[w]), None if form[w] is None else n[form[w]])
     return out
+
+
+def tree_scores(texts, depth=4, least_count=20, least_gain=10.0, weight=3.0, ask=None):
+    """(log10 probability of every text, sizes of kept contexts), from all training strings in dictionaries.
+
+    With ``ask``, the log10 probability of its last token (None: the end) after the others instead."""
+    end = None
+    rows = {doc: [end, *lower(text).split(), end] for doc, text in texts}
+    unigrams, follow = Counter(), {}
+    for doc, row in rows.items():
+        if held(doc, 7, 2):
+            continue
+        unigrams.update(row[1:])
+        for i in range(1, len(row)):
+            for size in range(1, min(depth, i) + 1):
+                follow.setdefault(tuple(row[i - size:i]), Counter())[row[i]] += 1
+    floor = sum(unigrams.values()) + len(unigrams) + 1
+    kept = {}
+
+    def p(context, token):
+        while context and context not in kept:
+            context = context[1:]
+        if not context:
+            return (unigrams[token] + 1) / floor
+        seen = follow[context]
+        prior = weight * len(seen)
+        return (seen[token] + prior * p(context[1:], token)) / (seen.total() + prior)
+
+    for context in sorted(follow, key=len):
+        seen, total = follow[context], follow[context].total()
+        if total < least_count:
+            continue
+        prior = weight * len(seen)
+        gain = 0.0
+        for token, n in seen.items():
+            q = p(context[1:], token)
+            gain += n * math.log((n - 1 + prior * q) / (total - 1 + prior) / q)
+        if gain >= least_gain:
+            kept[context] = gain
+    if ask is not None:
+        return math.log10(p((end, *ask[:-1])[-depth:], ask[-1])), ()
+    return {doc: sum(math.log10(p(tuple(row[max(i - depth, 0):i]), row[i])) for i in range(1, len(row))) for doc, row in rows.items()}, {len(c) for c in kept}

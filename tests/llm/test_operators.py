@@ -231,32 +231,42 @@ def test_base_scores(docs, plain):
             assert r["base_score"] == pytest.approx(base) and r["score"] < 0 and r["held_out"] == brute.held(r["doc_id"], 7, 2)
 
 
-def test_tree_walks_to_the_longest_suffix():
+def test_scores_of_the_tree(spark):
     rng = np.random.default_rng(2)
-    text = rng.integers(0, 4, 3000).astype(np.uint8)
-    nodes = {}
-    for size in range(3):
-        for p in range(size, len(text)):
-            nodes.setdefault(bytes(text[p - size:p]), []).append(int(text[p]))
-    kept = {c: v for c, v in nodes.items() if len(c) < 2 or c[0] != 2}
-    tree = suffix_tree.Tree([(c, *map(list, zip(*sorted({s: v.count(s) for s in v}.items())))) for c, v in kept.items()], symbols=4)
-    assert np.allclose((10.0 ** tree.log10p).sum(axis=1), 1, atol=1e-5)
-    begin = np.array([0, 700, 700, 3000])
-    plain = []
-    states = {}
-    for lo, hi in zip(begin[:-1], begin[1:]):
-        total, history = 0.0, bytes([0] * tree.depth)
-        for s in text[lo:hi]:
-            c = next(history[k:] for k in range(len(history) + 1) if history[k:] in kept)
-            if c not in states:
-                state = 0
-                for x in c:
-                    state = tree.step[state, x]
-                states[c] = state
-            total += tree.log10p[states[c], s]
-            history = (history + bytes([s]))[-tree.depth:]
-        plain.append(total)
-    assert np.allclose(tree.score(text, begin), plain, rtol=1e-5)
+    chain = {w: rng.choice(30, 3) for w in range(30)}  # mostly, a word leaves three words to follow
+    texts = []
+    for doc in range(200):
+        w, words = 0, []
+        for _ in range(int(rng.integers(0, 60))):
+            w = int(rng.choice(chain[w % 30])) if rng.random() < 0.9 else int(rng.integers(0, 400))
+            words.append(f"w{w}")
+        far = rng.integers(0, 5, 8)  # what comes after d is told by the word four before it
+        texts.append((doc, " ".join(words) if doc % 3 else " ".join(f"a{k} b c d e{k}" for k in far)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for limits in ({}, {"depth": 2, "least_count": 5, "least_gain": 2.0, "weight": 1.0}):
+        want, sizes = brute.tree_scores(texts, **limits)
+        assert min(sizes) == 1 and max(sizes) == limits.get("depth", 4)
+        for frequent in (3, 1 << 18):
+            got = {r["doc_id"]: r["score"] for r in suffix_tree.score(df, frequent=frequent, **limits).collect()}
+            assert got == pytest.approx(want)
+
+
+def test_probabilities_of_the_tree_sum_to_one():
+    texts = [(i, "a b c a b d") for i in range(40)]
+    known = [b"a", b"b", b"c", b"d", None]
+    p = [brute.tree_scores(texts, ask=(b"a", b"b", w))[0] for w in [*known, b"unseen"]]
+    assert sum(10 ** x for x in p) == pytest.approx(1)
+
+
+def test_contexts_grow_with_the_text(spark):
+    def kept(n):
+        texts = [(i, " ".join(f"x{i % n}y{j}" for j in range(20))) for i in range(30 * n)]
+        df = spark.createDataFrame(texts, "doc_id long, text string")
+        words = suffix_tree.token_counts(df)
+        return suffix_tree.learn(df, words, 1000.0).where("value < 0").count()
+
+    few, many = kept(2), kept(8)
+    assert few >= 40 and many > 3 * few
 
 
 def test_score_beats_base_on_held_out_text(spark):
