@@ -13,7 +13,7 @@ dealt to several by hash, each with a run over the text of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,14 +136,23 @@ def packed(held: list[np.ndarray], parts: int, least: int) -> pa.RecordBatch:
 
 def frequent(docs: DataFrame, filters: list, level: int, parts: int, segment_bits: int, least: int) -> Filter:
     """The filter of phrases of ``level`` words; ``filters`` are broadcasts of those of shorter ones."""
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        have = [f.value for f in filters]
+        for b in slices(batch, limit=RUN):
+            *_, (_, h) = chains(Words(b), have)
+            yield h
+
+    return repeated(docs, hashes, parts, segment_bits, least)
+
+
+def repeated(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], parts: int, segment_bits: int, least: int) -> Filter:
+    """The filter of the hashes found ``least`` times or more in all batches; none of them is missed."""
     kind = np.min_scalar_type(least)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        have = [f.value for f in filters]
         for batch in batches:
-            for b in slices(batch, limit=RUN):
-                *_, (_, h) = chains(Words(b), have)
+            for h in hashes(batch):
                 held.append(h)
                 n += len(h)
                 if n >= HELD:

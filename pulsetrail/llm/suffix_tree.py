@@ -8,13 +8,15 @@ estimate, must reach ``least_gain``. So chance repeats, which a plain divergence
 don't pass, and what is kept grows with the text: there is no limit to the number of contexts.
 
 A kept context's distribution is (n + prior * p) / (total + prior), with p that of the next shorter
-kept one and prior ``weight`` times its number of kinds of next tokens; at the root p is the base
-score's (c + 1) / (N + V + 1). A token's probability is that of its longest kept context. Its logarithm is a sum of numbers by key: the token's base score, for each
+kept one. Next tokens that came at least ``least_string`` times there are told apart; n and total are
+of these, and prior is ``weight`` times their number of kinds and the occurrences of all others, which
+are thus left to the shorter context. At the root p is the base score's (c + 1) / (N + V + 1). A token's probability is that of its longest kept context. Its logarithm is a sum of numbers by key: the token's base score, for each
 kept context log(prior / (total + prior)), and for each next token seen there log((n + prior * p) /
 (prior * p)). So scoring is a lookup: numbers of frequent keys (a bounded table) are found in the
 task, the others are joined, and neither the tree nor a text's tokens ever stand in one place.
 
-Levels are counted one after the other. A string of ``m`` tokens has a 64-bit number made of those
+Levels are counted one after the other, each in two runs over the text: one in which packed hashes
+tell the strings that may come often enough, one that counts these exactly. A string of ``m`` tokens has a 64-bit number made of those
 of its last and of its first ``m - 1`` tokens; a bit filter of fixed size tells which contexts came
 often enough to be counted. Its false hits cost work and are dropped by the exact counts.
 """
@@ -33,15 +35,18 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pulsetrail.llm.common import (LOWER, column, held_out, keyed, mix, public_id, row_of, slices, stored,
                                    text_buffer, word_bounds, word_hashes)
+from pulsetrail.llm.phrases import Filter, repeated
 
 DEPTH = 4
-#: occurrences of a context, and nats it must gain, to be kept; weight of the shorter context per kind of next token
-LEAST_COUNT, LEAST_GAIN, WEIGHT = 20, 10.0, 3.0
+#: occurrences of a context, and nats it must gain, to be kept; occurrences of a next token there to be told apart; weight of the shorter context per kind of these
+LEAST_COUNT, LEAST_GAIN, LEAST_STRING, WEIGHT = 20, 10.0, 3, 3.0
 #: keys whose numbers every task holds
 FREQUENT = 1 << 18
 END_TOKEN = -1
 #: filter of 2^27 bits: 2^21 words of 64
 FILTER_WORDS = 21
+#: most bits of a filter of strings
+STRING_BITS = 1 << 29
 #: distinct strings that a counting task holds
 HELD = 1 << 20
 
@@ -143,21 +148,33 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def string_counts(docs: DataFrame, size: int, bits: Broadcast) -> DataFrame:
-    """``ctx, last, n``: every context of ``size`` tokens in the filter, with the string of ``size`` tokens that ends one later."""
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+def following(batch: pa.RecordBatch, size: int, bits: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Strings, contexts of ``size`` tokens that are in the filter, and strings of ``size`` tokens that end one later."""
+    for b in slices(batch):
+        *_, (_, ctx, last) = levels(*tokens(*text_buffer(column(b, "text"))), size)
+        some = in_filter(bits, ctx)
+        ctx, last = ctx[some], last[some]
+        yield [joined(last, ctx), ctx, last]
+
+
+def string_counts(docs: DataFrame, size: int, bits: Broadcast, parts: int, segment_bits: int, least: int) -> DataFrame:
+    """``ctx, last, n``: contexts of ``size`` tokens in the filter with the string of ``size`` tokens that ends one later, if found ``least`` times."""
+    docs = docs.select("text")
+    often = docs.sparkSession.sparkContext.broadcast(
+        repeated(docs, lambda batch: (found[0] for found in following(batch, size, bits.value)), parts, segment_bits, least))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        may: Filter = often.value
         for batch in batches:
-            for b in slices(batch):
-                *_, (_, ctx, last) = levels(*tokens(*text_buffer(column(b, "text"))), size)
-                some = in_filter(bits.value, ctx)
-                ctx, last = ctx[some], last[some]
-                yield [joined(last, ctx), ctx, last]
+            for found in following(batch, size, bits.value):
+                some = may.has(found[0])
+                yield [x[some] for x in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in folded(parts(batches), ["string", "ctx", "last"]):
+        for b in folded(kept(batches), ["string", "ctx", "last"]):
             yield b.select(["ctx", "last", "n"])
 
-    return docs.select("text").mapInArrow(run, "ctx long, last long, n long").groupBy("ctx", "last").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "ctx long, last long, n long").groupBy("ctx", "last").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def largest(rows: DataFrame, value: str, most: int) -> DataFrame:
@@ -179,23 +196,29 @@ def smoothed(n: Column, total: Column, p: Column, prior: Column) -> Column:
     return (n + prior * p) / (total + prior)
 
 
-def learn(docs: DataFrame, words: DataFrame, floor: float, depth: int = DEPTH, least_count: int = LEAST_COUNT,
-          least_gain: float = LEAST_GAIN, weight: float = WEIGHT) -> DataFrame | None:
+def learn(docs: DataFrame, words: DataFrame, train: int, floor: float, depth: int = DEPTH, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN,
+          least_string: int = LEAST_STRING, weight: float = WEIGHT) -> DataFrame | None:
     """The tree as numbers by key: ``key, n, value``, the logarithms to add where a text has that context (its number's
-    complement is the key) or that string (its number). ``words`` are the token counts of ``docs``. None without contexts."""
+    complement is the key) or that string (its number). ``words`` are the counts of the ``train`` tokens of ``docs``. None without contexts."""
     sc = docs.sparkSession.sparkContext
+    parts = max(1 << max(train >> 19, 1).bit_length(), 16)  # some 4 MB of text for each
+    segment_bits = max(min(1 << (2 * train).bit_length(), STRING_BITS) // parts, 64)
     shorter = words.select(F.col("key").alias("last"), ((F.col("n") + 1) / F.lit(floor)).alias("p"))
-    often = words.select(F.col("key").alias("ctx"), "n")
+    often = words.select(F.col("key").alias("ctx"), F.col("n").alias("times"))
     found = []
-    n, total, p, prior = F.col("n"), F.col("total"), F.col("p"), F.col("prior")
+    n, total, p, prior, rest = (F.col(c) for c in ("n", "total", "p", "prior", "rest"))
     for size in range(1, depth + 1):
-        bits = bit_filter(often.where(n >= least_count), "ctx")
+        often = often.where(F.col("times") >= least_count)
+        bits = bit_filter(often, "ctx")
         if not bits.any():
             break
-        counts = stored(string_counts(docs, size, sc.broadcast(bits)), f"strings-{size}")
-        totals = counts.groupBy("ctx").agg(F.sum("n").alias("total"), (weight * F.count("*")).alias("prior")).where(total >= least_count)
-        rated = stored(counts.join(totals, "ctx").join(shorter, "last"), f"rated-{size}")
-        kept = stored(rated.groupBy("ctx").agg(F.sum(n * F.log(smoothed(n - 1, total - 1, p, prior) / p)).alias("gain"), F.first("total").alias("total"), F.first("prior").alias("prior"))
+        counts = stored(string_counts(docs, size, sc.broadcast(bits), parts, segment_bits, least_string), f"strings-{size}")
+        shape = (counts.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).join(often, "ctx")
+                 .select("ctx", "total", (F.col("times") - total).alias("rest"), (weight * F.col("kinds") + F.col("times") - total).alias("prior")))
+        rated = stored(counts.join(shape, "ctx").join(shorter, "last"), f"rated-{size}")
+        own = F.sum(n * F.log(smoothed(n - 1, total - 1, p, prior) / p))
+        others = F.first(rest * F.log(prior / (total + prior)))
+        kept = stored(rated.groupBy("ctx").agg((own + others).alias("gain"), F.first("total").alias("total"), F.first("prior").alias("prior"))
                       .where(F.col("gain") >= least_gain).select("ctx", "total", "prior"), f"kept-{size}")
         level = stored(rated.join(kept.select("ctx", F.lit(True).alias("kept")), "ctx", "left")
                        .select(joined_column("last", "ctx").alias("string"), "n", "p", "prior", F.coalesce("kept", F.lit(False)).alias("kept"),
@@ -203,12 +226,12 @@ def learn(docs: DataFrame, words: DataFrame, floor: float, depth: int = DEPTH, l
         found.append(kept.select(F.bitwise_not("ctx").alias("key"), total.alias("n"), F.log10(prior / (total + prior)).alias("value")))
         found.append(level.where("kept").select(F.col("string").alias("key"), "n", F.log10(1 + n / (prior * p)).alias("value")))
         shorter = level.select(F.col("string").alias("last"), F.col("q").alias("p"))
-        often = level.select(F.col("string").alias("ctx"), "n")
+        often = level.select(F.col("string").alias("ctx"), F.col("n").alias("times"))
     return reduce(DataFrame.unionAll, found) if found else None
 
 
 def score(docs: DataFrame, mod: int = 7, remainder: int = 2, depth: int = DEPTH, frequent: int = FREQUENT, least_count: int = LEAST_COUNT,
-          least_gain: float = LEAST_GAIN, weight: float = WEIGHT) -> DataFrame:
+          least_gain: float = LEAST_GAIN, least_string: int = LEAST_STRING, weight: float = WEIGHT) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every text.
 
     Learns from the documents whose ``crc32(doc_id) mod 7`` is not 2. A null or empty text is one end
@@ -222,7 +245,7 @@ def score(docs: DataFrame, mod: int = 7, remainder: int = 2, depth: int = DEPTH,
     train, floor = int(seen["N"]), float(seen["N"] + seen["V"] + 1)
     numbers = words.select("key", "n", F.log10(F.col("n") + 1).alias("base"), F.lit(0.0).alias("value"), F.lit(1).alias("known"))
     bits = np.zeros(1 << FILTER_WORDS, np.uint64)
-    tree = learn(training, words, floor, depth, least_count, least_gain, weight)
+    tree = learn(training, words, train, floor, depth, least_count, least_gain, least_string, weight)
     if tree is not None:
         tree = stored(tree, "tree")
         bits = bit_filter(tree, "key")

@@ -172,7 +172,7 @@ def variants(rows: list[tuple[int | None, str | None]], least: int = 2, times: i
     return out
 
 
-def tree_scores(texts, depth=4, least_count=20, least_gain=10.0, weight=3.0, ask=None):
+def tree_scores(texts, depth=4, least_count=20, least_gain=10.0, least_string=3, weight=3.0, ask=None):
     """(log10 probability of every text, sizes of kept contexts), from all training strings in dictionaries.
 
     With ``ask``, the log10 probability of its last token (None: the end) after the others instead."""
@@ -189,26 +189,29 @@ def tree_scores(texts, depth=4, least_count=20, least_gain=10.0, weight=3.0, ask
     floor = sum(unigrams.values()) + len(unigrams) + 1
     kept = {}
 
+    def shape(context):
+        seen = {t: n for t, n in follow[context].items() if n >= least_string}
+        rest = follow[context].total() - sum(seen.values())
+        return seen, sum(seen.values()), rest, weight * len(seen) + rest
+
     def p(context, token):
         while context and context not in kept:
             context = context[1:]
         if not context:
             return (unigrams[token] + 1) / floor
-        seen = follow[context]
-        prior = weight * len(seen)
-        return (seen[token] + prior * p(context[1:], token)) / (seen.total() + prior)
+        seen, total, _, prior = kept[context]
+        return (seen.get(token, 0) + prior * p(context[1:], token)) / (total + prior)
 
     for context in sorted(follow, key=len):
-        seen, total = follow[context], follow[context].total()
-        if total < least_count:
+        seen, total, rest, prior = shape(context)
+        if total + rest < least_count or not seen:
             continue
-        prior = weight * len(seen)
-        gain = 0.0
+        gain = rest * math.log(prior / (total + prior))
         for token, n in seen.items():
             q = p(context[1:], token)
             gain += n * math.log((n - 1 + prior * q) / (total - 1 + prior) / q)
         if gain >= least_gain:
-            kept[context] = gain
+            kept[context] = seen, total, rest, prior
     if ask is not None:
         return math.log10(p((end, *ask[:-1])[-depth:], ask[-1])), ()
     return {doc: sum(math.log10(p(tuple(row[max(i - depth, 0):i]), row[i])) for i in range(1, len(row))) for doc, row in rows.items()}, {len(c) for c in kept}

@@ -243,7 +243,7 @@ def test_scores_of_the_tree(spark):
         far = rng.integers(0, 5, 8)  # what comes after d is told by the word four before it
         texts.append((doc, " ".join(words) if doc % 3 else " ".join(f"a{k} b c d e{k}" for k in far)))
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    for limits in ({}, {"depth": 2, "least_count": 5, "least_gain": 2.0, "weight": 1.0}):
+    for limits in ({}, {"depth": 2, "least_count": 5, "least_gain": 2.0, "least_string": 2, "weight": 1.0}):
         want, sizes = brute.tree_scores(texts, **limits)
         assert min(sizes) == 1 and max(sizes) == limits.get("depth", 4)
         for frequent in (3, 1 << 18):
@@ -263,7 +263,7 @@ def test_contexts_grow_with_the_text(spark):
         texts = [(i, " ".join(f"x{i % n}y{j}" for j in range(20))) for i in range(30 * n)]
         df = spark.createDataFrame(texts, "doc_id long, text string")
         words = suffix_tree.token_counts(df)
-        return suffix_tree.learn(df, words, 1000.0).where("value < 0").count()
+        return suffix_tree.learn(df, words, 630 * n, 1000.0 * n).where("value < 0").count()
 
     few, many = kept(2), kept(8)
     assert few >= 40 and many > 3 * few
