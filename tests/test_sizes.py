@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pulsetrail.operators import dedup as D, ledger as L
 from tests.oracle import TABLES, compare, duck
 
@@ -15,3 +16,22 @@ def test_ids_that_meet_by_chance_drop_no_item(spark):
     assert items.filter("arrival < 3").select("event_id").distinct().count() == 1
     got = D.dedup_event_id(items, known, ["label", "title"]).select("arrival").collect()
     assert sorted(r["arrival"] for r in got) == [1, 2]
+
+
+def _pages(spark, folder, n):
+    """The smallest tables, by reference, with ``n`` pages."""
+    k = F.col("id")
+    spark.range(n).select(
+        k.alias("page_id"), F.concat(F.lit("http://h"), (k % 7).cast("string"), F.lit(".example/"), k.cast("string")).alias("url"),
+        F.lit("<p>the x</p>").alias("html")).coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    for t in TABLES:
+        if t != "pages":
+            (folder / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    con = duck("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    return con
+
+
+def test_feed_items_of_many_documents(spark, tmp_path):
+    con = _pages(spark, tmp_path, 3500)
+    assert compare(entry.queries()["src_feed_items"](spark, str(tmp_path)), con, entry.oracle_sql()["src_feed_items"]) == ""
