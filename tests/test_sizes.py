@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pulsetrail.operators import dedup as D, ledger as L
+from pulsetrail.streaming import operators as ST
 from tests.oracle import TABLES, compare, duck
 
 
@@ -35,3 +36,12 @@ def _pages(spark, folder, n):
 def test_feed_items_of_many_documents(spark, tmp_path):
     con = _pages(spark, tmp_path, 3500)
     assert compare(entry.queries()["src_feed_items"](spark, str(tmp_path)), con, entry.oracle_sql()["src_feed_items"]) == ""
+
+
+def test_links_seen_long_ago_do_not_come_again(spark, tmp_path):
+    links = spark.range(1000).select(F.lit("h").alias("label"), F.concat(F.lit("http://h/"), F.col("id") % 900).alias("url"), F.col("id").alias("arrival"))
+    for part in ("id < 450", "id between 450 and 899", "id >= 900"):    # one after the other: a batch each, the last one repeats the first
+        links.filter(part.replace("id", "arrival")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(links.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    ST.seen_links(stream, f"{tmp_path}/out", keep=None)
+    assert spark.read.schema(ST.LINKS).parquet(f"{tmp_path}/out/fresh").select("url").count() == 900
