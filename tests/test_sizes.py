@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from pulsetrail.operators import dedup as D, ledger as L
+from pulsetrail.operators import dedup as D, ledger as L, scoring as S
 from pulsetrail.streaming import operators as ST
 from tests.oracle import TABLES, compare, duck
 
@@ -45,3 +45,13 @@ def test_links_seen_long_ago_do_not_come_again(spark, tmp_path):
     stream = spark.readStream.schema(links.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     ST.seen_links(stream, f"{tmp_path}/out", keep=None)
     assert spark.read.schema(ST.LINKS).parquet(f"{tmp_path}/out/fresh").select("url").count() == 900
+
+
+def test_mean_move_on_a_tie_goes_up(spark):
+    # 13.265 exactly; as doubles it falls short of that
+    moves = [5.29, -21.24]
+    scores = spark.createDataFrame([("s", "scored", "url", "demand", 3, "high", True, m) for m in moves],
+                                   "series_id string, status string, date_source string, axis string, impact_strength int, "
+                                   "confidence string, hit boolean, actual_pct double").coalesce(1)
+    got = {r["mean_abs_move_pct"] for r in S.hit_summary(scores).collect()}
+    assert got == {13.27}
