@@ -1,9 +1,12 @@
 """Faults that only showed on larger tables, each on a small table made for it."""
 
+import random
+from datetime import date
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from pulsetrail.operators import dedup as D, ledger as L, scoring as S
+from pulsetrail.operators import dedup as D, ledger as L, neardup as N, scoring as S
 from pulsetrail.streaming import operators as ST
 from tests.oracle import TABLES, compare, duck
 
@@ -55,3 +58,23 @@ def test_mean_move_on_a_tie_goes_up(spark):
                                    "confidence string, hit boolean, actual_pct double").coalesce(1)
     got = {r["mean_abs_move_pct"] for r in S.hit_summary(scores).collect()}
     assert got == {13.27}
+
+
+def _shuffled(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_near_duplicates_ship_signatures_not_tokens(spark):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(4000)]
+    rows = [(i, f"A{i}", " ".join(rnd.sample(words, 400)), "short", None, date(2024, 1, 1 + i % 20), date(2024, 1, 1 + i % 20), None)
+            for i in range(300)]
+    df = spark.createDataFrame(rows, ST.STORIES)
+    before, size = _shuffled(spark), sum(len(r[2]) for r in rows)
+    assert N.near_dup_prune(df, F.lit(date(2024, 2, 1))).count() == 0
+    assert _shuffled(spark) - before < 30 * size
+    before = _shuffled(spark)
+    items = df.filter("arrival < 150").select("arrival", "raw_title", "title", F.col("raw_url").alias("url"), F.col("date").alias("anchor"))
+    assert N.near_dup_lookup(items, df.filter("arrival >= 150"), F.lit(date(2024, 2, 1))).count() == 0
+    assert _shuffled(spark) - before < 20 * size
