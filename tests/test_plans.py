@@ -56,3 +56,8 @@ def test_ranks_are_not_got_by_dealing_the_ledger_by_series(spark):
 def test_scans_read_only_what_is_used(spark):
     line = [s for s in re.findall(r"ReadSchema: (\S+)", plan_of(spark, "period_verdict")) if "l_orderkey" in s]
     assert line and all("l_tax" not in s and "l_quantity" not in s for s in line)
+
+
+@pytest.mark.parametrize("name", ["pressure_correlation", "event_window_join", "hit_scores", "hit_summary"])
+def test_series_are_summed_once_for_all_their_uses(spark, name):
+    assert not [s for s in re.findall(r"ReadSchema: (\S+)", plan_of(spark, name)) if "l_extendedprice" in s]
