@@ -23,6 +23,8 @@ import regex
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LONG = 48
+#: slots of the table of pairs: at most a fifth are taken
+SLOT_BITS = 18
 
 
 def byte_letters() -> list[str]:
@@ -46,16 +48,40 @@ class MergeTable:
         self.final = np.array([vocab[x + end] for x in letters], dtype=np.int64)
         keys = np.array([(vocab[a] << 20) | vocab[b] for a, b in merges], dtype=np.int64)
         made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
-        order = np.argsort(keys)
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
         self.none = len(keys)
-        self.made_by_rank = made
+        # pairs by open addressing: a pair lies at its hash's slot or in the next free one
+        self.slots, self.rank = np.full((1 << SLOT_BITS) + len(keys), -1, np.int64), np.full((1 << SLOT_BITS) + len(keys), self.none, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.slots[at[left]] < 0)
+            _, one = np.unique(at[left[free]], return_index=True)
+            put = left[free[one]]
+            self.slots[at[put]], self.rank[at[put]] = keys[put], put
+            left = np.setdiff1d(left, put)
+            at[left] += self.slots[at[left]] >= 0
+        self.made_by_rank = made.astype(np.int32)
+        both = np.concatenate([self.inner, self.final])
+        # ranks of two bytes inside a word, and of its last two (512 columns)
+        self.first_ranks = self.ranks(np.repeat(self.inner, 512), np.tile(both, 256)).reshape(256, 512)
         self.pattern = regex.compile("\n|" + WORD_PATTERN)
 
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = (left << 20) | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank[at], self.none)
+        key = (left.astype(np.int64) << 20) | right
+        at = self._slot(key)
+        found = self.slots[at]
+        out = np.where(found == key, self.rank[at], self.none)
+        more = np.flatnonzero((found != key) & (found >= 0))
+        while len(more):
+            at[more] += 1
+            found = self.slots[at[more]]
+            hit = found == key[more]
+            out[more[hit]] = self.rank[at[more[hit]]]
+            more = more[~hit & (found >= 0)]
+        return out
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of non-empty words: all ids in order, and where each word's begin (one more at the end)."""
@@ -82,39 +108,43 @@ class MergeTable:
         return out, begin
 
     def _merge_short(self, words: list[bytes], n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
-        symbols, n = self.inner[raw], n.copy()
-        rows = np.arange(len(words))
-        symbols[rows, n - 1] = self.final[raw[rows, n - 1]]
-        ranks = np.full((len(words), width), self.none, np.int64)
+        """A row of symbols a word, and how many; worked on with a column a word, so that each step runs along memory."""
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width).T
+        n, rows, letter = n.astype(np.int32), np.arange(len(words)), raw.astype(np.int32)
+        letter[n - 1, rows] += 256
+        symbols = np.concatenate([self.inner, self.final]).astype(np.int32)[letter]
+        ranks = np.full((width, len(words)), self.none, np.int32)
         if width > 1:
-            ranks[:, :-1] = self.ranks(symbols[:, :-1], symbols[:, 1:])
-        ranks[np.arange(width) >= n[:, None] - 1] = self.none
-        done_symbols, done_n = symbols, n
-        live, col = rows, np.arange(width)
-        symbols, n = symbols.copy(), n.copy()
+            ranks[:-1] = self.first_ranks[raw[:-1], letter[1:]]
+        ranks[np.arange(width)[:, None] >= n - 1] = self.none
+        done_symbols, done_n, live = np.zeros((len(words), width), np.int32), np.zeros(len(words), np.int64), rows
         while len(live):
-            at = ranks.argmin(axis=1)
-            best = ranks[np.arange(len(live)), at]
+            best, at = ranks[0].copy(), np.zeros(len(live), np.int32)
+            for k in range(1, len(ranks)):
+                less = ranks[k] < best
+                np.copyto(best, ranks[k], where=less)
+                at[less] = k
             stop = best == self.none
             if stop.any():
-                done_symbols[live[stop]], done_n[live[stop]] = symbols[stop], n[stop]
-                go = ~stop
-                live, symbols, ranks, n, at, best = live[go], symbols[go], ranks[go], n[go], at[go], best[go]
+                done_symbols[live[stop], :len(symbols)], done_n[live[stop]] = symbols[:, stop].T, n[stop]
+                go = np.flatnonzero(~stop)
+                live, n, at, best = live[go], n[go], at[go], best[go]
                 if not len(live):
                     break
+                most = int(n.max())
+                symbols, ranks = symbols[:most, go], ranks[:most, go]
             i = np.arange(len(live))
-            move = np.minimum(col + (col > at[:, None]), width - 1)
-            symbols, ranks = np.take_along_axis(symbols, move, 1), np.take_along_axis(ranks, move, 1)
-            symbols[i, at] = self.made_by_rank[best]
+            for k in range(len(symbols) - 1):
+                move = at < k
+                np.copyto(symbols[k], symbols[k + 1], where=move)
+                np.copyto(ranks[k], ranks[k + 1], where=at <= k)
+            symbols[at, i] = made = self.made_by_rank[best]
             n -= 1
-            for p, q in ((at - 1, at), (at, at + 1)):
-                ok = (p >= 0) & (q < n)
-                new = np.full(len(live), self.none, np.int64)
-                new[ok] = self.ranks(symbols[i[ok], p[ok]], symbols[i[ok], q[ok]])
-                put = p >= 0
-                ranks[i[put], p[put]] = new[put]
-            ranks[i, np.minimum(n - 1, width - 1)] = self.none
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at + 1 < n)
+            ranks[at, i] = self.none
+            ranks[at[left] - 1, left] = self.ranks(symbols[at[left] - 1, left], made[left])
+            ranks[at[right], right] = self.ranks(made[right], symbols[at[right] + 1, right])
+            ranks[n - 1, i] = self.none
         return done_symbols, done_n
 
     def _merge_long(self, word: bytes) -> np.ndarray:
@@ -279,8 +309,8 @@ class Encoder:
 
     LIMIT = 150_000
 
-    def __init__(self, table: MergeTable, lexicon: Lexicon | None = None):
-        self.table, self.lexicon = table, lexicon
+    def __init__(self, table: MergeTable, lexicon: Lexicon | None = None, limit: int = LIMIT):
+        self.table, self.lexicon, self.limit = table, lexicon, limit
         self.known: dict[bytes, bytes] = {}
         self.again: set[bytes] = set()
 
@@ -314,9 +344,9 @@ class Encoder:
         """Chunks of the rows that ``known`` lacks; of a memory grown too large, only what has come back is kept."""
         met = set().union(*rows) if rows else set()
         new = list(met.difference(known))
-        if len(known) > self.LIMIT // 2:
+        if len(known) > self.limit // 2:
             self.again.update(met.difference(new))
-        if len(known) > self.LIMIT:
+        if len(known) > self.limit:
             kept = {c: known[c] for c in self.again}
             known.clear()
             known.update(kept)
@@ -362,6 +392,8 @@ class Spelling:
         return list(map(raw.__getitem__, map(slice, bounds[:-1], bounds[1:])))
 
 
+#: chunks that an encoder without a lexicon remembers, some 150 bytes each: what it forgets it merges again
+MEMORY = 500_000
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -369,5 +401,5 @@ def encoder(path: str) -> Encoder:
     """This worker's encoder of the vocabulary: what one task has learned serves the next."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(merge_table(path))
+        _ENCODERS[path] = Encoder(merge_table(path), limit=MEMORY)
     return _ENCODERS[path]

@@ -189,3 +189,31 @@ def test_no_group_is_cut():
         assert pa.concat_tables(got).equals(table)
         ends = [set(t.column("k").to_pylist()) for t in got]
         assert all(not a & b for a, b in zip(ends, ends[1:]))
+
+
+def test_a_task_of_many_words_merges_none_again():
+    import itertools
+
+    from pulsetrail.llm import bpe
+    from pulsetrail.llm.queries import WORD_BPE
+    words = ["".join(w).encode() for w in itertools.islice(itertools.product("etaoinsr", repeat=6), 200_000)]
+    e = bpe.Encoder(bpe.merge_table(WORD_BPE), limit=bpe.MEMORY)
+    assert bpe.encoder(WORD_BPE).limit == bpe.MEMORY
+    for lo in range(0, len(words), 10_000):
+        e.learn([words[lo:lo + 10_000]])
+    assert e.new_chunks([words[:10_000]], e.known) == []
+
+
+def test_ranks_of_all_pairs():
+    import json
+
+    from pulsetrail.llm import bpe
+    from pulsetrail.llm.queries import WORD_BPE
+    table = bpe.merge_table(WORD_BPE)
+    with open(WORD_BPE, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    left, right = (np.array([model["vocab"][p[i]] for p in model["merges"]]) for i in (0, 1))
+    assert (table.ranks(left, right) == np.arange(len(left))).all()
+    pairs, unlike = set(zip(left.tolist(), right.tolist())), np.random.default_rng(1).integers(0, len(model["vocab"]), (2, 100_000))
+    new = np.array([p not in pairs for p in zip(*unlike.tolist())])
+    assert (table.ranks(*unlike)[new] == table.none).all()
