@@ -61,3 +61,10 @@ def test_scans_read_only_what_is_used(spark):
 @pytest.mark.parametrize("name", ["pressure_correlation", "event_window_join", "hit_scores", "hit_summary"])
 def test_series_are_summed_once_for_all_their_uses(spark, name):
     assert not [s for s in re.findall(r"ReadSchema: (\S+)", plan_of(spark, name)) if "l_extendedprice" in s]
+
+
+def test_series_documents_keep_no_table_of_every_point(spark):
+    from pulsetrail.catalog.bindings import Views
+    from pulsetrail.catalog.series import series_documents
+    plan = series_documents(Views(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" in plan and not re.search(r"Aggregate\(keys=\[[^\]]*order_id", plan)

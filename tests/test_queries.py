@@ -2,7 +2,9 @@
 
 import os
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.oracle import compare, duck
@@ -46,3 +48,18 @@ def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert len({r["series_id"] for r in rows}) == 5
     assert all(r["direction"] in ("+", "-") for r in rows)
+
+
+def test_series_points_that_repeat_a_place(spark, tmp_path):
+    """Lines that come again at other prices, in any order: the dearest counts."""
+    for name in ("orders", "customer"):
+        os.symlink(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    line = spark.read.parquet(f"{SF}/lineitem.parquet")
+    price = lambda e: line.withColumn("l_extendedprice", F.expr(e))
+    again = price("l_extendedprice + (l_orderkey % 5 - 2) * 10").unionByName(line).unionByName(price("l_extendedprice - 1"))
+    again.repartition(5).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    for name in ("orders", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert compare(QUERIES["src_series"](spark, str(tmp_path)), con, SQL["src_series"]) == ""
