@@ -1,6 +1,8 @@
 """Readers on small literal files."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +84,33 @@ def test_labelled_lists(spark, put):
     assert [(r["label"], r["value"]) for r in lists.read_feed_list(spark, path).collect()] == [("news", "three | four")]
 
 
+def test_fragments_of_arrays_are_not_dealt_by_split(spark, put, tmp_path):
+    """Only elements at the borders of splits are shuffled: no sum runs over the fragments of a split."""
+    put("a.json", json.dumps([{"event_id": "A}"}] * 9))
+    df = arrays.array_elements(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and not re.search(r"Window .*\[file#\d+, block#", plan)
+    assert sorted(r["element"] for r in df.collect()) == list(range(9))
+
+
+@pytest.mark.parametrize("split", ["3b", "128m"])
+def test_arrays_of_random_texts(spark, tmp_path, split):
+    rnd, want = random.Random(11), {}
+    text = lambda: "".join(rnd.choice('{}"\\,[]a\u00e9 \n') for _ in range(rnd.randrange(9)))
+    for i in range(8):
+        rows = [{text() + str(k): rnd.choice([text(), {"x": text(), "y": [{}, text()]}, [], 5]) for k in range(rnd.randrange(3))} for _ in range(rnd.randrange(6))]
+        (tmp_path / f"{i}.json").write_text(json.dumps(rows, ensure_ascii=False, indent=rnd.choice([None, 1])), encoding="utf-8")
+        want |= {(f"{i}.json", k): r for k, r in enumerate(rows)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = arrays.array_elements(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {(r["file"].rsplit("/", 1)[1], r["element"]): json.loads(r["value"]) for r in rows}
+    assert len(rows) == len(got) and got == want
+
+
 def test_feeds(spark, put, tmp_path):
     put("a.xml", "<rss><channel><item><title>T1</title><link> http://a/1 </link><description>x &lt;b&gt;y&lt;/b&gt;</description>"
                  "<pubDate>Tue, 5 Aug 2026 09:12:00 GMT</pubDate></item><item><title>No date</title></item></channel></rss>")
