@@ -59,12 +59,22 @@ def held_out(mod: int, remainder: int) -> Column:
     return F.when(c == NULL_ID, False).otherwise(F.crc32(c.cast("string").cast("binary")) % mod == remainder)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a step to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, label: str, **options) -> DataFrame:
+    """Write a step to the shared folder and read it back: cuts lineage, survives lost executors. ``options`` are the writer's."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*steps: DataFrame) -> None:
+    """Delete ``stored`` steps that nothing will read again."""
+    for df in steps:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +186,11 @@ def coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """XXH3 of 64 bits of each ``data[start:end]``; spans follow one another, and each distinct one is hashed once."""
     number, distinct = coded(data, starts, ends)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))[number]
+    if not len(distinct):
+        return np.zeros(0, np.uint64)
+    _, offsets, raw = distinct.buffers()
+    cuts, raw = np.frombuffer(offsets, np.int64)[distinct.offset:distinct.offset + len(distinct) + 1].tolist(), raw.to_pybytes()
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[lo:hi]) for lo, hi in zip(cuts, cuts[1:])), np.uint64, len(distinct))[number]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

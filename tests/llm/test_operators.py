@@ -1,9 +1,11 @@
 """Every operator against its plain version on awkward documents, and on a given table."""
 
 import hashlib
+import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -269,6 +271,48 @@ def test_contexts_grow_with_the_text(spark):
     assert few >= 40 and many > 3 * few
 
 
+def test_scoring_drops_the_steps_it_has_used(spark):
+    """Counts of a level and shuffle files go when the next step is stored; texts are tokenised once, into a stored step."""
+    from pulsetrail.session import _WRITTEN
+
+    df = spark.createDataFrame([(i, " ".join(f"x{i % 2}y{j}" for j in range(20))) for i in range(60)], "doc_id long, text string")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, conf = len(_WRITTEN.get(id(spark.sparkContext), [])), spark.conf.get(name, None)
+    scored = suffix_tree.score(df)
+    left = [p.rsplit("/", 1)[1] for p in _WRITTEN[id(spark.sparkContext)][before:] if os.path.exists(p.removeprefix("file:"))]
+    assert sorted(p.rsplit("-", 1)[0] for p in left) == ["token-counts", "tokens", "tree"]
+    assert spark.conf.get(name, None) == conf and scored.count() == 60
+
+
+def test_sums_over_rare_keys(monkeypatch):
+    """Bundles by key, then by slots of rows, against plain sums; little is held at once."""
+    monkeypatch.setattr(suffix_tree, "HELD", 100)
+    rng = np.random.default_rng(4)
+    keys = rng.integers(-2**63, 2**63, 300)
+    known, base, value = rng.integers(0, 2, 300), rng.random(300), rng.random(300)
+    first, n, shift = (5 << 40) + (1 << suffix_tree.SLOT) - 40, 90, 60   # rows of two slots
+    ask = np.append(keys[:200], rng.integers(-2**63, 2**63, 50))[rng.integers(0, 250, 4000)]
+    rows = first + rng.integers(0, n, 4000)
+    numbers = pa.RecordBatch.from_pydict({"key": keys, "base": base, "value": value, "known": known})
+    batches = list(suffix_tree._dealt(shift)(numbers.slice(lo, 40) for lo in range(0, 300, 40)))
+    batches += [suffix_tree._rare(rows[lo:lo + 500], ask[lo:lo + 500].view(np.uint64), shift) for lo in range(0, 4000, 500)]
+    def dealt(batches):
+        return iter([pa.Table.from_batches(batches).sort_by([("part", "ascending"), ("kind", "ascending")]).combine_chunks().to_batches()[0]])
+    found = list(suffix_tree._resolved(dealt(batches)))
+    place = (first + np.arange(n)) & ((1 << suffix_tree.SLOT) - 1)
+    for slot in np.unique((first + np.arange(n)) >> suffix_tree.SLOT):
+        mine = ((first + np.arange(n)) >> suffix_tree.SLOT) == slot
+        zero = np.zeros(mine.sum())
+        found.append(suffix_tree.batch_of([suffix_tree.bundle(int(slot), suffix_tree.ROWS, place[mine].astype(np.uint16), np.flatnonzero(mine), zero.astype(np.int8),
+                                                              zero.astype(np.int64), zero.astype(np.int64), zero, zero)]))
+    got = {r["doc_id"]: r for b in suffix_tree._summed(dealt(found)) for r in b.to_pylist()}
+    at = {int(k): i for i, k in enumerate(keys)}
+    for i in range(n):
+        hits = [at[int(k)] for k in ask[rows == first + i] if int(k) in at]
+        assert got[i]["known"] == known[hits].sum()
+        assert (got[i]["base"], got[i]["value"]) == pytest.approx((base[hits].sum(), value[hits].sum()))
+
+
 def test_score_beats_base_on_held_out_text(spark):
     r = (queries.QUERIES["op5_suffix_tree_scoring"](spark, "/root/testdata/sf0.01").where("held_out")
          .agg(F.sum("base_score").alias("b"), F.sum("score").alias("s"), F.count("*").alias("n")).first())
