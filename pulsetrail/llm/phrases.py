@@ -1,14 +1,14 @@
-"""Operator 11: phrase collocations, counted by broadcast double-array tries of Apriori-safe candidates.
+"""Operator 11: phrase collocations, counted by double-array tries of Apriori-safe candidates.
 
 A phrase can only be frequent if all phrases inside it are. Level by level, tasks count hashes of
 words, then of pairs of frequent words, then of triples of frequent pairs; the hashes are shuffled as
 packed arrays, and those that reach the least count set bits of a filter of bounded size. Unlike
 phrases that share a hash only let more through, so nothing frequent is lost. Phrases that pass are
-the candidates. They are laid out in double-array tries over exact word numbers, of at most
-``TRIE`` entries each; a trie is broadcast, tasks advance the states of all their text positions
-together, one word after the other, and count accepting states; counts are shuffled as packed
-arrays and summed. Only these exact counts enter the result. More candidates than a trie holds are
-dealt to several by hash, each with a run over the text of its own.
+the candidates. One more run over the text finds them: a task packs the distinct ones of about
+``HELD`` with how often it saw each, by part of the hash, and the packs are shuffled. A part's
+candidates are laid out in double-array tries over exact word numbers, of at most ``TRIE`` entries
+each, and the tries add up what was seen. Only these exact counts enter the result. So the text is
+run over four times, however many candidates there are.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ ENDS, GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 LONGEST, LEAST, INSIDE, REPORTED = 3, 10, 50, 2000
 #: bits of a hash beyond its part: a part has some 200,000 different ones, however large the input
 LOW_BITS = 24
-#: entries of a trie, bits of a filter, hashes that a task holds, text that a task works on at once, counts in a packed array
-TRIE, FILTER_BITS, HELD, RUN, PACKED = 1_250_000, 1 << 29, 1 << 20, 2 << 20, 1 << 16
+#: entries of a trie, bits of a filter, hashes or phrases that a task holds, text that a task works on at once
+TRIE, FILTER_BITS, HELD, RUN = 1_250_000, 1 << 29, 1 << 20, 2 << 20
 UNKNOWN = "und"
 
 END = np.zeros(256, bool)
@@ -200,42 +200,48 @@ def repeated(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nda
 
 
 def candidates(docs: DataFrame, filters: list, parts: int) -> DataFrame:
-    """Distinct ``lang, a, b, c``: triples, pairs (``c`` null) and their words (``b`` null too); and per language a row without words whose ``n`` counts all words.
+    """``part, lang, phrases, seen, n``: what tasks found of the words, pairs and triples that pass the filters, and how often; and per language rows of part -1 whose ``n`` counts all words.
 
     Tasks pack what they have found by part of the hash, sorted and compressed, so that a phrase costs a few bytes of shuffle a task.
+    All places of a phrase share their hashes, so they pass together and its counts are exact.
     """
     def bundles(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        found = pa.concat_tables(held).group_by(["part", "lang", "phrase"]).aggregate([]).sort_by([("part", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
+        found = pa.concat_tables(held).group_by(["part", "lang", "phrase"]).aggregate([("seen", "sum")])
+        found = found.sort_by([("part", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
         cut = [0, *group_starts(found, ["part", "lang"]).tolist(), found.num_rows]
         press = zstandard.ZstdCompressor(level=3)
-        phrase, at = found.column("phrase"), pa.array(cut[:-1])
+        phrase, seen, at = found.column("phrase"), found.column("seen_sum").to_numpy().astype(np.uint32), pa.array(cut[:-1])
         packed = [press.compress("\n".join(phrase[lo:hi].to_pylist()).encode()) for lo, hi in zip(cut, cut[1:])]  # no word holds a newline
-        yield pa.RecordBatch.from_arrays([found.column("part").take(at).combine_chunks(), found.column("lang").take(at).combine_chunks(), pa.array(packed, pa.binary()), pa.nulls(len(at), pa.int64())],
-                                         names=["part", "lang", "phrases", "n"])
+        many = [press.compress(seen[lo:hi].tobytes()) for lo, hi in zip(cut, cut[1:])]
+        yield pa.RecordBatch.from_arrays([found.column("part").take(at).combine_chunks(), found.column("lang").take(at).combine_chunks(), pa.array(packed, pa.binary()),
+                                          pa.array(many, pa.binary()), pa.nulls(len(at), pa.int64())], names=["part", "lang", "phrases", "seen", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *have, last = (f.value for f in filters)
+        have = [f.value for f in filters]
         held, rows = [], 0
         for batch in batches:
             for b in slices(batch, limit=RUN):
                 w = Words(b)
                 total = np.bincount(w.lang, minlength=len(w.langs))
                 langs, text = w.langs.cast(pa.string()), w.distinct.cast(pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), -1, np.int32)), langs, pa.nulls(len(total), pa.binary()), pa.array(total)], names=["part", "lang", "phrases", "n"])
-                _, (two, pair), (three, triple) = chains(w, have)
-                for size, at, h, f in ((2, two, pair, have[1]), (3, three, triple, last)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), -1, np.int32)), langs, pa.nulls(len(total), pa.binary()), pa.nulls(len(total), pa.binary()), pa.array(total)],
+                                                 names=["part", "lang", "phrases", "seen", "n"])
+                for size, ((at, h), f) in enumerate(zip(chains(w, have[:-1]), have), 1):
                     ok = f.has(h)
                     at, part = at[ok], (h[ok] >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int32)
                     if not len(at):
                         continue
                     # distinct by exact numbers
-                    number = w.lang[at]
+                    number, below = w.lang[at], len(w.langs)
                     for k in range(size):
-                        number = np.unique(number * len(w.distinct) + w.code[at + k], return_inverse=True)[1]
-                    first = np.unique(number, return_index=True)[1]
+                        if below * len(w.distinct) >= 1 << 63:
+                            number = np.unique(number, return_inverse=True)[1]
+                            below = len(number)
+                        number, below = number * len(w.distinct) + w.code[at + k], below * len(w.distinct)
+                    _, first, seen = np.unique(number, return_index=True, return_counts=True)
                     at, part = at[first], part[first]
                     phrase = pc.binary_join_element_wise(*(text.take(pa.array(w.code[at + k])) for k in range(size)), " ")
-                    held.append(pa.table({"part": part, "lang": langs.take(pa.array(w.lang[at])), "phrase": phrase.cast(pa.large_string())}))
+                    held.append(pa.table({"part": part, "lang": langs.take(pa.array(w.lang[at])), "phrase": phrase.cast(pa.large_string()), "seen": seen}))
                     rows += len(at)
                 if rows >= HELD:
                     yield from bundles(held)
@@ -243,31 +249,14 @@ def candidates(docs: DataFrame, filters: list, parts: int) -> DataFrame:
         if held:
             yield from bundles(held)
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def spelled(lang: str, found: set[bytes], n: int | None) -> pa.RecordBatch:
-            words = [p.decode().split(" ") for p in found] if n is None else [()]
-            columns = [pa.array([w[k] if k < len(w) else None for w in words], pa.string()) for k in range(LONGEST)]
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), *columns, pa.array([n or 0] * len(words), pa.int64())], names=["lang", "a", "b", "c", "n"])
+    return docs.mapInArrow(run, "part int, lang string, phrases binary, seen binary, n long")
 
-        now, found, n = None, set(), None
-        for b in batches:
-            for part, lang, raw, more in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if (part, lang) != now and now is not None:
-                    yield spelled(now[1], found, n)
-                    found, n = set(), None
-                now = part, lang
-                if raw is None:
-                    n = (n or 0) + more
-                else:
-                    found.update(zstandard.ZstdDecompressor().decompress(raw).split(b"\n"))
-        if now is not None:
-            yield spelled(now[1], found, n)
 
-    rows = docs.mapInArrow(run, "part int, lang string, phrases binary, n long").repartition("part", "lang").sortWithinPartitions("part", "lang")
-    found = stored(rows.mapInArrow(merged, "lang string, a string, b string, c string, n long"), "phrase-candidates")
-    none = F.lit(None).cast("string")
-    word = found.where("b is not null and c is null").select("lang", F.explode(F.array("a", "b")).alias("a")).distinct()
-    return found.unionByName(word.select("lang", "a", none.alias("b"), none.alias("c"), F.lit(0).cast("long").alias("n")))
+def spelled(phrases: pa.Array) -> list[pa.Array]:
+    """First, second and third words; null behind a phrase's end."""
+    words = pc.split_pattern(phrases, " ")
+    begin, many, flat = np.asarray(words.offsets)[:-1], pc.list_value_length(words).to_numpy(), words.values
+    return [flat.take(pa.array(begin + k, mask=many <= k)) for k in range(LONGEST)]
 
 
 class Trie:
@@ -282,82 +271,83 @@ class Trie:
         number = np.empty(len(order) + 1, np.int32)
         number[order], number[-1] = np.arange(len(order)), -1
         symbols = number[pc.fill_null(coded.indices, -1).to_numpy()].reshape(3, -1).T
-        self.words = coded.dictionary.take(pa.array(order)).cast(pa.large_binary())
+        self.words = coded.dictionary.take(pa.array(order))
         self.langs = langs.dictionary
         self.size = entries.num_rows
         self.array = double_array.build(len(self.langs), langs.indices.to_numpy(), symbols)
 
-    def count(self, w: Words, counts: np.ndarray) -> None:
-        """Add every entry's occurrences among the words."""
-        code = pc.fill_null(pc.index_in(w.distinct, value_set=self.words), -1).to_numpy().astype(np.int64)
-        known, digit = code >= 0, double_array.digits(np.maximum(code, 0))
-        root = pc.fill_null(pc.index_in(w.langs, value_set=self.langs.cast(w.langs.type)), -1).to_numpy().astype(np.int32)
-        state = root[w.lang]
-        at = np.flatnonzero((state >= 0) & known[w.code])
-        state = state[at]
-        for k in range(LONGEST):
-            for d in range(double_array.DIGITS):
-                alive, state = self.array.step(state, digit[d][w.code[at]])
+    def count(self, lang: str, words: list[pa.Array], seen: np.ndarray, counts: np.ndarray) -> None:
+        """Add to the entries how often they were seen, told by phrases of one language: their first, second and third words."""
+        root = self.langs.to_pylist().index(lang)
+        at, state = np.arange(len(seen)), np.full(len(seen), root, np.int32)
+
+        def add() -> None:
+            entry = self.array.entry[state[over]]
+            counts[:] += np.bincount(entry[entry >= 0], seen[at[over]][entry >= 0], minlength=self.size).astype(np.int64)
+
+        for column in words:
+            over = ~column.is_valid().to_numpy(zero_copy_only=False)[at]
+            add()
+            at, state = at[~over], state[~over]
+            code = pc.fill_null(pc.index_in(column, value_set=self.words), -1).to_numpy().astype(np.int64)
+            known, digits = code[at] >= 0, double_array.digits(np.maximum(code, 0))
+            at, state = at[known], state[known]
+            for d in digits:
+                alive, state = self.array.step(state, d[at])
                 at, state = at[alive], state[alive]
-            entry = self.array.entry[state]
-            counts += np.bincount(entry[entry >= 0], minlength=self.size)
-            go = w.joined[at]
-            at, state = at[go] + 1, state[go]
-            go = known[w.code[at]]
-            at, state = at[go], state[go]
+        over = np.ones(len(at), bool)
+        add()
 
 
-def counted(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """``lang, a, b, c, f`` of at most ``TRIE`` entries: one run over the text."""
-    spark = docs.sparkSession
-    table = entries.select("lang", "a", "b", "c").toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    names = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    trie = spark.sparkContext.broadcast(Trie(table))
-    del table, sink, out
+def counted(found: DataFrame, least: int, trie: int) -> DataFrame:
+    """``lang, a, b, c, f`` of the candidates seen ``least`` times or more, and a row without words whose ``n`` counts all words of the language.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = trie.value
-        counts = np.zeros(t.size, np.int64)
-        for batch in batches:
-            for b in slices(batch, limit=RUN):
-                t.count(Words(b), counts)
-        for k in range(0, t.size, PACKED):
-            part = counts[k:k + PACKED]
-            if part.any():
-                part = part.astype(np.min_scalar_type(int(part.max())))
-                yield pa.RecordBatch.from_arrays([pa.array([k // PACKED], pa.int32()), pa.array([part.itemsize], pa.int32()), pa.array([part.tobytes()], pa.binary())],
-                                                 names=["chunk", "width", "counts"])
+    A part's phrases of a language are laid out in tries of at most ``trie`` entries, which add up what the tasks saw.
+    """
+    def unpacked(raw: list[tuple[bytes, bytes]]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        unpress, phrases, seen, rows = zstandard.ZstdDecompressor(), [], [], 0
+        for k, (x, y) in enumerate(raw):
+            phrases.append(pa.array(unpress.decompress(x).split(b"\n"), pa.large_binary()))
+            seen.append(np.frombuffer(unpress.decompress(y), np.uint32))
+            rows += len(seen[-1])
+            if rows >= HELD or k == len(raw) - 1:
+                yield pa.concat_arrays(phrases).cast(pa.large_string()), np.concatenate(seen)
+                phrases, seen, rows = [], [], 0
+
+    def told(lang: str, raw: list[tuple[bytes, bytes]], n: int) -> Iterator[pa.RecordBatch]:
+        names = ["lang", "a", "b", "c", "f", "n"]
+        if not raw:
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), *[pa.nulls(1, pa.string())] * LONGEST, pa.array([0]), pa.array([n])], names=names)
+            return
+        distinct = None
+        for phrases, _ in unpacked(raw):
+            distinct = pc.unique(phrases if distinct is None else pa.concat_arrays([distinct, phrases]))
+        for lo in range(0, len(distinct), trie):
+            entries = spelled(distinct.slice(lo, trie))
+            t = Trie(pa.table([pa.repeat(lang, len(entries[0])), *entries], names=names[:4]))
+            counts = np.zeros(t.size, np.int64)
+            for phrases, seen in unpacked(raw):
+                t.count(lang, spelled(phrases), seen, counts)
+            often = np.flatnonzero(counts >= least)
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(often)), *[e.take(pa.array(often)).cast(pa.string()) for e in entries], pa.array(counts[often]), pa.repeat(0, len(often))], names=names)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None
-
-        def named(chunk: int, total: np.ndarray) -> pa.RecordBatch:
-            nonlocal table
-            if table is None:
-                table = pa.ipc.open_stream(names.value).read_all()
-            part = table.slice(chunk * PACKED, len(total)).combine_chunks().to_batches()[0]
-            return pa.RecordBatch.from_arrays([*part.columns, pa.array(total)], names=["lang", "a", "b", "c", "f"])
-
-        now, total = None, None
+        now, raw, n = None, [], 0
         for b in batches:
-            for chunk, width, raw in zip(*(b.column(k).to_pylist() for k in range(3))):
-                if chunk != now and now is not None:
-                    yield named(now, total)
-                    now = None
-                part = np.frombuffer(raw, f"u{width}").astype(np.int64)
-                total = part if now is None else total + part
-                now = chunk
+            for part, lang, phrases, seen, more in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if (part, lang) != now and now is not None:
+                    yield from told(now[1], raw, n)
+                    raw, n = [], 0
+                now = part, lang
+                if phrases is None:
+                    n += more
+                else:
+                    raw.append((phrases, seen))
         if now is not None:
-            yield named(now, total)
+            yield from told(now[1], raw, n)
 
-    rows = docs.mapInArrow(run, "chunk int, width int, counts binary").repartition("chunk").sortWithinPartitions("chunk")
-    out = stored(rows.mapInArrow(summed, "lang string, a string, b string, c string, f long"), "phrase-counts")
-    for x in (trie, names):
-        x.destroy()
-    return out
+    rows = found.repartition("part", "lang").sortWithinPartitions("part", "lang")
+    return rows.mapInArrow(summed, "lang string, a string, b string, c string, f long, n long")
 
 
 def scored(phrases: DataFrame, least: int, inside: int) -> DataFrame:
@@ -405,18 +395,11 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, repo
     for level in range(1, LONGEST + 1):
         bits = min(1 << max(size >> (5 if level == 1 else 2), 1).bit_length(), filter_bits)
         filters.append(share(frequent(docs, filters, level, parts, max(bits // parts, 64), least)))
-    entries = stored(candidates(docs, filters, parts), "phrase-entries")
+    counts = stored(counted(candidates(docs, filters, parts), least, trie), "phrase-counts")
     for f in filters:
         f.destroy()
     del filters[:], f  # their bits are kept by the driver until then
-    phrases = entries.where("a is not null")
-    tries = -(-phrases.count() * 11 // 10 // trie)
-    found = [counted(docs, phrases.where(F.pmod(F.xxhash64("lang", "a", "b"), F.lit(tries)) == k)) for k in range(tries)]
-    if not found:
-        return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionAll(f)
+    every = counts.where("a is not null").drop("n")
     out = scored(every, least, inside)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # the best of each of many shares first, so that no language is sorted in one task
@@ -425,5 +408,5 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, repo
     for share in (F.col("share"), F.col("share") % 8):
         out = out.withColumn("k", F.row_number().over(Window.partitionBy("lang", share).orderBy(*order))).where(F.col("k") <= reported)
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= reported)
-    total = entries.where("a is null").select("lang", "n")
+    total = counts.where("a is null").select("lang", "n")
     return out.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -70,6 +70,22 @@ def test_unlike_words_of_one_hash_are_told_apart(spark, monkeypatch):
     assert {tuple(r) for r in phrases.collocations(df, least=4).collect()} == brute.collocations(rows, least=4)
 
 
+def test_text_is_run_over_a_fixed_number_of_times(spark, rows):
+    """However many tries the candidates fill."""
+    read, n = spark.sparkContext.accumulator(0), 0
+    rows = repetitive(rows)
+
+    def watched(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = framed(spark, rows).coalesce(1)
+    n = docs.count()
+    phrases.collocations(docs.mapInArrow(watched, docs.schema), trie=40).count()
+    assert read.value <= 5 * n  # their size, three filters, the candidates
+
+
 # --- 12: spelling ------------------------------------------------------------------
 def misspelled(rows):
     rng = random.Random(9)
