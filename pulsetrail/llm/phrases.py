@@ -205,25 +205,37 @@ def candidates(docs: DataFrame, filters: list, parts: int) -> DataFrame:
     Tasks pack what they have found by part of the hash, sorted and compressed, so that a phrase costs a few bytes of shuffle a task.
     All places of a phrase share their hashes, so they pass together and its counts are exact.
     """
-    def bundles(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        found = pa.concat_tables(held).group_by(["part", "lang", "phrase"]).aggregate([("seen", "sum")])
-        found = found.sort_by([("part", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
-        cut = [0, *group_starts(found, ["part", "lang"]).tolist(), found.num_rows]
+    def bundles(held: list[tuple], texts: list[pa.Array], names: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        word, lang = (pa.concat_arrays(x).dictionary_encode() for x in (texts, names))
+        order = pc.sort_indices(word.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(1, len(order) + 1)  # 0 is behind a phrase's end
+        rank = np.append(rank[word.indices.to_numpy()], 0)
+        part, of, *at, seen = (np.concatenate(x) for x in zip(*held))
+        group = part.astype(np.int64) * len(lang.dictionary) + lang.indices.to_numpy()[of]
+        at = [rank[x] for x in at]
+        row = np.lexsort((*at[::-1], group))
+        group, at = group[row], [x[row] for x in at]
+        first = np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in (group, *at)])))
+        seen = np.add.reduceat(seen[row], first).astype(np.uint32)
+        group, spoken = group[first], word.dictionary.take(pa.array(order))
+        phrase = pc.binary_join_element_wise(*(spoken.take(pa.array(x[first] - 1, mask=x[first] == 0)) for x in at), pa.scalar(" ", pa.large_string()), null_handling="skip")
+        cut = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
         press = zstandard.ZstdCompressor(level=3)
-        phrase, seen, at = found.column("phrase"), found.column("seen_sum").to_numpy().astype(np.uint32), pa.array(cut[:-1])
-        packed = [press.compress("\n".join(phrase[lo:hi].to_pylist()).encode()) for lo, hi in zip(cut, cut[1:])]  # no word holds a newline
-        many = [press.compress(seen[lo:hi].tobytes()) for lo, hi in zip(cut, cut[1:])]
-        yield pa.RecordBatch.from_arrays([found.column("part").take(at).combine_chunks(), found.column("lang").take(at).combine_chunks(), pa.array(packed, pa.binary()),
-                                          pa.array(many, pa.binary()), pa.nulls(len(at), pa.int64())], names=["part", "lang", "phrases", "seen", "n"])
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cut), phrase), pa.scalar("\n", pa.large_string()))  # no word holds a newline
+        packed, many = ([press.compress(x) for x in y] for y in ((x.as_buffer() for x in joined), (seen[lo:hi].tobytes() for lo, hi in zip(cut, cut[1:]))))
+        group = group[cut[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array((group // len(lang.dictionary)).astype(np.int32)), lang.dictionary.take(pa.array(group % len(lang.dictionary))),
+                                          pa.array(packed, pa.binary()), pa.array(many, pa.binary()), pa.nulls(len(group), pa.int64())], names=["part", "lang", "phrases", "seen", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = [f.value for f in filters]
-        held, rows = [], 0
+        held, texts, names, rows, words, many = [], [], [], 0, 0, 0
         for batch in batches:
             for b in slices(batch, limit=RUN):
                 w = Words(b)
                 total = np.bincount(w.lang, minlength=len(w.langs))
-                langs, text = w.langs.cast(pa.string()), w.distinct.cast(pa.binary()).cast(pa.string())
+                langs = w.langs.cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), -1, np.int32)), langs, pa.nulls(len(total), pa.binary()), pa.nulls(len(total), pa.binary()), pa.array(total)],
                                                  names=["part", "lang", "phrases", "seen", "n"])
                 for size, ((at, h), f) in enumerate(zip(chains(w, have[:-1]), have), 1):
@@ -240,14 +252,16 @@ def candidates(docs: DataFrame, filters: list, parts: int) -> DataFrame:
                         number, below = number * len(w.distinct) + w.code[at + k], below * len(w.distinct)
                     _, first, seen = np.unique(number, return_index=True, return_counts=True)
                     at, part = at[first], part[first]
-                    phrase = pc.binary_join_element_wise(*(text.take(pa.array(w.code[at + k])) for k in range(size)), " ")
-                    held.append(pa.table({"part": part, "lang": langs.take(pa.array(w.lang[at])), "phrase": phrase.cast(pa.large_string()), "seen": seen}))
+                    held.append((part, w.lang[at] + many, *(w.code[at + k] + words if k < size else np.full(len(at), -1) for k in range(LONGEST)), seen))
                     rows += len(at)
+                texts.append(w.distinct.cast(pa.large_binary()).cast(pa.large_string()))
+                names.append(langs)
+                words, many = words + len(w.distinct), many + len(langs)
                 if rows >= HELD:
-                    yield from bundles(held)
-                    held, rows = [], 0
+                    yield from bundles(held, texts, names)
+                    held, texts, names, rows, words, many = [], [], [], 0, 0, 0
         if held:
-            yield from bundles(held)
+            yield from bundles(held, texts, names)
 
     return docs.mapInArrow(run, "part int, lang string, phrases binary, seen binary, n long")
 

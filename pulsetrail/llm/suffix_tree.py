@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -34,11 +33,12 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pulsetrail.llm.common import (LOWER, column, dropped, give_back, held_out, keyed, longs, mix, public_id, row_of, slices, stored,
                                    text_buffer, word_bounds, word_hashes)
 from pulsetrail.llm.phrases import Filter, repeated
+from pulsetrail.session import shuffles_removed
 
 DEPTH = 4
 #: occurrences of a context, and nats it must gain, to be kept; occurrences of a next token there to be told apart; weight of the shorter context per kind of these
@@ -287,18 +287,6 @@ def learn(docs: DataFrame, words: DataFrame, train: int, floor: float, depth: in
     return tree
 
 
-@contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Within it, Spark removes a job's shuffle files when the job ends; its results are stored or with the driver by then."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def score(docs: DataFrame, mod: int = 7, remainder: int = 2, depth: int = DEPTH, frequent: int = FREQUENT, least_count: int = LEAST_COUNT,
           least_gain: float = LEAST_GAIN, least_string: int = LEAST_STRING, weight: float = WEIGHT) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every text.
